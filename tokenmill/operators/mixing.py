@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenmill.functions.text import hash_pick, order_key, unit_interval
@@ -115,11 +115,10 @@ def sequence_tasks(tasks: Sequence[Task]) -> DataFrame:
 def mixture_stats(mix: DataFrame) -> DataFrame:
     """Rows, share and total per task."""
     per = mix.groupBy("task").agg(F.count(F.lit(1)).alias("n_rows"))
-    total = per.agg(F.sum("n_rows").alias("epoch_size"))
-    return per.withColumn("__k", F.lit(0)).join(
-        total.withColumn("__k", F.lit(0)), "__k"
-    ).select("task", "n_rows", "epoch_size",
-             F.round(F.col("n_rows") / F.col("epoch_size"), 6).alias("share"))
+    # One row per task is left here, so an unpartitioned window is small.
+    return per.withColumn("epoch_size", F.sum("n_rows").over(Window.partitionBy())).withColumn(
+        "share", F.round(F.col("n_rows") / F.col("epoch_size"), 6)
+    )
 
 
 def subject_extras(df: DataFrame, weights: dict[str, int], subject: str = "subject") -> DataFrame:
