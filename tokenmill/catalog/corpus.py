@@ -257,7 +257,7 @@ def best_fit_rows(spark, sf):
         round(100.0 * CAST(cropped_tokens AS DOUBLE) / CAST(placed_tokens + cropped_tokens AS DOUBLE), 4) AS cropped_pct,
         round(100.0 * CAST(min_crop_tokens AS DOUBLE) / CAST(n_tokens AS DOUBLE), 4) AS min_crop_pct,
         'greedy_crop' AS strategy
-    FROM u, w""")
+    FROM u, w""", digits=4)
 def pack_greedy_crop(spark, sf):
     return _report(spark, sf, "greedy_crop")
 

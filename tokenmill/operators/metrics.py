@@ -23,7 +23,7 @@ def accuracy(outcomes: DataFrame, by: Sequence[str] = ("task",), max_problems: i
         items = items.withColumn("__p", place).filter(F.col("__p") <= max_problems)
     return items.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_items"), F.count_if("__ok").alias("n_correct"),
-        F.round(F.avg(F.col("__ok").cast("double")), 6).alias("accuracy"),
+        F.avg(F.col("__ok").cast("double")).alias("accuracy"),
     )
 
 
@@ -44,7 +44,7 @@ def pass_at_k(outcomes: DataFrame, k_max: int, by: Sequence[str] = ()) -> DataFr
     ks = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__{k}").alias("n")) for k in range(1, k_max + 1)])
     return hist.select(*by, "n_items", F.explode(ks).alias("h")).select(
         *by, F.col("h.k").alias("k"), "n_items",
-        F.round(F.col("h.n") / F.col("n_items"), 6).alias("pass_at_k"),
+        (F.col("h.n") / F.col("n_items")).alias("pass_at_k"),
     )
 
 
@@ -85,7 +85,7 @@ def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, by: Sequence[str] =
     return sums.select(
         *by, n.cast("bigint").alias("n_bytes"),
         F.when(n == 0, F.lit(float("inf"))).otherwise(
-            F.round(F.col("nats") / (F.lit(math.log(2)) * n), 6)
+            F.col("nats") / (F.lit(math.log(2)) * n)
         ).alias("bpb"),
     )
 
@@ -114,8 +114,8 @@ def centered_score(
         F.collect_set("task").over(every), F.array(*[F.lit(r) for r in required]).cast("array<string>")
     ))
     return per.select(
-        "task", "accuracy", F.round("centered", 6).alias("centered"),
-        F.when(~missing, F.round(F.avg("centered").over(every), 6)).alias("composite"),
+        "task", "accuracy", F.col("centered").alias("centered"),
+        F.when(~missing, F.avg("centered").over(every)).alias("composite"),
     )
 
 
@@ -124,8 +124,8 @@ def vocab_stats(token_bytes: DataFrame) -> DataFrame:
     return token_bytes.filter("n_bytes > 0").agg(
         F.count(F.lit(1)).alias("n_tokens"),
         F.min("n_bytes").cast("bigint").alias("min_bytes"), F.max("n_bytes").cast("bigint").alias("max_bytes"),
-        F.round(F.avg("n_bytes"), 6).alias("mean_bytes"),
-        F.round(F.stddev_samp("n_bytes"), 6).alias("std_bytes"),
+        F.avg("n_bytes").alias("mean_bytes"),
+        F.stddev_samp("n_bytes").alias("std_bytes"),
     )
 
 
@@ -136,7 +136,7 @@ def subject_stats(df: DataFrame, top: int = 0) -> DataFrame:
     every = Window.partitionBy()
     placed = counts.select(
         "subject", "n_rows",
-        F.round(F.lit(100.0) * F.col("n_rows") / F.sum("n_rows").over(every), 6).alias("percent"),
+        (F.lit(100.0) * F.col("n_rows") / F.sum("n_rows").over(every)).alias("percent"),
         F.row_number().over(Window.orderBy(F.desc("n_rows"), "subject")).cast("bigint").alias("place"),
     )
     return placed.filter(F.col("place") <= top) if top else placed
@@ -172,15 +172,15 @@ def advantages(rewards: DataFrame, item: str = "item_id") -> DataFrame:
     """
     means = rewards.groupBy(item).agg(F.avg("reward").alias("__m"))
     return rewards.join(means, item).withColumn(
-        "advantage", F.round(F.col("reward") - F.col("__m"), 6)
+        "advantage", F.col("reward") - F.col("__m")
     ).drop("__m")
 
 
 def batch_rewards(rewards: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean reward and mean sampled length of a batch."""
     return rewards.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_samples"), F.round(F.avg("reward"), 6).alias("mean_reward"),
-        F.round(F.avg("n_tokens"), 6).alias("mean_length"),
+        F.count(F.lit(1)).alias("n_samples"), F.avg("reward").alias("mean_reward"),
+        F.avg("n_tokens").alias("mean_length"),
     )
 
 
@@ -222,9 +222,9 @@ def rollout_stats(selected: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     usable = ~F.col("is_correct") & (F.col("solution_text").isNotNull() | F.col("feedback_text").isNotNull())
     return selected.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_samples"), F.count_if("is_correct").alias("n_success"),
-        F.round(F.try_divide(F.count_if("is_correct").cast("double"), F.count(F.lit(1))), 6).alias("success_rate"),
+        F.try_divide(F.count_if("is_correct").cast("double"), F.count(F.lit(1))).alias("success_rate"),
         F.count_if(usable).alias("n_pairs"),
-        F.round(F.avg("n_tokens"), 6).alias("mean_length"),
+        F.avg("n_tokens").alias("mean_length"),
     )
 
 

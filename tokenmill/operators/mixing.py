@@ -117,7 +117,7 @@ def mixture_stats(mix: DataFrame) -> DataFrame:
     per = mix.groupBy("task").agg(F.count(F.lit(1)).alias("n_rows"))
     # One row per task is left here, so an unpartitioned window is small.
     return per.withColumn("epoch_size", F.sum("n_rows").over(Window.partitionBy())).withColumn(
-        "share", F.round(F.col("n_rows") / F.col("epoch_size"), 6)
+        "share", F.col("n_rows") / F.col("epoch_size")
     )
 
 

@@ -220,7 +220,7 @@ def packing_report(placements: DataFrame, docs: DataFrame, width: int) -> DataFr
     )
     one = whole.withColumn("__k", F.lit(1)).join(used.withColumn("__k", F.lit(1)), "__k").drop("__k")
     room = F.col("n_rows") * F.lit(capacity)
-    pct = lambda a, b: F.round(F.try_divide(F.lit(100.0) * a, b), 4)
+    pct = lambda a, b: F.try_divide(F.lit(100.0) * a, b)
     return one.select(
         "n_docs", "n_tokens", "n_rows", "placed_docs", "placed_tokens", "cropped_tokens",
         "min_crop_tokens",
