@@ -181,13 +181,13 @@ def score_continuation(spark, sf):
 
 LOG = """
     WITH l AS (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS step,
-                      value AS loss, 1.0 + value / 10.0 AS dt FROM events)"""
+                      value AS loss, 1.0::DOUBLE + sqrt(value + 1) AS dt FROM events)"""
 
 
 def step_log(spark, sf):
     e = table(spark, sf, "events").select(
         F.col("event_type").alias("run"), "ts", "event_id", F.col("value").alias("loss"),
-        (1.0 + F.col("value") / 10.0).alias("dt"))
+        (1.0 + F.sqrt(F.col("value") + 1)).alias("dt"))
     return dense_index(e, ["ts", "event_id"], "step", by=["run"]).select("run", "step", "loss", "dt")
 
 
@@ -208,9 +208,9 @@ def ema(spark, sf):
 @query("n4_training_progress", LOG + """,
     p AS (SELECT *, sum(CASE WHEN step > 10 THEN dt ELSE 0 END) OVER (PARTITION BY run ORDER BY step) AS tt FROM l)
     SELECT run, step, CAST(floor(524288.0::DOUBLE / dt) AS BIGINT) AS tokens_per_sec,
-        round(100.0::DOUBLE * 3e9::DOUBLE * (524288.0::DOUBLE / dt) / 8e15::DOUBLE, 5) AS mfu, round(tt, 5) AS total_time,
-        CASE WHEN step > 10 THEN round((5000 - step) * tt / (step - 10), 5) END AS eta
-    FROM p""", digits=5)
+        round(100.0::DOUBLE * 3e9::DOUBLE * (524288.0::DOUBLE / dt) / 8e15::DOUBLE, 6) AS mfu, round(tt, 6) AS total_time,
+        CASE WHEN step > 10 THEN round((5000 - step) * tt / (step - 10), 6) END AS eta
+    FROM p""")
 def training_progress(spark, sf):
     return tr.training_progress(step_log(spark, sf), 524288, 3e9, 8e15, 5000)
 
