@@ -24,6 +24,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c) -> Column:
     return F.regexp_replace(col(c), rf"^[{WS}]+|[{WS}]+$", "")
 
