@@ -71,7 +71,7 @@ def trimmed(messages: Column) -> Column:
     )
 
 
-def alternates(messages: Column, end_assistant: bool = False, min_dialog: int = 1, system: bool = True) -> Column:
+def alternates(messages: Column, end_assistant: bool = False, min_dialog: int = 0, system: bool = True) -> Column:
     """True for an optional system message followed by user, assistant, ... with texts."""
     n_sys = F.when((F.get(messages, F.lit(0))["role"] == "system") & F.lit(system), 1).otherwise(0)
     fits = F.forall(

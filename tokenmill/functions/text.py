@@ -29,6 +29,22 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def strict_json(c) -> Column:
+    """The text as VARIANT when all of it is one JSON value, else null.
+
+    ``try_parse_json`` stops behind the first value; a closing mark behind the text shows that
+    the parser came to its end.
+    """
+
+    def parsed(text):
+        mark = F.md5(text)
+        values = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+        return let(values.try_cast("array<variant>"), lambda a: F.when(
+            (F.size(a) == 2) & (F.get(a, F.lit(1)).try_cast("string") == mark), F.get(a, F.lit(0))))
+
+    return let(col(c), parsed)
+
+
 def strip(c) -> Column:
     return F.regexp_replace(col(c), rf"^[{WS}]+|[{WS}]+$", "")
 

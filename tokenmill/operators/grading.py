@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions.text import (
     BOUNDARY, answer_number, boxed, boxed_integer, choice_letter, col, exact, extract, factoid, last_number,
-    lone_letter, marked_number, plain_answer, strip,
+    lone_letter, marked_number, plain_answer, strict_json, strip,
 )
 from tokenmill.operators.tools import calls_match, predicted_calls
 
@@ -125,7 +125,7 @@ def yes_no_match(reference, response) -> Column:
 
 
 def json_valid(response) -> Column:
-    return F.try_parse_json(col(response)).isNotNull()
+    return strict_json(response).isNotNull()
 
 
 def call_match(expected, response) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.functions.text import BOUNDARY, WORD, WS, quote_regex, strip
+from tokenmill.functions.text import BOUNDARY, WORD, WS, quote_regex, strict_json, strip
 
 # Fields that constraints take.
 ARGUMENTS = (
@@ -103,7 +103,7 @@ def check(instruction: Column, a: Column, text: Column, prompt: Column) -> Colum
         "keywords:existence": (F.size(a["keywords"]) > 0)
             & F.forall(a["keywords"], lambda k: keyword_count(text, k) > 0),
         "length_constraints:number_paragraphs": F.size(paragraphs) == a["num_paragraphs"],
-        "detectable_format:json_format": body.rlike(r"^[{\[]") & F.try_parse_json(body).isNotNull(),
+        "detectable_format:json_format": body.rlike(r"^[{\[]") & strict_json(body).isNotNull(),
         "combination:two_responses": (F.size(halves) == 2) & F.forall(halves, lambda h: strip(h) != ""),
         "language:response_language": _language(text, a["language"]),
         "keywords:letter_frequency": _relation(letters, a["let_relation"], a["let_frequency"]),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenmill.functions.text import col, extract, let, present, strip
+from tokenmill.functions.text import col, extract, let, present, strict_json, strip
 
 # Keys under which sources keep tools, queries, calls and their parts.
 TOOL_KEYS = (
@@ -108,7 +108,7 @@ def _filled(v: Column) -> Column:
 
 def _parsed(v: Column) -> Column:
     """A text that holds an object or array is read as such; other text gives null."""
-    inner = let(strip(v.cast("string")), lambda t: F.when(t.rlike(r"^[\[{]"), F.try_parse_json(t)))
+    inner = let(strip(v.cast("string")), lambda t: F.when(t.rlike(r"^[\[{]"), strict_json(t)))
     return F.when(kind_of(v) == "string", inner).otherwise(v)
 
 
@@ -447,11 +447,11 @@ def predicted_calls(response) -> Column:
                 args.try_cast("map<string,variant>"), lambda _, a: canonical(a)).alias("arguments")))
 
         raw = _get(c, "arguments")
-        read = let(kind_of(raw), lambda k: F.when(k == "string", F.try_parse_json(raw.cast("string")))
+        read = let(kind_of(raw), lambda k: F.when(k == "string", strict_json(raw.cast("string")))
                    .when(k == "null", F.parse_json(F.lit("{}"))).otherwise(raw))
         return let(read, with_args)
 
-    calls = let(F.try_parse_json(col(response)), lambda v: F.transform(_items(v), one))
+    calls = let(strict_json(response), lambda v: F.transform(_items(v), one))
     return let(calls, lambda cs: F.when(~F.exists(cs, lambda c: c.isNull()), cs))
 
 

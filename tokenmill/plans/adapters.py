@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions import messages as ms
-from tokenmill.functions.text import blank, extract, factoid, lone_letter, present, rstrip, strip
+from tokenmill.functions.text import blank, extract, factoid, lone_letter, present, rstrip, strict_json, strip
 from tokenmill.operators import choices as ch
 from tokenmill.operators import tools as tl
 from tokenmill.operators.turns import filter_english, first_of
@@ -359,8 +359,8 @@ def hh_rlhf(df: DataFrame) -> Row:
 
 
 def xlam(df: DataFrame) -> Row:
-    tools = F.try_parse_json("tools").try_cast("array<variant>")
-    answers = F.try_parse_json("answers").try_cast("array<variant>")
+    tools = strict_json("tools").try_cast("array<variant>")
+    answers = strict_json("answers").try_cast("array<variant>")
     ok = tools.isNotNull() & (F.size(answers) >= 1)
     listed = F.transform(tools, tl.normalize_tool)
     prompt = F.concat(F.lit(tl.TOOLS_HEAD), F.to_json(tools), F.lit("\n\n" + tl.TOOLS_TAIL))
