@@ -20,39 +20,45 @@ def _byte_lengths(spark, sf):
     return _docs(spark, sf).select("doc_id", "lang", (F.octet_length("text") + 1).cast("bigint").alias("n"))
 
 
-def _shard_folder(spark, sf, n=20):
-    path = scratch_path(spark, "shards")
-    _docs(spark, sf).select(
-        "doc_id", "text", F.format_string("%02d", F.pmod("doc_id", F.lit(n))).alias("shard")
-    ).repartition("shard").write.partitionBy("shard").parquet(path)
+def _shard_folder(docs, path):
+    """One file per 250 document numbers."""
+    shard = F.format_string("%08d", F.expr("doc_id div 250")).alias("shard")
+    docs.select("doc_id", "text", shard).repartition("shard").write.partitionBy("shard").parquet(path)
     return path
 
 
-@query("s1_corpus_train", "SELECT doc_id, length(text) AS n_chars FROM documents WHERE doc_id % 20 <> 19")
-def corpus_train(spark, sf):
-    d = c.read_corpus(spark, {"web": _shard_folder(spark, sf)}, "train", schema="doc_id bigint, text string")
+LAST = "(SELECT max(doc_id) // 250 FROM documents)"
+
+
+def _split(spark, sf, split):
+    path = _shard_folder(_docs(spark, sf), scratch_path(spark, "shards"))
+    d = c.read_corpus(spark, {"web": path}, split, names="web,main", aliases={"main": "web"},
+                      schema="doc_id bigint, text string")
     return d.select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query("s1_corpus_val", "SELECT doc_id, length(text) AS n_chars FROM documents WHERE doc_id % 20 = 19")
+@query("s1_corpus_train", f"SELECT doc_id, length(text) AS n_chars FROM documents WHERE doc_id // 250 < {LAST} OR {LAST} = 0")
+def corpus_train(spark, sf):
+    return _split(spark, sf, "train")
+
+
+@query("s1_corpus_val", f"SELECT doc_id, length(text) AS n_chars FROM documents WHERE doc_id // 250 = {LAST} AND {LAST} > 0")
 def corpus_val(spark, sf):
-    d = c.read_corpus(spark, {"web": _shard_folder(spark, sf)}, "val", names="web,main",
-                      aliases={"main": "web"}, schema="doc_id bigint, text string")
-    return d.select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+    return _split(spark, sf, "val")
 
 
 @query("s2_interleave_files", """
-    SELECT doc_id, CASE WHEN lang = 'en' THEN 'web' ELSE 'rest' END AS dataset,
-           CASE WHEN lang = 'en' THEN least(2 * (doc_id % 5), doc_id % 5 + 2)
-                ELSE CASE WHEN doc_id % 3 < 2 THEN 2 * (doc_id % 3) + 1 END END AS file_no
-    FROM documents
-    WHERE (lang = 'en' AND doc_id % 5 < 4) OR (lang <> 'en' AND doc_id % 3 < 2)""")
+    WITH d AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'web' ELSE 'rest' END AS dataset, doc_id // 250 AS shard FROM documents),
+    s AS (SELECT dataset, shard, row_number() OVER (PARTITION BY dataset ORDER BY shard) AS k, count(*) OVER (PARTITION BY dataset) AS n
+          FROM (SELECT DISTINCT dataset, shard FROM d)),
+    f AS (SELECT dataset, shard, row_number() OVER (ORDER BY k, dataset DESC) - 1 AS file_no FROM s WHERE k < n OR n = 1)
+    SELECT doc_id, dataset, file_no FROM d JOIN f USING (dataset, shard)""")
 def interleave_files(spark, sf):
-    specs = {}
-    for name, n, cond in (("web", 5, "lang = 'en'"), ("rest", 3, "lang <> 'en'")):
-        specs[name] = scratch_path(spark, name)
-        _docs(spark, sf).filter(cond).select("doc_id", F.pmod("doc_id", F.lit(n)).alias("shard")).repartition(
-            "shard").write.partitionBy("shard").parquet(specs[name])
+    d = _docs(spark, sf)
+    specs = {
+        "web": _shard_folder(d.filter("lang = 'en'"), scratch_path(spark, "web")),
+        "rest": _shard_folder(d.filter("lang <> 'en'"), scratch_path(spark, "rest")),
+    }
     return c.read_corpus(spark, specs, "train", schema="doc_id bigint").select("doc_id", "dataset", "file_no")
 
 

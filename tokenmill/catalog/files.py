@@ -77,9 +77,9 @@ def json_any(spark, sf):
     """One file per flag: a list, an object around a list, and JSON lines."""
     path = scratch_path(spark, "payload")
     li = table(spark, sf, "lineitem")
-    bucket = F.pmod(F.xxhash64("l_orderkey"), F.lit(64))
+    bucket = F.expr("l_orderkey div 1000")
     row = F.to_json(F.struct(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("q")))
-    # Payloads are bounded: rows are spread over buckets before they are put into one text.
+    # Payloads are bounded: a text holds the lines of at most a thousand orders.
     per = li.select("l_returnflag", bucket.alias("b"), row.alias("r")).groupBy("l_returnflag", "b").agg(F.collect_list("r").alias("rs"))
     listed = F.concat(F.lit("["), F.array_join("rs", ","), F.lit("]"))
     text = F.when(F.col("l_returnflag") == "A", listed).when(
@@ -100,7 +100,10 @@ def eval_bundle(spark, sf):
     d = table(spark, sf, "documents")
     langs = [r[0] for r in d.select("lang").distinct().collect()]
     line = F.to_json(F.struct(F.col("doc_id").alias("id"), F.left("text", F.lit(20)).alias("query")))
-    d.select("lang", line.alias("value")).repartition("lang").write.partitionBy("lang").text(f"{root}/eval_data")
+    # Files are bounded: each holds at most two thousand documents.
+    part = F.expr("doc_id div 2000").alias("part")
+    d.select("lang", part, line.alias("value")).repartition("lang", "part").select("lang", "value").write.partitionBy(
+        "lang").text(f"{root}/eval_data")
     spark.createDataFrame([("tasken", "25.5"), ("taskfr", "25.5"), ("other", "1")], "`Eval Task` string, `Random baseline` string").coalesce(1).write.csv(
         f"{root}/eval_meta_data.csv", header=True)
     tasks = [{"label": f"task{x}", "icl_task_type": "multiple_choice", "dataset_uri": f"lang={x}", "num_fewshot": [3]} for x in langs]
@@ -121,11 +124,10 @@ def metrics_csv(spark, sf):
     return evals.read_metrics_csv(spark, path)
 
 
-# One log per source: every document leaves a line, and the last ones count.
+# One log per source and two thousand documents: each leaves a line, and the last ones count.
 @query("s14_train_logs", """
-    WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-    l AS (SELECT source, arg_max(n_chars, doc_id) AS last_n, max(k) AS steps, arg_max(doc_id, doc_id) FILTER (WHERE n_chars % 2 = 0) AS core FROM d GROUP BY 1)
-    SELECT source, 1000000 + last_n AS num_params, 1000 + last_n AS num_scaling_params, last_n AS num_iterations, last_n * 524288 AS tokens_trained,
+    WITH l AS (SELECT source || '-' || (doc_id // 2000) AS run, source, arg_max(n_chars, doc_id) AS last_n, arg_max(doc_id, doc_id) FILTER (WHERE n_chars % 2 = 0) AS core FROM documents GROUP BY ALL)
+    SELECT run, 1000000 + last_n AS num_params, 1000 + last_n AS num_scaling_params, last_n AS num_iterations, last_n * 524288 AS tokens_trained,
         round(CAST(last_n * 524288 AS DOUBLE) / (1000 + last_n), 2) AS param_data_ratio,
         round(last_n / 100000.0::DOUBLE, 5) AS val_bpb, CASE WHEN source = (SELECT min(source) FROM documents) THEN 0.0::DOUBLE ELSE coalesce(round(core / 1000000.0::DOUBLE, 6), 0.0) END AS core_score FROM l""")
 def train_logs(spark, sf):
@@ -138,10 +140,11 @@ def train_logs(spark, sf):
         c("Calculated number of iterations from ratio: ", F.format_number(n, 0)), F.lit("noise"),
         c("Step 1 | Validation bpb: ", F.format_string("%.5f", n / 100000)),
         F.when((n % 2 == 0) & (F.col("source") != first), c("CORE metric: ", F.format_string("%.6f", F.col("doc_id") / 1000000))))
-    d.select("source", "doc_id", lines.alias("value")).repartition("source").sortWithinPartitions("source", "doc_id").select(
-        "source", "value").write.partitionBy("source").text(path)
+    run = F.concat_ws("-", "source", F.expr("doc_id div 2000")).alias("run")
+    d.select(run, "doc_id", lines.alias("value")).repartition("run").sortWithinPartitions("run", "doc_id").select(
+        "run", "value").write.partitionBy("run").text(path)
     out = logs.parse_train_logs(spark, path)
-    return out.withColumn("source", F.regexp_extract("file", r"source=([^/]+)/", 1)).drop("file")
+    return out.withColumn("run", F.regexp_extract("file", r"run=([^/]+)/", 1)).drop("file")
 
 
 def _reports(spark, sf):

@@ -54,29 +54,23 @@ def _token_text(word: Column) -> Column:
     )
 
 
-def _independent(ranked, tokens, limit):
+def _independent(ranked, limit, floor):
     """Longest run of best pairs that one-at-a-time learning would also take in this order.
 
     A merge changes the counts of pairs that share a token with it, and a pair it creates
     counts at most as often as such a pair. So all pairs ahead of the first one that shares a
-    token, and that count strictly more often, are safe to merge together.
+    token, and that count strictly more often, are safe to merge together. ``floor`` is the
+    highest count a pair outside the list may have.
     """
     taken, used = [], set()
     for a, b, n in ranked:
         if a in used or b in used:
-            while taken and taken[-1][2] <= n and len(taken) > 1:
-                taken.pop()
+            floor = max(floor, n)
             break
         taken.append((a, b, n))
         used |= {a, b}
-        if len(taken) == limit:
-            break
-    else:
-        # The list itself was cut off: pairs beyond it may count as often as its end.
-        if len(ranked) == tokens:
-            while len(taken) > 1 and taken[-1][2] <= ranked[-1][2]:
-                taken.pop()
-    return taken
+    safe = [t for t in taken if t[2] > floor]
+    return (safe or taken[:1])[:limit]
 
 
 def train_bpe(
@@ -100,40 +94,34 @@ def train_bpe(
     )
     spelled = {i: bytes([i]) for i in range(256)}
     merges: list[tuple] = []
+    stale: list[DataFrame] = []
     rounds = 0
     while len(merges) < n_merges:
-        pairs = state.filter(F.length("t") > 1).select(
-            F.explode(F.transform(
-                F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring("t", i, F.lit(2))
-            )).alias("p"), "n",
-        ).groupBy("p").agg(F.sum("n").alias("n"))
-        # Ties are broken by bytes on the driver, so all pairs tied with the last one are needed.
-        top = pairs.orderBy(F.desc("n"), "p").limit(look).collect()
+        places = state.select("t", "n", F.explode(F.sequence(F.lit(1), F.length("t") - 1)).alias("i"))
+        pairs = places.groupBy(F.substring("t", F.col("i"), F.lit(2)).alias("p")).agg(F.sum("n").alias("n"))
+        spelling = F.split(F.lit(",".join(spelled[i].hex() for i in range(len(spelled)))), ",")
+        token = lambda i: F.get(spelling, F.ascii(F.substring("p", i, 1)) - _BASE)
+        top = pairs.orderBy(F.desc("n"), token(1), token(2)).limit(look).collect()
         if not top:
             break
-        floor = top[-1]["n"]
-        if len(top) == look and top[0]["n"] == floor:
-            top = pairs.filter(F.col("n") == floor).collect()
-        ranked = sorted(
-            ((ord(r["p"][0]) - _BASE, ord(r["p"][1]) - _BASE, r["n"]) for r in top),
-            key=lambda x: (-x[2], spelled[x[0]], spelled[x[1]]),
-        )
-        if len(top) == look:
-            whole = [x for x in ranked if x[2] > floor]
-            ranked, cut = (whole, False) if whole else (ranked, True)
-        else:
-            cut = False
-        batch = _independent(ranked, len(ranked) if cut else -1, n_merges - len(merges))
+        ranked = [(ord(r["p"][0]) - _BASE, ord(r["p"][1]) - _BASE, r["n"]) for r in top]
+        batch = _independent(ranked, n_merges - len(merges), top[-1]["n"] if len(top) == look else 0)
         step = F.col("t")
         for a, b, n in batch:
             new = 256 + len(merges)
             spelled[new] = spelled[a] + spelled[b]
             merges.append((len(merges), a, b, new, int(n)))
             step = F.replace(step, F.lit(chr(_BASE + a) + chr(_BASE + b)), F.lit(chr(_BASE + new)))
-        state = state.select(step.alias("t"), "n")
+        # A word that became one token has no pair left. The words of this round stay in memory
+        # until the next round has counted; a lost executor recomputes from the last cut.
+        older, state = state, state.select(step.alias("t"), "n").filter(F.length("t") > 1)
         rounds += 1
-        if rounds % cut_every == 0:
-            state = cut_lineage(state, "words")
+        state = cut_lineage(state, "words") if rounds % cut_every == 0 else state.persist()
+        stale.append(older)
+        if len(stale) > 2:
+            stale.pop(0).unpersist()
+    for df in (*stale, state):
+        df.unpersist()
     return spark.createDataFrame(merges, "rank int, left int, right int, token_id int, n bigint")
 
 

@@ -197,5 +197,12 @@ def cap_corpus(docs: DataFrame, doc_cap: int, max_chars: int, order: Sequence[st
     cropped = docs.withColumn(text, F.left(F.col(text), F.lit(doc_cap)))
     slim = cropped.select(*order, F.length(text).alias("__n"))
     before = ordered_scan(slim, list(order), {"__before": ("sum", F.col("__n"), False)})
-    kept = before.filter(F.col("__before") <= max_chars).select(*order)
-    return cropped.join(kept, list(order))
+    # The kept documents are a prefix of the order, so its last key is all that is needed.
+    last = before.filter(F.col("__before") <= max_chars).agg(F.max(F.struct(*order)).alias("k")).first()["k"]
+    if last is None:
+        return cropped.limit(0)
+    types = {f.name: f.dataType for f in docs.select(*order).schema}
+    bound = F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in order])
+    if len(order) == 1:
+        return cropped.filter(F.col(order[0]) <= F.lit(last[order[0]]))
+    return cropped.filter(F.struct(*order) <= bound)

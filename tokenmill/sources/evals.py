@@ -26,14 +26,14 @@ def read_eval_bundle(spark: SparkSession, folder: str, tasks: list[dict]) -> tup
     )
     files = [f"{folder}/eval_data/{t['dataset_uri']}" for t in tasks]
     rows = spark.read.text(files, wholetext=True).select(
-        F.col("_metadata.file_path").alias("__p"), F.posexplode(F.split("value", r"\r?\n")).alias("item_id", "__l")
+        F.col("_metadata.file_path").alias("__p"), F.posexplode(F.split("value", r"\r?\n")).alias("__n", "__l")
     ).filter(strip("__l") != "")
     found = F.regexp_extract("__p", r"/eval_data/(.+)$", 1)
     # A task's data may also be a folder of files.
     uri = F.when(found.isin(*[t["dataset_uri"] for t in tasks]), found).otherwise(
         F.regexp_replace(found, r"/[^/]+$", ""))
     items = rows.withColumn("dataset_uri", uri).join(meta, "dataset_uri").select(
-        "task", "task_type", "item_id", F.parse_json("__l").alias("item")
+        "task", "task_type", F.concat_ws("#", found, "__n").alias("item_id"), F.parse_json("__l").alias("item")
     )
     return items, meta.join(base, "task", "left")
 
