@@ -113,3 +113,17 @@ def test_vocabulary_limits(spark):
     with pytest.raises(ValueError):
         tk.train_bpe(words, 100)
     assert tk.train_bpe(words, 256 + 9 + 50).count() == 1
+
+
+def test_long_words(docs, vocab):
+    """Long pre-tokens take another path to the same ids."""
+    ranks = {bytes(r.bytes): r.token_id for r in vocab.filter("not is_special").collect()}
+    for word in (b"the" * 90, b"t" * 301, b"thethan" * 40, bytes(range(256)) * 2, b"aabaa" * 60):
+        parts = [word[i:i + 1] for i in range(len(word))]
+        while True:
+            pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not pairs:
+                break
+            _, i = min(pairs)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        assert tk._encode_word(word, ranks) == [ranks[p] for p in parts]

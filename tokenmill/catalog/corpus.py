@@ -47,6 +47,17 @@ def corpus_val(spark, sf):
     return _split(spark, sf, "val")
 
 
+@query("s5_skip_broken_files", "SELECT doc_id, length(text) AS n_chars FROM documents")
+def skip_broken_files(spark, sf):
+    path, broken = scratch_path(spark, "shards"), scratch_path(spark, "broken")
+    _shard_folder(_docs(spark, sf), path)
+    # Text files stand for parquet files that cannot be read.
+    _docs(spark, sf).filter("doc_id % 100 = 0").select("text").write.text(broken)
+    listed = c.list_files(spark, path) + c.list_files(spark, broken, ".txt")
+    d = c.read_corpus(spark, {"web": listed}, None, schema="doc_id bigint, text string", on_corrupt="skip")
+    return d.select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query("s2_interleave_files", """
     WITH d AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'web' ELSE 'rest' END AS dataset, doc_id // 250 AS shard FROM documents),
     s AS (SELECT dataset, shard, row_number() OVER (PARTITION BY dataset ORDER BY shard) AS k, count(*) OVER (PARTITION BY dataset) AS n

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenmill.catalog.base import query, table
 from tokenmill.operators import fits, metrics as mt, training as tr
 from tokenmill.plans.scan import dense_index
+from tokenmill.plans.session import cut_lineage
 
 OUT = """
     WITH o AS (SELECT user_id AS item_id, 'task' || (user_id % 5) AS task, event_id, value AS reward,
@@ -90,11 +91,11 @@ def bits_per_byte(spark, sf):
 
 @query("a5_centered_score", OUT + """,
     i AS (SELECT task, item_id, bool_or(is_correct) AS ok FROM o WHERE sample_no <= 3 GROUP BY ALL),
-    a AS (SELECT task, round(avg(CAST(ok AS DOUBLE)), 6) AS accuracy FROM i GROUP BY task),
+    a AS (SELECT task, avg(CAST(ok AS DOUBLE)) AS accuracy FROM i GROUP BY task),
     b AS (SELECT 'task' || quality AS task, 25.0::DOUBLE * avg(CAST(quality AS DOUBLE)) AS baseline FROM labels GROUP BY quality),
     c AS (SELECT a.task, a.accuracy, (a.accuracy - 0.01::DOUBLE * coalesce(b.baseline, 0)) / (1 - 0.01::DOUBLE * coalesce(b.baseline, 0)) AS c
           FROM a LEFT JOIN b USING (task))
-    SELECT task, accuracy, round(c, 6) AS centered, round(avg(c) OVER (), 6) AS composite FROM c""")
+    SELECT task, round(accuracy, 6) AS accuracy, round(c, 6) AS centered, round(avg(c) OVER (), 6) AS composite FROM c""")
 def centered_score(spark, sf):
     acc = mt.accuracy(_outcomes(spark, sf).filter("sample_no <= 3"))
     base = table(spark, sf, "labels").groupBy(F.concat(F.lit("task"), "quality").alias("task")).agg(
@@ -188,7 +189,8 @@ def step_log(spark, sf):
     e = table(spark, sf, "events").select(
         F.col("event_type").alias("run"), "ts", "event_id", F.col("value").alias("loss"),
         (1.0 + F.sqrt(F.col("value") + 1)).alias("dt"))
-    return dense_index(e, ["ts", "event_id"], "step", by=["run"]).select("run", "step", "loss", "dt")
+    # A log is a stored table; written once, it is not numbered anew by every pass over it.
+    return cut_lineage(dense_index(e, ["ts", "event_id"], "step", by=["run"]).select("run", "step", "loss", "dt"), "log")
 
 
 EMA_SQL = LOG + """,

@@ -12,14 +12,19 @@ from tokenmill.plans.session import scratch_path
 from tokenmill.streaming import jobs
 
 
-def _feed(spark, df, n=4, order=None):
-    """Write a table as ``n`` files that a stream reads one after the other."""
+def _feed(spark, df, order=None, per_batch=20_000):
+    """Write a table as a feed; with ``order`` in batches that arrive one after the other."""
     path = scratch_path(spark, "feed")
-    (df.repartitionByRange(n, order) if order else df.repartition(n)).write.parquet(path)
+    if order is None:
+        df.write.parquet(path)
+        return path
+    last = df.agg(F.max(order)).first()[0]
+    for low in range(0, last + 1, per_batch):
+        df.filter(F.col(order).between(low, low + per_batch - 1)).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-def _run(spark, stream, schema=None):
+def _run(spark, stream):
     out, at = scratch_path(spark, "out"), scratch_path(spark, "progress")
     jobs.run_available(stream, out, at)
     return spark.read.parquet(out)
@@ -35,8 +40,7 @@ def stream_corpus(spark, sf):
 @query("st2_stream_ema", EMA_SQL)
 def stream_ema(spark, sf):
     log = step_log(spark, sf).select("run", "step", "loss")
-    # All steps arrive in one trigger here; the tests feed several in step order.
-    stream = spark.readStream.schema(log.schema).parquet(_feed(spark, log))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(_feed(spark, log, "step"))
     return _run(spark, jobs.stream_ema(stream, 0.93)).select("run", "step", "smooth", "debiased")
 
 
@@ -44,7 +48,7 @@ def stream_ema(spark, sf):
        + STOP_SQL.format(delta="0.05::DOUBLE"))
 def stream_early_stop(spark, sf):
     log = step_log(spark, sf).select("run", "step", F.col("loss").alias("value"))
-    stream = spark.readStream.schema(log.schema).parquet(_feed(spark, log))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(_feed(spark, log, "step"))
     return _run(spark, jobs.stream_early_stop(stream, 40, 0.05))
 
 

@@ -12,6 +12,7 @@ from tokenmill.functions.text import (
     lone_letter, marked_number, plain_answer, strict_json, strip,
 )
 from tokenmill.operators.tools import calls_match, predicted_calls
+from tokenmill.plans.joins import skew_join
 
 
 def number_match(reference, response, fallback: bool = True) -> Column:
@@ -163,12 +164,11 @@ def grade(responses: DataFrame, items: DataFrame, graders: dict[str, Callable[..
     ``graders`` names the graders in use, or maps names to functions (reference, response).
 
     ``responses(task, item_id, sample_no, text)``, ``items(task, item_id, reference, grader)``.
-    A task with one hot item stays balanced: the item side has one row per key, and adaptive
-    execution splits the response side.
+    Responses of a hot item are spread out; the item side has one row per key.
     """
     if not isinstance(graders, dict):
         graders = {name: GRADERS[name] for name in graders}
-    both = responses.join(items, ["task", "item_id"])
+    both = skew_join(responses, items, ["task", "item_id"])
     verdict = F.lit(None).cast("boolean")
     for name, fn in graders.items():
         verdict = F.when(F.col("grader") == name, fn(F.col("reference"), F.col("text"))).otherwise(verdict)

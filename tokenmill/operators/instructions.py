@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions.text import BOUNDARY, WORD, WS, quote_regex, strict_json, strip
+from tokenmill.plans.joins import skew_join
 
 # Fields that constraints take.
 ARGUMENTS = (
@@ -137,7 +138,7 @@ def constraint_results(responses: DataFrame, items: DataFrame) -> DataFrame:
     listed = items.select("item_id", "prompt", "kwargs", F.posexplode("instruction_ids").alias("constraint_no", "instruction_id"))
     args = F.from_json(F.coalesce(F.get("kwargs", F.col("constraint_no")), F.lit("{}")), ARGUMENTS)
     flat = listed.select("item_id", "prompt", "constraint_no", "instruction_id", args.alias("a"))
-    both = responses.filter("text is not null").join(flat, "item_id")
+    both = skew_join(responses.filter("text is not null"), flat, ["item_id"])
     return both.select(
         "item_id", "sample_no", "constraint_no", "instruction_id",
         check(F.col("instruction_id"), F.col("a"), F.col("text"), F.col("prompt")).alias("is_met"),

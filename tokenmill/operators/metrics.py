@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenmill.functions.text import order_key
+from tokenmill.operators.tokens import MAX_VOCAB
+from tokenmill.plans.joins import broadcast_up_to, skew_join
+from tokenmill.plans.scan import dense_index
 
 
 def accuracy(outcomes: DataFrame, by: Sequence[str] = ("task",), max_problems: int | None = None) -> DataFrame:
@@ -73,10 +76,12 @@ def predict_letter(logits: DataFrame) -> DataFrame:
 def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Bits per byte: nats over tokens with bytes, over ln 2 times their bytes.
 
-    Negative targets are ignored; no bytes at all give infinity. The vocabulary side has one
-    short row per token, which adaptive execution broadcasts when it is small.
+    Negative targets are ignored; no bytes at all give infinity. The vocabulary has one short
+    row per token and is broadcast once its size is checked, as tokens are very unevenly
+    frequent.
     """
-    used = losses.filter("token_id >= 0").join(token_bytes.filter("n_bytes > 0"), "token_id")
+    vocab = broadcast_up_to(token_bytes.filter("n_bytes > 0").select("token_id", "n_bytes"), MAX_VOCAB)
+    used = losses.filter("token_id >= 0").join(vocab, "token_id")
     sums = used.groupBy(*by).agg(F.sum("loss").alias("nats"), F.sum("n_bytes").alias("n_bytes"))
     if by:
         groups = losses.select(*by).distinct()
@@ -130,16 +135,18 @@ def vocab_stats(token_bytes: DataFrame) -> DataFrame:
 
 
 def subject_stats(df: DataFrame, top: int = 0) -> DataFrame:
-    """Rows and percent per subject, most frequent first, then by name."""
-    # One row per subject after the aggregation.
-    counts = df.groupBy("subject").agg(F.count(F.lit(1)).alias("n_rows"))
-    every = Window.partitionBy()
-    placed = counts.select(
-        "subject", "n_rows",
-        (F.lit(100.0) * F.col("n_rows") / F.sum("n_rows").over(every)).alias("percent"),
-        F.row_number().over(Window.orderBy(F.desc("n_rows"), "subject")).cast("bigint").alias("place"),
+    """Rows, percent and place per subject, most frequent first, then by name."""
+    total = df.count()
+    counts = df.groupBy("subject").agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
+        "percent", F.lit(100.0) * F.col("n_rows") / F.lit(max(1, total))
     )
-    return placed.filter(F.col("place") <= top) if top else placed
+    if not top:
+        return dense_index(counts, [-F.col("n_rows"), F.col("subject")], "place").withColumn(
+            "place", F.col("place") + 1)
+    best = counts.orderBy(F.desc("n_rows"), "subject").limit(top)
+    # At most ``top`` rows are left for this window.
+    return best.withColumn(
+        "place", F.row_number().over(Window.orderBy(F.desc("n_rows"), "subject")).cast("bigint"))
 
 
 def group_totals(df: DataFrame, groups: dict[str, Sequence[str]], weights: dict[str, int] | None = None) -> DataFrame:
@@ -167,11 +174,11 @@ def group_totals(df: DataFrame, groups: dict[str, Sequence[str]], weights: dict[
 def advantages(rewards: DataFrame, item: str = "item_id") -> DataFrame:
     """Reward minus the mean reward of the same item.
 
-    The means are aggregated first and joined back; a window over the item would pull a hot
-    item into one task.
+    The means are aggregated first and joined back with hot items spread out; a window over
+    the item would pull a hot item into one task.
     """
     means = rewards.groupBy(item).agg(F.avg("reward").alias("__m"))
-    return rewards.join(means, item).withColumn(
+    return skew_join(rewards, means, [item]).withColumn(
         "advantage", F.col("reward") - F.col("__m")
     ).drop("__m")
 
@@ -197,8 +204,8 @@ def select_solutions(
     usable = F.when(F.col("is_correct"), F.struct("sample_no", "text"))
     first = outcomes.groupBy("item_id").agg(F.min(usable).alias("__a"))
     if not failed_only and exclude_self:
-        second = outcomes.join(first, "item_id").filter(
-            F.col("is_correct") & (F.col("sample_no") > F.col("__a.sample_no"))
+        second = skew_join(outcomes.filter("is_correct"), first, ["item_id"]).filter(
+            (F.col("sample_no") > F.col("__a.sample_no"))
         ).groupBy("item_id").agg(F.min(F.struct("sample_no", "text")).alias("__b"))
         first = first.join(second, "item_id", "left")
     else:
@@ -210,7 +217,7 @@ def select_solutions(
     text = {
         "auto": F.coalesce(reference, peer), "reference": reference, "success": peer,
     }[source]
-    return rows.join(first, "item_id").withColumn("solution_text", text).drop("__a", "__b")
+    return skew_join(rows, first, ["item_id"]).withColumn("solution_text", text).drop("__a", "__b")
 
 
 def rollout_stats(selected: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenmill.functions.text import hash_pick, order_key, unit_interval
+from tokenmill.plans.joins import skew_join
 from tokenmill.plans.scan import dense_index, hash_blocks, ordered_scan
 
 
@@ -170,7 +171,8 @@ def replay_mix(
     both = main.withColumn("side", F.lit("main")).unionByName(
         replay.withColumn("side", F.lit("replay")), allowMissingColumns=True
     )
-    return taken.select("slot", "side", at.alias("idx")).join(both, ["side", "idx"])
+    # A short side is repeated often, which makes its rows hot.
+    return skew_join(taken.select("slot", "side", at.alias("idx")), both, ["side", "idx"])
 
 
 def phase_schedule(
@@ -197,7 +199,7 @@ def phase_schedule(
     both = phase1.withColumn("phase", F.lit(1)).unionByName(
         phase2.withColumn("phase", F.lit(2)), allowMissingColumns=True
     )
-    return slots.join(both, ["phase", "idx"])
+    return skew_join(slots, both, ["phase", "idx"])
 
 
 def epochs(df: DataFrame, n: int) -> DataFrame:

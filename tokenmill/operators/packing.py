@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.plans.scan import dense_index, prefix_sum
@@ -19,6 +19,23 @@ from tokenmill.plans.scan import dense_index, prefix_sum
 SHARD_DOCS = 8192
 
 
+def _piece_list(width: int, n: str) -> Column:
+    """Pieces of a document that starts at ``__s`` in the token stream."""
+    low = F.expr(f"greatest(0, (__s - 1) div {width})")
+    high = F.expr(f"(__s + {n} - 1) div {width}")
+
+    def piece(w):
+        base = w * F.lit(width)
+        frm = F.greatest(F.col("__s"), base)
+        to = F.least(F.col("__s") + F.col(n), base + F.lit(width + 1))
+        return F.struct(
+            w.alias("window"), (frm - F.col("__s")).alias("offset"), (to - frm).alias("take"),
+            (frm - base).alias("at"),
+        )
+
+    return F.transform(F.sequence(low, high), piece)
+
+
 def flat_pieces(docs: DataFrame, width: int, order: Sequence[str], n: str = "n") -> DataFrame:
     """Pieces of documents in the windows of a flat token stream.
 
@@ -27,25 +44,22 @@ def flat_pieces(docs: DataFrame, width: int, order: Sequence[str], n: str = "n")
     the piece in the window).
     """
     placed = prefix_sum(docs.filter(F.col(n) > 0), n, order, "__s")
-    end = F.col("__s") + F.col(n)
-    low = F.expr(f"greatest(0, (__s - 1) div {width})")
-    high = F.expr(f"(__s + {n} - 1) div {width}")
-    pieces = placed.withColumn("window", F.explode(F.sequence(low, high)))
-    base = F.col("window") * F.lit(width)
-    frm = F.greatest(F.col("__s"), base)
-    to = F.least(end, base + F.lit(width + 1))
-    return pieces.select(
-        *[c for c in docs.columns], "window",
-        (frm - F.col("__s")).alias("offset"), (to - frm).alias("take"), (frm - base).alias("at"),
-    )
+    pieces = placed.withColumn("__p", F.explode(_piece_list(width, n)))
+    return pieces.select(*docs.columns, "__p.window", "__p.offset", "__p.take", "__p.at")
 
 
 def pack_flat(tokens: DataFrame, width: int, order: Sequence[str], tail: str = "drop") -> DataFrame:
-    """Windows of ``width + 1`` ids from the documents' ids laid end to end."""
-    docs = tokens.withColumn("n", F.size("ids").cast("bigint"))
-    pieces = flat_pieces(docs, width, order).select(
-        "window", "at", F.slice("ids", (F.col("offset") + 1).cast("int"), F.col("take").cast("int")).alias("part")
-    )
+    """Windows of ``width + 1`` ids from the documents' ids laid end to end.
+
+    A document is cut before its pieces are multiplied out, so no piece carries the whole.
+    """
+    docs = tokens.withColumn("n", F.size("ids").cast("bigint")).filter("n > 0")
+    placed = prefix_sum(docs, "n", order, "__s")
+    cut = F.transform(_piece_list(width, "n"), lambda p: F.struct(
+        p["window"].alias("window"), p["at"].alias("at"),
+        F.slice("ids", (p["offset"] + 1).cast("int"), p["take"].cast("int")).alias("part"),
+    ))
+    pieces = placed.select(F.explode(cut).alias("p")).select("p.*")
     rows = pieces.groupBy("window").agg(
         F.flatten(F.transform(
             F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]
@@ -59,14 +73,12 @@ def pack_flat(tokens: DataFrame, width: int, order: Sequence[str], tail: str = "
 
 def shift_targets(packed: DataFrame, width: int, rows_per_window: int = 1) -> DataFrame:
     """Inputs and next-token targets of packed windows, ``rows_per_window`` rows each."""
-    at = F.col("__b") * F.lit(width)
-    return packed.withColumn(
-        "__b", F.explode(F.sequence(F.lit(0), F.lit(rows_per_window - 1)))
-    ).select(
-        "row_id", F.col("__b").alias("row_in_window"),
-        F.slice("ids", at + 1, F.lit(width)).alias("inputs"),
-        F.slice("ids", at + 2, F.lit(width)).alias("targets"),
-    )
+    rows = F.transform(F.sequence(F.lit(0), F.lit(rows_per_window - 1)), lambda b: F.struct(
+        b.alias("row_in_window"),
+        F.slice("ids", b * width + 1, F.lit(width)).alias("inputs"),
+        F.slice("ids", b * width + 2, F.lit(width)).alias("targets"),
+    ))
+    return packed.select("row_id", F.explode(rows).alias("r")).select("row_id", "r.*")
 
 
 def _best_fit(lengths, capacity, buffer):

@@ -223,17 +223,24 @@ def rolling_windows(tokens: DataFrame, max_len: int, prefix_id: int) -> DataFram
     as fit.
     """
     n = F.size("ids")
-    start = F.col("window") * max_len
-    end = F.least(n, start + max_len)
-    width = end - start
-    context = F.when(F.col("window") == 0, _ints(prefix_id)).otherwise(
-        F.slice("ids", end - max_len, F.lit(max_len + 1) - width)
-    )
     last = F.floor((n - 1) / max_len).cast("int")
-    return tokens.filter(n > 0).withColumn("window", F.explode(F.sequence(F.lit(0), last))).select(
-        *[c for c in tokens.columns if c != "ids"], "window", context.alias("context_ids"),
-        F.slice("ids", start + 1, width).alias("continuation_ids"),
-    )
+
+    def window(w):
+        start = w * max_len
+        end = F.least(n, start + max_len)
+        width = end - start
+        context = F.when(w == 0, _ints(prefix_id)).otherwise(
+            F.slice("ids", end - max_len, F.lit(max_len + 1) - width))
+        return F.struct(
+            w.alias("window"), context.alias("context_ids"),
+            F.slice("ids", start + 1, width).alias("continuation_ids"),
+        )
+
+    # Windows are cut before they are multiplied out, so none carries the whole text.
+    cut = F.transform(F.sequence(F.lit(0), last), window)
+    return tokens.filter(n > 0).select(
+        *[c for c in tokens.columns if c != "ids"], F.explode(cut).alias("w")
+    ).select(*[c for c in tokens.columns if c != "ids"], "w.*")
 
 
 def common_length(seqs: DataFrame, direction: str = "left") -> DataFrame:

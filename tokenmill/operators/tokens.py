@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -160,7 +161,45 @@ def token_bytes(vocab: DataFrame, mode: str = "exact") -> DataFrame:
     return vocab.select("token_id", F.when(F.col("is_special"), 0).otherwise(size).alias("n_bytes"))
 
 
+def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Same result for long pre-tokens, with a heap of candidate merges over a linked list."""
+    n = len(word)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = []
+
+    def offer(i):
+        j = after[i]
+        if j < n:
+            rank = ranks.get(word[i:end[j]])
+            if rank is not None:
+                heappush(heap, (rank, i, end[i], end[j]))
+
+    for i in range(n - 1):
+        offer(i)
+    alive = [True] * n
+    while heap:
+        _, i, mid, stop = heappop(heap)
+        j = after[i]
+        # Skip candidates whose parts have changed since they were offered.
+        if not alive[i] or end[i] != mid or j >= n or end[j] != stop:
+            continue
+        alive[j] = False
+        end[i], after[i] = stop, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i:end[i]]])
+        i = after[i]
+    return out
+
+
 def _encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    if len(word) > 100:
+        return _encode_long(word, ranks)
     parts = [word[i:i + 1] for i in range(len(word))]
     while len(parts) > 1:
         joined = [ranks.get(parts[i] + parts[i + 1]) for i in range(len(parts) - 1)]
@@ -209,7 +248,7 @@ def tokenize(
                 ids = known.get(w)
                 if ids is None:
                     ids = _encode_word(w.encode("utf-8"), table)
-                    if len(known) < 500_000:
+                    if len(known) < 200_000 and len(w) < 100:
                         known[w] = ids
                 encoded.append(ids)
             sizes = np.fromiter((len(e) for e in encoded), dtype=np.int64, count=len(encoded))

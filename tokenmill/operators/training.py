@@ -26,7 +26,9 @@ def ema(step_log: DataFrame, beta: float = 0.9, value: str = "loss") -> DataFram
     if not 0 < beta < 1:
         raise ValueError("beta must lie between 0 and 1")
     chunk = max(1, math.ceil(-100 * math.log(10) / math.log(beta)))
-    rows = dense_index(step_log.select("run", "step", value), ["step"], "__i", by=["run"]).select(
+    # Read twice below, so the narrow table is written once.
+    placed = cut_lineage(dense_index(step_log.select("run", "step", value), ["step"], "__i", by=["run"]), "steps")
+    rows = placed.select(
         "run", "step", value, F.col("__i"),
         F.expr(f"__i div {chunk}").alias("__c"), F.pmod("__i", F.lit(chunk)).alias("__k"),
     )

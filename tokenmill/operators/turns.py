@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenmill.functions.text import blank, col, present, strip
+from tokenmill.plans.joins import skew_join
 
 # Role names and the role they stand for.
 USER_ROLES = ("user", "human", "instruction", "prompt")
@@ -179,20 +180,17 @@ def parse_transcripts(df: DataFrame, text_col: str, id_col: str = "conv_id") ->
 def pair_messages(df: DataFrame) -> DataFrame:
     """Pairs of a user message and an assistant reply to it, English where the language is known.
 
-    ``df(message_id, parent_id, role, lang, text)``. A plain equi-join: adaptive execution
-    splits a parent with very many replies.
+    ``df(message_id, parent_id, role, lang, text)``. An equi-join in which a
+    parent with very many replies is spread out.
     """
     english = F.col("lang").isNull() | F.col("lang").isin("", "en")
     usable = english & (F.coalesce(F.col("text"), F.lit("")) != "")
     role = F.lower("role")
     child = df.filter(usable & (role == "assistant") & (F.coalesce("parent_id", F.lit("")) != ""))
     parent = df.filter(usable & role.isin("prompter", "user", "human"))
-    return child.select(
-        F.col("parent_id"), F.col("message_id"), F.col("text").alias("assistant_text")
-    ).join(
-        parent.select(F.col("message_id").alias("parent_id"), F.col("text").alias("user_text")),
-        "parent_id",
-    )
+    replies = child.select("parent_id", "message_id", F.col("text").alias("assistant_text"))
+    asked = parent.select(F.col("message_id").alias("parent_id"), F.col("text").alias("user_text"))
+    return skew_join(replies, asked, ["parent_id"])
 
 
 def check_limits(turns: DataFrame, limits: dict = LIMITS) -> DataFrame:

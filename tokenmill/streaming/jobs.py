@@ -45,7 +45,8 @@ def stream_ema(step_log: DataFrame, beta: float = 0.9) -> DataFrame:
     """Debiased moving average per run of ``step_log(run, step, loss)``.
 
     The state is the average and the number of steps. Rows of a run are taken in step order
-    within a trigger, and triggers are taken to arrive in step order.
+    within a trigger, and triggers are taken to arrive in step order. A trigger's rows of one
+    run are held at once: bound them with the source's ``maxFilesPerTrigger``.
     """
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
