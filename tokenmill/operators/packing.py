@@ -217,20 +217,21 @@ def packed_rows(placements: DataFrame, tokens: DataFrame, key: str) -> DataFrame
 def packing_report(placements: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Utilization, cropping and padding of a packing, next to the smallest possible crop."""
     capacity = width + 1
-    whole = docs.agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.sum("n").alias("n_tokens"),
-        F.sum(F.greatest(F.col("n") - capacity, F.lit(0))).alias("min_crop_tokens"),
-    )
-    rows = placements.groupBy("shard", "row").agg(
-        F.sum("take").alias("__t"), F.sum(F.col("n") - F.col("take")).alias("__c"),
-        F.count(F.lit(1)).alias("__d"),
+    zero = F.lit(0).cast("bigint")
+    whole = docs.select(
+        F.lit(1).cast("bigint").alias("n_docs"), F.col("n").alias("n_tokens"),
+        F.greatest(F.col("n") - capacity, zero).alias("min_crop_tokens"),
+        *[zero.alias(c) for c in ("n_rows", "placed_docs", "placed_tokens", "cropped_tokens")],
     )
-    used = rows.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("__t").alias("placed_tokens"),
-        F.sum("__c").alias("cropped_tokens"), F.sum("__d").alias("placed_docs"),
+    used = placements.select(
+        *[zero.alias(c) for c in ("n_docs", "n_tokens", "min_crop_tokens")],
+        # Every row has exactly one first piece.
+        F.when(F.col("slot") == 0, 1).otherwise(0).cast("bigint").alias("n_rows"),
+        F.lit(1).cast("bigint").alias("placed_docs"), F.col("take").cast("bigint").alias("placed_tokens"),
+        (F.col("n") - F.col("take")).alias("cropped_tokens"),
     )
-    one = whole.withColumn("__k", F.lit(1)).join(used.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    both = whole.unionByName(used)
+    one = both.agg(*[F.sum(c).alias(c) for c in both.columns])
     room = F.col("n_rows") * F.lit(capacity)
     pct = lambda a, b: F.try_divide(F.lit(100.0) * a, b)
     return one.select(
