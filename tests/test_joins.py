@@ -33,3 +33,21 @@ def test_hot_rows_are_spread(spark):
 def test_broadcast_is_checked(spark):
     plan = lambda rows: spark.range(10).join(broadcast_up_to(spark.range(5), rows), "id")._jdf.queryExecution().toString()
     assert "strategy=broadcast" in plan(5) and "strategy=broadcast" not in plan(4)
+
+
+def test_scans_of_few_row_groups_are_spread(spark, tmp_path):
+    from tokenmill.plans.session import spread
+
+    path = str(tmp_path / "one")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    assert spread(spark.read.parquet(path), "id").select(F.spark_partition_id()).distinct().count() > 1
+    many = str(tmp_path / "many")
+    spark.range(1000).repartition(16).write.parquet(many)
+    df = spark.read.parquet(many)
+    assert spread(df, "id") is df
+
+
+def test_functions_travel_by_value():
+    from pyspark import cloudpickle
+
+    assert "tokenmill" in cloudpickle.list_registry_pickle_by_value()

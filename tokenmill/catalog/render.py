@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.catalog.base import query, sql_shuffle_key, table
 from tokenmill.operators import mixing as m, render as r, tokens as tk, turns as t
+from tokenmill.plans.session import spread
 
 
 def _answered(spark, sf):
@@ -184,7 +185,7 @@ def spans_lm(spark, sf):
         CASE WHEN k = 0 THEN '0100' ELSE md5(substr(h, 2 * (e - 513) + 1, 2 * (s - (e - 513)))) END AS context,
         md5(substr(h, 2 * s + 1, 2 * (e - s))) AS continuation FROM e""")
 def rolling_windows(spark, sf):
-    ids = tk.tokenize(table(spark, sf, "documents"), tk.byte_vocab(spark), ["doc_id"])
+    ids = tk.tokenize(spread(table(spark, sf, "documents"), "doc_id"), tk.byte_vocab(spark), ["doc_id"])
     hexed = lambda c: F.array_join(F.transform(c, lambda i: F.lpad(F.hex(i), F.when(i > 255, 4).otherwise(2), F.lit("0"))), "")
     w = r.rolling_windows(ids, 512, 256)
     return w.select("doc_id", "window",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.catalog.base import query, table
 from tokenmill.operators import tokens as tk
+from tokenmill.plans.session import spread
 
 # RE2 has neither possessive quantifiers nor lookahead. The possessive ones change nothing
 # here, and the lookahead is replaced by a mark before the last blank of a run of blanks.
@@ -20,7 +21,7 @@ WORDS = f"""
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"), "doc_id")
 
 
 @query("a9_count_pretokens", WORDS + " SELECT word, count(*) AS n FROM w GROUP BY word")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,3 +41,16 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Put a scan of few row groups on all cores before work that is heavy per row.
+
+    A scan of at least as many files as cores is left alone without looking at it. Below that,
+    a count that reads no column tells how many tasks would have rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    filled = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df if filled >= cores else df.repartition(cores, *key)
