@@ -282,3 +282,32 @@ def test_no_valid_row(spark):
     with pytest.raises(ValueError):
         mx.apply_valid_policy(df, "ok", "check")
     assert mx.apply_valid_policy(df, "ok", "fill_next").filter("source_idx is not null").count() == 0
+
+
+def test_registries():
+    from tokenmill.plans import profiles as pr
+
+    assert len(pr.SUBJECTS) == 57 and all(s in pr.SUBJECTS for g in pr.SUBJECT_GROUPS.values() for s in g)
+    assert len(pr.CALL_COLLECTIONS["all"]) == 23
+    assert pr.call_files("non_python") == {
+        k: (f"BFCL_v3_{k}.json", f"possible_answer/BFCL_v3_{k}.json") for k in ("java", "javascript")}
+    assert set(ad.SET_ALIASES.values()) <= set(ad.SETS) | {"oasst1"}
+    for build in pr.PROFILES.values():
+        for part in build():
+            assert part.name in ad.ADAPTERS or part.name in ad.SETS or part.name in (
+                "identity", "simple_spelling", "spelling", "bfcl")
+
+
+def test_chat_composite(spark):
+    from tokenmill.operators import metrics as mt
+
+    rows = [(k, 0.5) for k in mt.CHAT_BASELINES] + [("More", 0.5)]
+    df = spark.createDataFrame(rows, "task string, accuracy double")
+    out = mt.chat_composite(df).first()
+    assert out.composite == pytest.approx((3 * (0.25 / 0.75) + 4 * 0.5) / 7)
+    assert mt.chat_composite(df.filter("task <> 'MMLU'")).first().composite is None
+
+
+def test_subject_of_a_known_name(spark):
+    df = spark.createDataFrame([("", "virology"), ("law", "virology"), (None, "nonsense")], "topic string, name string")
+    assert [r.s for r in df.select(ad.extract_subject(df).alias("s")).collect()] == ["virology", "law", ""]

@@ -14,6 +14,12 @@ from tokenmill.plans.joins import broadcast_up_to, skew_join
 from tokenmill.plans.scan import dense_index
 
 
+# Chance levels of the chat tasks, which are also the ones a composite needs.
+CHAT_BASELINES = {
+    "ARC-Easy": 0.25, "ARC-Challenge": 0.25, "MMLU": 0.25, "GSM8K": 0.0, "HumanEval": 0.0, "SpellingBee": 0.0,
+}
+
+
 def accuracy(outcomes: DataFrame, by: Sequence[str] = ("task",), max_problems: int | None = None) -> DataFrame:
     """Share of items with any correct sample.
 
@@ -124,6 +130,12 @@ def centered_score(
     )
 
 
+def chat_composite(accuracies: DataFrame) -> DataFrame:
+    """Centered chat scores; the composite needs all six tasks and averages over all given."""
+    base = accuracies.sparkSession.createDataFrame(list(CHAT_BASELINES.items()), "task string, baseline double")
+    return centered_score(accuracies, base, required=list(CHAT_BASELINES))
+
+
 def vocab_stats(token_bytes: DataFrame) -> DataFrame:
     """Byte lengths over the non-special tokens."""
     return token_bytes.filter("n_bytes > 0").agg(

@@ -20,6 +20,7 @@ from tokenmill.functions.text import blank, extract, factoid, lone_letter, prese
 from tokenmill.operators import choices as ch
 from tokenmill.operators import tools as tl
 from tokenmill.operators.turns import filter_english, first_of
+from tokenmill.plans.profiles import SUBJECTS
 
 PARTS = "array<struct<type:string,text:string>>"
 SUBJECT_KEYS = (
@@ -92,7 +93,8 @@ def known_letter(question: Column, letters: Column, options: Column, letter: Col
 
 # ---- benchmark tasks ---------------------------------------------------------------------
 
-def extract_subject(df: DataFrame, known: Sequence[str] = ()) -> Column:
+def extract_subject(df: DataFrame, known: Sequence[str] = SUBJECTS) -> Column:
+    """Subject from the first filled subject column, else from a name column with a known subject."""
     named = [F.nullif(strip(F.col(k)), F.lit("")) for k in SUBJECT_KEYS if k in df.columns]
     listed = [
         F.when(strip(F.col(k)).isin(*known), strip(F.col(k)))
@@ -602,6 +604,27 @@ SETS: dict[str, Adapter] = {
     "aime24": math_ai, "aime25": math_ai, "math500": math_ai, "amc23": math_ai, "mbpp": mbpp_like,
     "code-bagel": instruction, "z1-code-reasoning": prompt_completion,
 }
+# Other names of the sets.
+SET_ALIASES = {
+    "openai/gsm8k": "gsm8k", "madrylab/gsm8k-platinum": "gsm8k-platinum", "567-labs/gsm8k": "gsm8k-567",
+    "eleutherai/hendrycks_math": "hendrycks-math", "nlile/hendrycks-math-benchmark": "hendrycks-math-benchmark",
+    "allenai/math_qa": "math_qa", "regisss/math_qa": "math_qa", "mu-nlpc/calc-svamp": "calc-svamp",
+    "nivektk/math-augmented-dataset": "math-augmented", "tatsu-lab/alpaca": "alpaca",
+    "aisquared/databricks-dolly-15k": "dolly-15k", "databricks/databricks-dolly-15k": "dolly-15k",
+    "anthropic/hh-rlhf": "hh-rlhf", "lmsys/lmsys-chat-1m": "lmsys-chat-1m", "openassistant/oasst1": "oasst1",
+    "h2oai/openassistant_oasst1": "oasst1-h2oai", "mugivara1/json-mermaid": "json-mermaid",
+    "moogin/json-mermaid": "json-mermaid", "huggingfaceh4/ultrachat_200k": "ultrachat-200k",
+    "open-orca/openorca": "openorca", "ryokoai/sharegpt52k": "sharegpt-52k",
+    "lasgroup/verifiable-corpus": "verifiable-corpus", "commonsense_qa": "commonsense-qa", "piqa": "piqa",
+    "winogrande": "winogrande", "cosmos_qa": "cosmos-qa", "boolq": "boolq", "race": "race",
+    "jet-ai/social_i_qa": "social-iqa", "happyeval/social_i_qa-text": "social-iqa",
+    "allenai/social_i_qa": "social-iqa", "allenai/qasc": "qasc", "heka-ai/logiqa": "logiqa",
+    "lucasmccabe/logiqa": "logiqa", "rikotemaster/aqua-rat-mcqa": "aqua-rat-mcqa",
+    "deepmind/aqua_rat": "aqua-rat-mcqa", "idavidrein/gpqa-d": "gpqa-d", "tiger-lab/mmlu-pro": "mmlu-pro",
+    "math-ai/aime24": "aime24", "math-ai/aime25": "aime25", "math-ai/math500": "math500", "math-ai/amc23": "amc23",
+    "google-research-datasets/mbpp": "mbpp", "replete-ai/code_bagel": "code-bagel",
+    "efficientscaling/z1-code-reasoning-107k": "z1-code-reasoning",
+}
 # "oasst1" is a join of messages with their parents: operators.turns.pair_messages.
 
 
@@ -614,7 +637,13 @@ def to_conversations(
     ``adapter`` is a name or a function. ``on_invalid='drop'`` removes rows that cannot be
     converted, ``'flag'`` keeps them with ``is_valid`` false.
     """
-    fn = (ADAPTERS.get(adapter) or SETS[adapter]) if isinstance(adapter, str) else adapter
+    if isinstance(adapter, str):
+        name = SET_ALIASES.get(adapter.lower(), adapter)
+        fn = ADAPTERS.get(name) or SETS.get(name)
+        if fn is None:
+            raise ValueError(f"Unknown adapter {adapter!r}")
+    else:
+        fn = adapter
     if english_only:
         df = filter_english(df)
     row = fn(df)

@@ -24,6 +24,21 @@ MATH_SUBJECTS = (
     "number_theory", "prealgebra", "precalculus",
 )
 
+# The subjects of the multi-subject question set.
+SUBJECTS = tuple("""
+    abstract_algebra anatomy astronomy business_ethics clinical_knowledge college_biology college_chemistry
+    college_computer_science college_mathematics college_medicine college_physics computer_security
+    conceptual_physics econometrics electrical_engineering elementary_mathematics formal_logic global_facts
+    high_school_biology high_school_chemistry high_school_computer_science high_school_european_history
+    high_school_geography high_school_government_and_politics high_school_macroeconomics
+    high_school_mathematics high_school_microeconomics high_school_physics high_school_psychology
+    high_school_statistics high_school_us_history high_school_world_history human_aging human_sexuality
+    international_law jurisprudence logical_fallacies machine_learning management marketing medical_genetics
+    miscellaneous moral_disputes moral_scenarios nutrition philosophy prehistory professional_accounting
+    professional_law professional_medicine professional_psychology public_relations security_studies sociology
+    us_foreign_policy virology world_religions
+""".split())
+
 # Subject groups that can be up-weighted.
 SUBJECT_GROUPS = {
     "physics": ["astronomy", "college_physics", "conceptual_physics", "high_school_physics"],
@@ -41,6 +56,39 @@ REASONING_SETS = (
 )
 
 
+# Subsets of the function-call benchmark, and those whose answers are stored apart.
+_EXEC = ["exec_simple", "exec_parallel", "exec_multiple", "exec_parallel_multiple"]
+_PLAIN = ["simple", "irrelevance", "parallel", "multiple", "parallel_multiple"]
+_LIVE = ["live_simple", "live_multiple", "live_parallel", "live_parallel_multiple", "live_irrelevance", "live_relevance"]
+_MULTI = [f"multi_turn_{k}" for k in ("base", "miss_func", "miss_param", "long_context", "composite")]
+_OTHER = ["java", "javascript"]
+CALL_COLLECTIONS = {
+    "all": _EXEC + _PLAIN + _OTHER + ["rest"] + _LIVE + _MULTI,
+    "multi_turn": _MULTI,
+    "single_turn": _EXEC + _PLAIN + _OTHER + ["rest"] + _LIVE,
+    "live": _LIVE,
+    "non_live": _EXEC + _PLAIN + _OTHER + ["rest"],
+    "executable": _EXEC + ["rest"],
+    "non_python": _OTHER,
+    "python": _EXEC + _PLAIN + ["rest"] + _LIVE,
+}
+CALL_ANSWERS = {
+    "simple", "multiple", "parallel", "parallel_multiple", "java", "javascript", "sql", "live_simple",
+    "live_multiple", "live_parallel", "live_parallel_multiple", *_MULTI,
+}
+
+
+def call_files(collection: str = "all") -> dict[str, tuple[str, str | None]]:
+    """Item file and answer file of each subset of a function-call collection."""
+    if collection not in CALL_COLLECTIONS:
+        raise ValueError(f"Unknown collection {collection!r}. Available: {sorted(CALL_COLLECTIONS)}")
+    name = lambda s: f"BFCL_v3_{s}.json"
+    return {
+        s: (name(s), f"possible_answer/{name(s)}" if s in CALL_ANSWERS else None)
+        for s in CALL_COLLECTIONS[collection]
+    }
+
+
 @dataclass(frozen=True)
 class Part:
     """One entry of a profile."""
