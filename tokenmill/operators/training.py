@@ -111,9 +111,9 @@ def early_stop(
     if min_delta == 0:
         hits = minima.select("run", "__i")
     else:
-        levels = dense_index(
+        levels = cut_lineage(dense_index(
             minima.select("run", "__i", (-F.col("__v")).alias("__level")), ["__i"], "__p", by=["run"]
-        )
+        ), "minima")
         chain = greedy_chain(levels, "__p", "__level", float(min_delta), by=["run"], strict=True)
         hits = levels.join(chain, ["run", "__p"]).select("run", "__i")
     marked = scan.join(hits.withColumn("__hit", F.lit(True)), ["run", "__i"], "left")

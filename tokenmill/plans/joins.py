@@ -7,19 +7,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE = 5000
 HOT_SHARE = 0.02
 SALTS = 64
 
 
+def _row_hash(df: DataFrame, on: Sequence[str]):
+    """Hash that tells rows of one key apart, from narrow columns where there are some."""
+    narrow = [f.name for f in df.schema if f.name not in on and isinstance(f.dataType, (T.NumericType, T.DatetimeType))]
+    return F.xxhash64(*on, *narrow) if narrow else F.xxhash64(*df.columns)
+
+
 def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, sample: int = SAMPLE) -> list[tuple]:
     """Keys with at least ``share`` of the rows, by a bounded sample of key values.
 
-    The sample takes the rows with the smallest hashes of the whole row, so it is the same on
-    every run, and only ``sample`` keys reach the driver.
+    The sample takes the rows with the smallest hashes, so it is the same on every run, and
+    only ``sample`` keys reach the driver.
     """
-    rows = df.select(*on, F.xxhash64(*df.columns).alias("__x")).orderBy("__x").limit(sample).select(*on).collect()
+    rows = df.select(*on, _row_hash(df, on).alias("__x")).orderBy("__x").limit(sample).select(*on).collect()
     floor = max(2, share * len(rows))
     return [k for k, n in Counter(tuple(r) for r in rows).items() if n >= floor and None not in k]
 
