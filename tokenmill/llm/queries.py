@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.catalog.base import table
-from tokenmill.llm import binary_packing, chunk_pieces
+from tokenmill.llm import binary_packing, chunk_pieces, extendible, merkle, path_templates
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,26 @@ def query(fn):
     return fn
 
 
+#: Bytes of text that a shard of the given tables may hold; 128 MiB is the operator's default for large corpora.
+SHARD_BYTES = 1 << 20
+
+
+@query
+def op3_extendible_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """Shard of every document, none over the byte limit."""
+    return extendible.assign(table(spark, sf, "documents"), SHARD_BYTES)
+
+
+@query
+def op5_merkle_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document, its edited form, and their likeness."""
+    marks = merkle.against_edits(table(spark, sf, "documents"))
+    return marks.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+        F.size("edits").alias("n_edits"), F.get(F.col("edits.start"), 0).alias("first_edit"),
+    )
+
+
 @query
 def op7_binary_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Power-of-two pieces of every document; the digest of a piece is taken from its ids."""
@@ -27,6 +47,23 @@ def op7_binary_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Host, path and verdict of the given rules.
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query
+def op8_path_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule and verdict of every page; pages without a rule are judged by their path template."""
+    judged = path_templates.judge(table(spark, sf, "pages"), RULES)
+    return judged.withColumn("purity", F.round("purity", 9))
+
+
 @query
 def op9_chunk_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Ids and decoded text of every document as digests."""
