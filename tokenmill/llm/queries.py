@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.catalog.base import table
-from tokenmill.llm import binary_packing, chunk_pieces, extendible, merkle, path_templates
+from tokenmill.llm import binary_packing, chunk_pieces, extendible, merkle, path_templates, permutations
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,9 @@ def op9_chunk_pieces(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_permutation_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return permutations.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
