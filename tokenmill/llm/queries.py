@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.catalog.base import table
-from tokenmill.llm import binary_packing, chunk_pieces, extendible, merkle, path_templates, permutations
+from tokenmill.llm import binary_packing, byte_cnn, chunk_pieces, extendible, merkle, passages, path_templates, permutations
+from tokenmill.llm.batches import crc_bucket
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +19,14 @@ def query(fn):
     return fn
 
 
+@query
+def op2_byte_cnn(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, sf, "documents")
+    found = byte_cnn.identify(docs, crc_bucket("doc_id", 4) != 2)
+    return found.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 #: Bytes of text that a shard of the given tables may hold; 128 MiB is the operator's default for large corpora.
 SHARD_BYTES = 1 << 20
 
@@ -28,6 +37,17 @@ def op3_extendible_shards(spark: SparkSession, sf: str) -> DataFrame:
     return extendible.assign(table(spark, sf, "documents"), SHARD_BYTES)
 
 
+@query
+def op4_attention_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document, learned from the labels of four fifths of them."""
+    docs = table(spark, sf, "documents")
+    scored = passages.score(docs, table(spark, sf, "labels"), crc_bucket("doc_id", 5) != 0)
+    return scored.select(
+        "doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op5_merkle_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of every document, its edited form, and their likeness."""
