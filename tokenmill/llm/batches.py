@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: Characters of text that a Python task turns over at once; a longer document is a group of its own.
 GROUP_CHARS = 1 << 20
 #: Entries of a task's table of distinct strings; a full table is emptied, which costs time only.
-TABLE_ROWS = 1 << 18
+TABLE_ROWS = 1 << 20
 
 
 def take(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,10 +51,19 @@ def process_cache(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
+def lists_in_a_row(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array and their lengths."""
+    length = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(length.sum())), length
+
+
 class DistinctTable:
-    """Ids of distinct strings: each string is encoded once and found by position afterwards."""
+    """Ids of distinct strings: each string is encoded once and found by position afterwards.
+
+    ``encode`` takes strings and returns all their ids in a row and the number of ids of each.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], rows: int = TABLE_ROWS):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], rows: int = TABLE_ROWS):
         self.encode, self.rows = encode, rows
         self._clear()
 
@@ -64,16 +74,15 @@ class DistinctTable:
 
     def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each word has."""
-        new = sorted(set(words).difference(self.at))
+        new = list(set(words).difference(self.at))
         if len(self.at) + len(new) > self.rows and self.at:
             self._clear()
-            new = sorted(set(words))
+            new = list(set(words))
         if new:
-            ids = self.encode(new)
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, length = self.encode(new)
             start = len(self.flat) + np.cumsum(length) - length
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(length.sum()))])
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
             self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
         row = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         n = self.length[row]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.batches import TABLE_ROWS, DistinctTable, process_cache, take, text_groups
+from tokenmill.llm.batches import TABLE_ROWS, DistinctTable, lists_in_a_row, process_cache, take, text_groups
 
 PIECES = "doc_id {id}, piece_no long, start long, length long, bucket int, doc_tokens long, ids binary"
 MARK = "<|endoftext|>"
@@ -25,7 +25,7 @@ def word_encoder(spec: str):
     """Encode white-space separated words with a tokenizer that drops white space.
 
     New words are joined with a special token between them, which the tokenizer always splits
-    off, so that one call encodes many words; words that hold such a token go one by one.
+    off, so that one call encodes many words; where a word holds such a token, words go one by one.
     """
     import os
 
@@ -39,21 +39,17 @@ def word_encoder(spec: str):
     def alone(word: str) -> list[int]:
         return tokenizer.encode(word, add_special_tokens=False).ids
 
-    def encode(words: list[str]) -> list[list[int]]:
-        if between is None:
-            return [alone(w) for w in words]
-        plain = [not any(a in w for a in added) for w in words] if added else [True] * len(words)
-        free = [w for w, p in zip(words, plain) if p]
-        lots = [free[i : i + 256] for i in range(0, len(free), 256)]
-        coded: list[list[int]] = []
-        for lot, out in zip(lots, tokenizer.encode_batch_fast([f" {MARK} ".join(x) for x in lots], add_special_tokens=False)):
-            ids = np.array(out.ids, np.int64)
-            parts = [p.tolist() for p in np.split(ids, np.flatnonzero(ids == between))]
-            coded += [parts[0], *(p[1:] for p in parts[1:])]
-            if len(parts) != len(lot):
-                raise ValueError("the tokenizer does not keep its special token apart")
-        rest = iter(coded)
-        return [next(rest) if p else alone(w) for w, p in zip(words, plain)]
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = "\n".join(words)
+        if between is None or any(a in joined for a in added):
+            return lists_in_a_row([alone(w) for w in words])
+        lots = [f" {MARK} ".join(words[i : i + 256]) + f" {MARK}" for i in range(0, len(words), 256)]
+        out = tokenizer.encode_batch_fast(lots, add_special_tokens=False)
+        ids, _ = lists_in_a_row([x.ids for x in out])
+        marks = np.flatnonzero(ids == between)
+        if len(marks) != len(words):
+            raise ValueError("the tokenizer does not keep its special token apart")
+        return ids[ids != between], np.diff(marks, prepend=-1) - 1
 
     return encode
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tokenmill.llm.batches import TABLE_ROWS, DistinctTable, process_cache, take, text_groups
+from tokenmill.llm.batches import TABLE_ROWS, DistinctTable, lists_in_a_row, process_cache, take, text_groups
 
 MARKER = "▁"
 CHUNK = re.compile(f"{MARKER}+[^{MARKER}]*")
@@ -44,12 +44,12 @@ def chunks(text: str) -> list[str]:
     return [MARKER + w for w in marked[1:].split(MARKER)]
 
 
-def segment(model, new: list[str]) -> list[list[int]]:
+def segment(model, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of marked words. The library puts a marker before a text, so a word goes without its first one."""
     ids = model.encode([c[1:] for c in new], num_threads=1)
     if MARKER in new:  # at the end of a text; behind a word, since an empty text has no ids
         ids[new.index(MARKER)] = model.encode("x" + MARKER)[len(model.encode("x")) :]
-    return ids
+    return lists_in_a_row(ids)
 
 
 def encode(
