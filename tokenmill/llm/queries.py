@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.catalog.base import table
-from tokenmill.llm import binary_packing, byte_cnn, chunk_pieces, extendible, merkle, passages, path_templates, permutations
+from tokenmill.llm import binary_packing, byte_cnn, chunk_pieces, extendible, merkle, near_dedup, passages, path_templates, permutations
 from tokenmill.llm.batches import crc_bucket
 
 QUERIES = {}
@@ -19,6 +19,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_circulant_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate group of every document: four words, similarity of 0.8 or more."""
+    return near_dedup.groups(table(spark, sf, "documents"), width=4, share=(80, 100))
+
+
 @query
 def op2_byte_cnn(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document, learned from three quarters of them."""
