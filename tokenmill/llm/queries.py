@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.catalog.base import table
-from tokenmill.llm import binary_packing, byte_cnn, chunk_pieces, extendible, merkle, near_dedup, passages, path_templates, permutations
+from tokenmill.llm import binary_packing, byte_cnn, chunk_pieces, extendible, maxent, merkle, near_dedup, passages, path_templates, permutations
 from tokenmill.llm.batches import crc_bucket
 
 QUERIES = {}
@@ -64,6 +64,13 @@ def op5_merkle_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op6_maxent_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """log10 probability of every document, learned from nine tenths of them."""
+    scored = maxent.score(table(spark, sf, "documents"), crc_bucket("doc_id", 10) != 0)
+    return scored.withColumn("held_out", crc_bucket("doc_id", 10) == 0)
+
+
 @query
 def op7_binary_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Power-of-two pieces of every document; the digest of a piece is taken from its ids."""
