@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of text that a Python task turns over at once; a longer document is a group of its own.
 GROUP_CHARS = 1 << 20
@@ -18,16 +19,32 @@ GROUP_CHARS = 1 << 20
 TABLE_ROWS = 1 << 20
 
 
-def take(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def take(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """Only the id and the whole text, under fixed names; a null text becomes empty.
 
-    Other columns, whatever their names, are left behind, so none can clash.
+    Other columns, whatever their names, are left behind, or carried inside the struct ``row``
+    with all given columns as they are, so none can clash.
     """
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     return docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+        F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *row
     )
 
 
+def out_schema(docs: DataFrame, fields: str) -> T.StructType:
+    """Schema of an operator's rows: doc_id as given, the fields, and row where it is carried."""
+    out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(fields)])
+    return out.add("row", docs.schema["row"].dataType) if "row" in docs.columns else out
+
+
+def out_batch(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    """The rows of ``out_schema``, one for each document of the batch."""
+    own = {"doc_id": batch.column("doc_id"), **columns}
+    if "row" in batch.schema.names:
+        own["row"] = batch.column("row")
+    return pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
+
+
 def crc_bucket(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % mod

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenmill.llm.batches import take, text_groups
+from tokenmill.llm.batches import out_batch, out_schema, take, text_groups
 
 #: Bytes of a window, widths of the filters (up to 4) and filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
@@ -149,9 +149,9 @@ def sample(docs: DataFrame, marks: DataFrame, per_label: int, id_col: str, text_
 
 def identify(
     docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
-    per_lang: int = 400,
+    per_lang: int = 400, carry: bool = False,
 ) -> DataFrame:
-    """Language of every whole text: doc_id, lang_pred, score (its probability).
+    """Language of every whole text: doc_id, lang_pred, score (its probability), with ``carry`` also row (all given columns).
 
     The network learns from at most ``per_lang`` labelled texts of each language where ``learn``
     holds; predictions read the text's bytes only. A null text, or one without a letter, is
@@ -162,8 +162,7 @@ def identify(
     texts, langs = sample(docs, marks, per_lang, id_col, text_col)
     net = train(texts, langs) if texts else None
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    docs = take(docs, id_col, text_col).withColumn("letters", F.col("text").rlike(r"\p{L}"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = take(docs, id_col, text_col, carry).withColumn("letters", F.col("text").rlike(r"\p{L}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -186,9 +185,6 @@ def identify(
                 for i, has in enumerate(letters):
                     if has:
                         lang[i], score[i] = net.langs[best[i]], float(prob[i, best[i]])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                names=["doc_id", "lang_pred", "score"],
-            )
+            yield out_batch(batch, lang_pred=pa.array(lang, pa.string()), score=pa.array(score, pa.float64()))
 
-    return docs.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.mapInArrow(run, out_schema(docs, "lang_pred string, score double"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.batches import take, text_groups
+from tokenmill.llm.batches import out_batch, out_schema, take, text_groups
 from tokenmill.llm.byte_cnn import sample, spans, text_bytes
 from tokenmill.llm.word_hashes import words
 
@@ -112,10 +112,10 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
 
 def score(
     docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id",
-    text_col: str = "text", per_label: int = 2000, prior: float = 0.5,
+    text_col: str = "text", per_label: int = 2000, prior: float = 0.5, carry: bool = False,
 ) -> DataFrame:
     """Quality of every whole text: doc_id, score (0 to 1, higher: label 1 likelier), attention
-    (byte offset of the passage that weighs most).
+    (byte offset of the passage that weighs most), with ``carry`` also row (all given columns).
 
     Fitted on at most ``per_label`` documents of either label where ``learn`` holds, joined to
     ``labels`` by id (a repeated label counts once, the larger one). Scores read the text only.
@@ -136,8 +136,7 @@ def score(
         share = np.clip(np.mean(given), 1e-3, 1 - 1e-3)
         shift = float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    docs = take(docs, id_col, text_col)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = take(docs, id_col, text_col, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -149,9 +148,6 @@ def score(
                 p = np.clip(p, 1e-9, 1 - 1e-9)
                 p = 1 / (1 + np.exp(-(np.log(p / (1 - p)) + shift)))
                 top = np.array([int(a[f : f + k].argmax()) for f, k in zip(first, n)], np.int64) * PASSAGE
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(p, pa.float64()), pa.array(top, pa.int64())],
-                names=["doc_id", "score", "attention"],
-            )
+            yield out_batch(batch, score=pa.array(p, pa.float64()), attention=pa.array(top, pa.int64()))
 
-    return docs.mapInArrow(run, f"doc_id {kind}, score double, attention long")
+    return docs.mapInArrow(run, out_schema(docs, "score double, attention long"))
