@@ -21,7 +21,8 @@ def _byte_lengths(spark, sf):
 
 
 def _shard_folder(docs, path):
-    """One file per 250 document numbers."""
+    """One file per 250 document numbers, in a folder whose name needs escaping."""
+    path = f"{path}/my data 100%é"
     shard = F.format_string("%08d", F.expr("doc_id div 250")).alias("shard")
     docs.select("doc_id", "text", shard).repartition("shard").write.partitionBy("shard").parquet(path)
     return path
@@ -173,7 +174,7 @@ def _byte_tokens(spark, sf):
                   ELSE substr(h, CAST(2 * (f - s - 1) + 1 AS BIGINT), CAST(2 * (t - f) AS BIGINT)) END AS part, t - f AS take
           FROM y JOIN b USING (doc_id))
     SELECT w AS row_id, md5(string_agg(part, '' ORDER BY f)) AS digest, count(*) AS n_docs
-    FROM z GROUP BY w HAVING sum(take) = 2049""")
+    FROM z GROUP BY w""")
 def pack_flat(spark, sf):
     rows = pk.pack_flat(_byte_tokens(spark, sf), 2048, ["doc_id"])
     shown = F.array_join(F.transform("ids", lambda i: F.when(i == 256, "<").otherwise(F.lpad(F.hex(i), 2, "0"))), "")
@@ -195,7 +196,7 @@ def shift_targets(spark, sf):
     n = F.length("text") % 7
     tokens = _docs(spark, sf).select(
         "doc_id", F.transform(F.sequence(F.lit(0), n), lambda k: F.col("doc_id") * 10 + k).alias("ids"))
-    packed = pk.pack_flat(tokens, 24, ["doc_id"])
+    packed = pk.pack_flat(tokens, 24, ["doc_id"], tail="drop")
     return pk.shift_targets(packed, 8, 3).select(
         "row_id", "row_in_window", F.array_join(F.col("inputs").cast("array<string>"), " ").alias("inputs"),
         F.array_join(F.col("targets").cast("array<string>"), " ").alias("targets"))
@@ -217,10 +218,7 @@ def packing_waste_by_language(spark, sf):
     docs = _byte_lengths(spark, sf)
     total = docs.agg(F.sum("n")).first()[0]
     tail = (total - 1) // width
-    pieces = pk.flat_pieces(docs, width, ["doc_id"])
-    per_doc = pieces.groupBy("doc_id", "lang", "n").agg(
-        F.count(F.lit(1)).alias("k"),
-        F.sum(F.when(F.col("window") >= tail, F.col("take")).otherwise(0)).alias("cut"))
+    per_doc = pk.piece_counts(docs, width, ["doc_id"], tail)
     over = F.sum(F.greatest(F.col("n") - (width + 1), F.lit(0)))
     return per_doc.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"),
@@ -234,13 +232,67 @@ def _report(spark, sf, strategy):
     placed = pk.pack(docs, 2048, "doc_id", ["doc_id"], strategy)
     return pk.packing_report(placed, docs, 2048).withColumn("strategy", F.lit(strategy))
 
+# Figures of a packing whose pieces are in f("row", n, take); within one shard.
+REPORT_SQL = """,
+    u AS (SELECT count(DISTINCT "row") AS n_rows, CAST(sum(take) AS BIGINT) AS placed_tokens,
+                 CAST(sum(n - take) AS BIGINT) AS cropped_tokens, count(*) AS placed_docs FROM f WHERE take > 0),
+    w AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(greatest(n - 2049, 0)) AS BIGINT) AS min_crop_tokens FROM d)
+    SELECT n_docs, n_tokens, n_rows, placed_docs, placed_tokens, cropped_tokens, min_crop_tokens,
+        round(100.0 * CAST(placed_tokens AS DOUBLE) / CAST(n_rows * 2049 AS DOUBLE), 4) AS utilization_pct,
+        round(100.0 * CAST(n_rows * 2049 - placed_tokens AS DOUBLE) / CAST(n_rows * 2049 AS DOUBLE), 4) AS padded_pct,
+        round(100.0 * CAST(cropped_tokens AS DOUBLE) / CAST(placed_tokens + cropped_tokens AS DOUBLE), 4) AS cropped_pct,
+        round(100.0 * CAST(min_crop_tokens AS DOUBLE) / CAST(n_tokens AS DOUBLE), 4) AS min_crop_pct,
+        n_tokens - placed_tokens - cropped_tokens AS tail_tokens,
+"""
+
+LENGTHS_SQL = """
+    WITH RECURSIVE d AS (
+        SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(strlen(text) + 1 AS BIGINT) AS n FROM documents)"""
+
+# The waiting documents are a list; every step takes the largest that fits, else the oldest.
+BEST_FIT_SQL = LENGTHS_SQL + """,
+    f(rest, next_row, room, "row", i, n, take) AS (
+        SELECT list({'n': n, 'i': i} ORDER BY i), CAST(0 AS BIGINT), CAST(2049 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT),
+               CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM d
+        UNION ALL
+        SELECT list_filter(rest, lambda x: x.i <> c.i),
+            CASE WHEN c.n >= room THEN next_row + 1 ELSE next_row END,
+            CASE WHEN c.n >= room THEN 2049 ELSE room - c.n END, next_row, c.i, c.n, least(c.n, room)
+        FROM (SELECT rest, next_row, room,
+                  CASE WHEN len(fit) > 0 THEN {'n': -fit[1].k, 'i': fit[1].i} ELSE {'n': rest[1].n, 'i': rest[1].i} END AS c
+              FROM (SELECT rest, next_row, room, list_sort(list_transform(
+                        list_filter(rest[1:1000], lambda x: x.n <= room), lambda x: {'k': -x.n, 'i': x.i})) AS fit
+                    FROM f WHERE len(rest) > 0)))"""
+
 
-@query("t6_pack_best_fit")
+@query("t6_pack_best_fit", BEST_FIT_SQL + REPORT_SQL + "'best_fit' AS strategy FROM u, w", digits=4)
 def pack_best_fit(spark, sf):
     return _report(spark, sf, "best_fit")
 
 
-@query("t6_best_fit_rows")
+@query("t6_pack_conservation", """
+    SELECT shard_docs, count(*) AS n_docs, count(*) AS placed_docs, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_tokens,
+           CAST(sum(strlen(text) + 1) AS BIGINT) AS used_and_cropped, true AS one_row_unfilled
+    FROM documents, (VALUES (16), (8192)) AS s(shard_docs) GROUP BY 1""")
+def pack_conservation(spark, sf):
+    """Every token is placed or cropped, and one row at most is unfilled, whatever the shard size."""
+    docs = _byte_lengths(spark, sf)
+    out = None
+    for shard_docs in (16, 8192):
+        placed = pk.pack(docs, 2048, "doc_id", ["doc_id"], "best_fit", shard_docs=shard_docs)
+        rows = placed.groupBy("shard", "row").agg(
+            F.count(F.lit(1)).alias("k"), F.sum("take").alias("t"), F.sum("n").alias("n"))
+        one = rows.agg(F.sum("k").alias("placed_docs"), F.sum("n").alias("used_and_cropped"),
+                       (F.count_if(F.col("t") < 2049) <= 1).alias("one_row_unfilled"))
+        whole = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"))
+        both = one.join(whole).withColumn("shard_docs", F.lit(shard_docs))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+@query("t6_best_fit_rows", BEST_FIT_SQL + """
+    SELECT CAST(0 AS BIGINT) AS shard, "row", count(*) AS n_docs, count(*) FILTER (WHERE take < n) AS n_cropped,
+           CAST(sum(take) AS INTEGER) AS n_ids, 256 AS first_id FROM f WHERE take > 0 GROUP BY f."row" """)
 def best_fit_rows(spark, sf):
     tokens = _byte_tokens(spark, sf)
     docs = tokens.select("doc_id", F.size("ids").cast("bigint").alias("n"))
@@ -262,8 +314,7 @@ def best_fit_rows(spark, sf):
             CASE WHEN (d.i % 8192 = 0) OR f."at" + f.take = 2049 THEN 0 ELSE f."at" + f.take END,
             least(d.n, 2049 - CASE WHEN (d.i % 8192 = 0) OR f."at" + f.take = 2049 THEN 0 ELSE f."at" + f.take END)
         FROM f JOIN d ON d.i = f.i + 1),
-    r AS (SELECT i // 8192 AS s, "row", sum(take) AS t, sum(n - take) AS c, count(*) AS k FROM f GROUP BY ALL
-          HAVING sum(take) = 2049),
+    r AS (SELECT i // 8192 AS s, "row", sum(take) AS t, sum(n - take) AS c, count(*) AS k FROM f GROUP BY ALL),
     u AS (SELECT count(*) AS n_rows, sum(t) AS placed_tokens, sum(c) AS cropped_tokens, sum(k) AS placed_docs FROM r),
     w AS (SELECT count(*) AS n_docs, sum(n) AS n_tokens, sum(greatest(n - 2049, 0)) AS min_crop_tokens FROM d)
     SELECT n_docs, CAST(n_tokens AS BIGINT) AS n_tokens, n_rows, CAST(placed_docs AS BIGINT) AS placed_docs,
@@ -273,18 +324,32 @@ def best_fit_rows(spark, sf):
         round(100.0 * CAST(n_rows * 2049 - placed_tokens AS DOUBLE) / CAST(n_rows * 2049 AS DOUBLE), 4) AS padded_pct,
         round(100.0 * CAST(cropped_tokens AS DOUBLE) / CAST(placed_tokens + cropped_tokens AS DOUBLE), 4) AS cropped_pct,
         round(100.0 * CAST(min_crop_tokens AS DOUBLE) / CAST(n_tokens AS DOUBLE), 4) AS min_crop_pct,
+        CAST(n_tokens - placed_tokens - cropped_tokens AS BIGINT) AS tail_tokens,
         'greedy_crop' AS strategy
     FROM u, w""", digits=4)
 def pack_greedy_crop(spark, sf):
     return _report(spark, sf, "greedy_crop")
 
 
-@query("t7_pack_greedy_pad")
+@query("t7_pack_greedy_pad", LENGTHS_SQL + """,
+    f(i, n, "row", "at", take) AS (
+        SELECT i, n, CAST(0 AS BIGINT), CAST(0 AS BIGINT), least(n, 2049) FROM d WHERE i = 0
+        UNION ALL
+        SELECT d.i, d.n, CASE WHEN f."at" + f.take + least(d.n, 2049) > 2049 THEN f."row" + 1 ELSE f."row" END,
+            CASE WHEN f."at" + f.take + least(d.n, 2049) > 2049 THEN 0 ELSE f."at" + f.take END, least(d.n, 2049)
+        FROM f JOIN d ON d.i = f.i + 1)""" + REPORT_SQL + "'greedy_pad' AS strategy FROM u, w", digits=4)
 def pack_greedy_pad(spark, sf):
     return _report(spark, sf, "greedy_pad")
 
 
-@query("t7_pack_first_fit_decreasing")
+@query("t7_pack_first_fit_decreasing", LENGTHS_SQL + """,
+    e AS (SELECT row_number() OVER (ORDER BY least(n, 2049) DESC, i) AS k, n, least(n, 2049) AS take FROM d),
+    f(k, room, "row", n, take) AS (
+        SELECT CAST(0 AS BIGINT), list_transform(range(count(*)), lambda x: CAST(2049 AS BIGINT)), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM d
+        UNION ALL
+        SELECT k, room[1:r - 1] || [room[r] - take] || room[r + 1:], r, n, take
+        FROM (SELECT e.k, f.room, e.n, e.take, CAST(list_position(list_transform(f.room, lambda x: x >= e.take), true) AS BIGINT) AS r
+              FROM f JOIN e ON e.k = f.k + 1))""" + REPORT_SQL + "'first_fit_decreasing' AS strategy FROM u, w", digits=4)
 def pack_first_fit_decreasing(spark, sf):
     return _report(spark, sf, "first_fit_decreasing")
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.plans.scan import dense_index, prefix_sum
+from tokenmill.plans.session import cut_lineage
 
 SHARD_DOCS = 8192
 
@@ -48,13 +49,29 @@ def flat_pieces(docs: DataFrame, width: int, order: Sequence[str], n: str = "n")
     return pieces.select(*docs.columns, "__p.window", "__p.offset", "__p.take", "__p.at")
 
 
-def pack_flat(tokens: DataFrame, width: int, order: Sequence[str], tail: str = "drop") -> DataFrame:
+def piece_counts(docs: DataFrame, width: int, order: Sequence[str], tail: Column | int, n: str = "n") -> DataFrame:
+    """Number of pieces ``k`` of every document, and ``cut``, its tokens in windows from ``tail`` on."""
+    placed = prefix_sum(docs.filter(F.col(n) > 0), n, order, "__s").withColumn("__p", _piece_list(width, n))
+    late = F.filter("__p", lambda p: p["window"] >= tail)
+    return placed.select(
+        *docs.columns, F.size("__p").alias("k"),
+        F.aggregate(late, F.lit(0).cast("bigint"), lambda a, p: a + p["take"]).alias("cut"),
+    )
+
+
+def pack_flat(tokens: DataFrame, width: int, order: Sequence[str], tail: str = "keep") -> DataFrame:
     """Windows of ``width + 1`` ids from the documents' ids laid end to end.
 
-    A document is cut before its pieces are multiplied out, so no piece carries the whole.
+    The ids are written once; only their number goes through the running sum. A document is cut
+    before its pieces are multiplied out, so no piece carries the whole. ``tail='drop'`` leaves
+    out the last, unfilled window.
     """
-    docs = tokens.withColumn("n", F.size("ids").cast("bigint")).filter("n > 0")
-    placed = prefix_sum(docs, "n", order, "__s")
+    docs = cut_lineage(
+        tokens.select(*order, "ids").withColumn("n", F.size("ids").cast("bigint")).filter("n > 0")
+        .withColumn("__r", F.monotonically_increasing_id()), "tokens",
+    )
+    starts = prefix_sum(docs.select(*order, "__r", "n"), "n", [*order, "__r"], "__s").select("__r", "n", "__s")
+    placed = docs.select("__r", "ids").join(starts, "__r")
     cut = F.transform(_piece_list(width, "n"), lambda p: F.struct(
         p["window"].alias("window"), p["at"].alias("at"),
         F.slice("ids", (p["offset"] + 1).cast("int"), p["take"].cast("int")).alias("part"),
@@ -166,37 +183,55 @@ def pack(
     strategy="best_fit",
     buffer: int = 1000,
     shard_docs: int = SHARD_DOCS,
-    tail: str = "drop",
+    tail: str = "keep",
 ) -> DataFrame:
     """Placements of documents ``docs(key, n)`` in rows of ``width + 1`` tokens.
 
     ``strategy`` is a name or a function (lengths, capacity, buffer) -> list of
     (row, slot, document position, start in row, tokens taken). Each shard of ``shard_docs``
     documents is packed on its own, so shards run side by side and their size is bounded.
-    With ``tail='drop'`` a cropping strategy loses its last, unfilled row.
+
+    A cropping strategy leaves its last row unfilled. The documents of these rows, one row for
+    each shard, are dealt into shards again and packed together, until one shard holds them
+    all; so one row of the whole corpus at most stays unfilled, whatever ``shard_docs`` is.
+    ``tail='drop'`` leaves that row out.
     """
     capacity = width + 1
     fn = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
-    drop_tail = tail == "drop" and strategy not in PADDED
+    fills = strategy in STRATEGIES and strategy not in PADDED
     slim = docs.select(key, *[c for c in order if c != key], "n").filter("n > 0")
-    sharded = dense_index(slim, order, "__i").withColumn("shard", F.expr(f"__i div {shard_docs}"))
-    key_type = sharded.schema[key].dataType.simpleString()
+    rest = dense_index(slim, order, "__i").select(key, "n", "__i")
+    key_type = rest.schema[key].dataType.simpleString()
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__i")
         placed = fn(pdf["n"].tolist(), capacity, buffer)
         out = pd.DataFrame(placed, columns=["row", "slot", "doc", "at", "take"])
-        if drop_tail and len(out):
-            full = out.groupby("row")["take"].transform("sum") == capacity
-            out = out[full]
-        out[key] = pdf[key].to_numpy()[out["doc"].to_numpy(dtype=int)]
-        out["n"] = pdf["n"].to_numpy()[out["doc"].to_numpy(dtype=int)]
+        at = out["doc"].to_numpy(dtype=int)
+        out["full"] = (out.groupby("row")["take"].transform("sum") == capacity) if fills and len(out) else True
+        for c in (key, "n", "__i"):
+            out[c] = pdf[c].to_numpy()[at]
         out["shard"] = pdf["shard"].iloc[0]
-        return out[["shard", "row", "slot", key, "at", "take", "n"]]
+        return out[["shard", "row", "slot", key, "at", "take", "n", "__i", "full"]]
 
-    return sharded.select(key, "n", "__i", "shard").groupBy("shard").applyInPandas(
-        place, f"shard bigint, row bigint, slot int, `{key}` {key_type}, at int, take int, n bigint"
-    )
+    columns = ["shard", "row", "slot", key, "at", "take", "n"]
+    done, first_shard = None, 0
+    while True:
+        sharded = rest.withColumn("shard", F.expr(f"__i div {shard_docs} + {first_shard}"))
+        placed = sharded.groupBy("shard").applyInPandas(
+            place, f"shard bigint, row bigint, slot int, `{key}` {key_type}, at int, take int, n bigint, __i bigint, full boolean"
+        )
+        if not fills:
+            return placed.select(*columns)
+        placed = cut_lineage(placed, "placements")
+        last = placed.filter("not full").agg(F.countDistinct("shard").alias("k"), F.max("shard").alias("top")).first()
+        if last["k"] <= 1:
+            ready = placed.filter("full") if tail == "drop" else placed
+            return ready.select(*columns) if done is None else done.unionByName(ready.select(*columns))
+        ready = placed.filter("full").select(*columns)
+        done = ready if done is None else done.unionByName(ready)
+        first_shard = placed.agg(F.max("shard")).first()[0] + 1
+        rest = dense_index(placed.filter("not full").select(key, "n", F.col("__i").alias("__j")), ["__j"], "__i").select(key, "n", "__i")
 
 
 def packed_rows(placements: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
@@ -241,6 +276,7 @@ def packing_report(placements: DataFrame, docs: DataFrame, width: int) -> DataFr
         pct(room - F.col("placed_tokens"), room).alias("padded_pct"),
         pct(F.col("cropped_tokens"), F.col("placed_tokens") + F.col("cropped_tokens")).alias("cropped_pct"),
         pct(F.col("min_crop_tokens"), F.col("n_tokens")).alias("min_crop_pct"),
+        (F.col("n_tokens") - F.col("placed_tokens") - F.col("cropped_tokens")).alias("tail_tokens"),
     )
 
 

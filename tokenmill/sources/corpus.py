@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,22 +84,32 @@ def read_corpus(
     reader = spark.read.schema(schema)
     if on_corrupt == "skip":
         reader = reader.option("ignoreCorruptFiles", "true")
-    rows = reader.parquet(*ordered).select(
-        "*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("row_no")
+    rows = reader.parquet(*[GLOB.sub(r"\\\1", f) for f in ordered]).select(
+        "*", F.col("_metadata.file_path").alias("__key"), F.col("_metadata.row_index").alias("row_no")
     )
     places = spark.createDataFrame(
-        [(_key(f), i, owner[f]) for i, f in enumerate(ordered)], "__key string, file_no bigint, dataset string"
+        [(k, i, owner[f]) for i, (f, k) in enumerate(zip(ordered, _uris(spark, ordered)))],
+        "__key string, file_no bigint, dataset string",
     )
-    out = rows.withColumn("__key", F.regexp_replace("__path", r"^file:/*", "/")).join(
-        places, "__key"
-    ).drop("__key", "__path")
+    lost = F.raise_error(F.concat(F.lit("no place in the reading order for "), F.col("__key")))
+    out = rows.join(F.broadcast(places), "__key", "left").withColumn("file_no", F.coalesce("file_no", lost)).drop("__key")
     if on_corrupt == "skip" and out.isEmpty():
         raise RuntimeError("No valid parquet files remain.")
     return out
 
 
-def _key(path: str) -> str:
-    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+#: Characters of a path that a reader takes for patterns.
+GLOB = re.compile(r"([\\{}\[\]*?])")
+
+
+def _uris(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Paths as the scan reports them: with scheme and authority, and escaped."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        out.append(path.getFileSystem(conf).makeQualified(path).toUri().toString())
+    return out
 
 
 def interleave_rows(df: DataFrame, dataset: str, key: Sequence[str], block_rows: int = 1) -> DataFrame:
