@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tokenmill.operators import grading as g, instructions as ins, mixing as mx, tools as tl, turns as t
+from tokenmill.operators import choices as ch, grading as g, instructions as ins, mixing as mx, tools as tl, turns as t
 from tokenmill.plans import adapters as ad
 
 
@@ -163,7 +163,7 @@ def test_call_match(spark, response, want):
 
 def test_expected_calls_per_turn(spark):
     q = '[[{"role": "user", "content": "one"}, {"role": "user", "content": "more"}], [{"role": "user", "content": "two"}], [{"role":"user","content":"three"}]]'
-    rows = [("nested", q, '[[{"f": {"a": 1}}], [{"g": {}}]]'), ("flat", q, '["mod.f(a=\'x\', b=2)"]'), ("none", q, "null"), ("odd", q, '["f(a=[1])"]')]
+    rows = [("nested", q, '[[{"f": {"a": 1}}], [{"g": {}}]]'), ("flat", q, '["mod.f(a=\'x\', b=2)"]'), ("none", q, "null"), ("odd", q, '["f(a=[1])"]'), ("bad", q, '["f(a=g(1))"]')]
     df = spark.createDataFrame(rows, "id string, q string, gt string").select(
         "id", F.parse_json("q").alias("question"), F.parse_json(F.lit("[]")).alias("function"), F.parse_json("gt").alias("ground_truth"))
     out = {r.id: r for r in tl.build_expected_calls(df).collect()}
@@ -171,9 +171,59 @@ def test_expected_calls_per_turn(spark):
     assert [m.content for m in out["nested"].messages if m.role == "user"] == ["one\n\nmore", "two", "three"]
     assert answers("nested") == ['[{"name":"f","arguments":{"a":1}}]', '[{"name":"g","arguments":{}}]', "[]"]
     assert answers("flat") == ["[]", "[]", '[{"name":"mod.f","arguments":{"a":"x","b":2}}]']
-    assert out["nested"].expected is None and out["none"].expected is None and out["odd"].expected is None
-    assert out["flat"].expected[0].arguments == {"a": ["s:x"], "b": ["n:2.0"]}
+    assert out["nested"].expected is None and out["none"].expected is None
+    assert out["odd"].expected[0].arguments == {"a": ["j:[1]"]} and answers("odd")[2] == '[{"name":"f","arguments":{"a":[1]}}]'
+    assert out["bad"].expected[0].name is None and answers("bad")[2] == "[]"
+    assert out["flat"].expected[0].arguments == {"a": ["s:x"], "b": ["n:2"]}
+
+
+@pytest.mark.parametrize("text, want", [
+    ("f()", {"f": {}}), ("f(5)", {"f": {"_args": [[5]]}}), ("a.b(1, 'x', k=2)", {"a.b": {"_args": [[1, "x"]], "k": [2]}}),
+    ("f(a=[1, [2.5, 'it\\'s']], b={'k': None, 'l': True})", {"f": {"a": [[1, [2.5, "it's"]]], "b": [{"k": None, "l": True}]}}),
+    ("f(a=1e3, b=-.5, c=+2., d='say \"x\"')", {"f": {"a": [1000.0], "b": [-0.5], "c": [2], "d": ['say "x"']}}),
+    ("f(a=(1, 2))", {"f": {"a": [[1, 2]]}}), ("f(a=1,)", {"f": {"a": [1]}}), ("f(a=)", None), ("f(a=g(1))", None), ("f(x)", None),
+    ("f(a=1, 2)", None), ("f(a=b=1)", None), ("no call", None), ("f(a=1", None),
+])
+def test_call_text(spark, text, want):
+    got = value(spark, tl.parse_call_text(F.col("t")), t=text)
+    assert (None if got is None else json.loads(got)) == want
+
+
+@pytest.mark.parametrize("truth, want", [('["f(a=[1, 2])"]', False), ('["f(5)"]', False), ('["f(a=1e3)"]', False), ('["f(a=g(1))"]', None), ("null", True)])
+def test_unread_truth_is_no_success(spark, truth, want):
+    df = spark.createDataFrame([("i", truth, '[{"name": "zzz", "arguments": {}}]')], "id string, gt string, r string")
+    items = df.select("id", F.parse_json(F.lit('"q"')).alias("question"), F.parse_json(F.lit("[]")).alias("function"), F.parse_json("gt").alias("ground_truth"))
+    assert tl.build_expected_calls(items).join(df, "id").select(g.call_match("expected", "r").alias("ok")).first().ok is want
+
+
+def test_whole_numbers_compare_exactly(spark):
+    c = lambda t: value(spark, tl.canonical(F.parse_json("t")), t=t)
+    assert c("12345678901234567") != c("12345678901234568") and c("5") == c("5.0") == c('"5"') == c('" 5.0 "') == c("5e0")
+    assert c("true") == c("1") and c('"1e3"') == "s:1e3" and c("1.5") == c('"1.5"') and c("1000") == c("1e3")
+
+
+def test_flat_tool_columns(spark):
+    df = spark.createDataFrame([("t", '{"k": 1}', "text"), (None, "x", None)], "tool_name string, arguments string, schema string")
+    rows = df.select(tl.normalize_calls(df).alias("c"), tl.normalize_tools(df.drop("arguments")).alias("t")).collect()
+    assert [(c.name, str(c.arguments)) for c in rows[0].c] == [("t", '{"k":1}')] and rows[1].c is None
+    assert json.loads(str(rows[0].t[0].parameters)) == {"type": "object", "properties": {"value": {"type": "string"}}} and rows[1].t is None
+
+
+def test_option_column_is_chosen_for_each_row(spark):
+    df = spark.createDataFrame([(["a", "b"], None), (None, (["c", "d"], ["1", "2"]))], "options array<string>, choices struct<text:array<string>,label:array<string>>")
+    options, labels = ch.extract_options(df)
+    assert [tuple(r) for r in df.select(options, labels).collect()] == [(["a", "b"], None), (["c", "d"], ["1", "2"])]
+
 
+def test_other_names_of_sets_reach_the_set_rules(spark):
+    df = spark.createDataFrame([("two?", "one <<1+1=2>> #### 2")], "question string, answer string")
+    content = lambda name, **kw: ad.to_conversations(df, name, **kw).first().messages[0].content
+    assert content("openai/gsm8k") == content("gsm8k", registry="sets") == "two?"
+    assert content("gsm8k") != "two?"
+    code = spark.createDataFrame([("p", "c")], "prompt string, completion string")
+    assert ad.to_conversations(code, "google-research-datasets/mbpp").first().messages[1].content == "c"
+    names = set(ad.SET_ALIASES.values())
+    assert all(ad.SET_ALIASES[a] in ad.SETS or ad.SET_ALIASES[a] == "oasst1" for a in ad.SET_ALIASES) and names
 
 def value(spark, column, **cells):
     df = spark.createDataFrame([tuple(cells.values())], ", ".join(f"{k} string" for k in cells))

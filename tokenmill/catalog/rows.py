@@ -323,15 +323,16 @@ def no_tool(spark, sf):
 
 @query("p21_expected_calls", """
     SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[{"name":"' || event_type || '","arguments":{"k":' || json_extract_string(props, '$.k') || '}}]'
-        WHEN 1 THEN '[{"name":"' || event_type || '","arguments":{"a":"x","b":2}}]' WHEN 2 THEN '[]' ELSE '[]' END AS answer,
-        CAST(CASE WHEN event_id % 4 = 2 THEN 5 ELSE 3 END AS INTEGER) AS n_messages, event_id % 4 <> 3 AS is_known FROM events""")
+        WHEN 1 THEN '[{"name":"' || event_type || '","arguments":{"a":"x","b":2}}]' WHEN 2 THEN '[]'
+            ELSE '[{"name":"' || event_type || '","arguments":{"_args":["x",{"u":null}],"a":[1,2.5],"b":1000}}]' END AS answer,
+        CAST(CASE WHEN event_id % 4 = 2 THEN 5 ELSE 3 END AS INTEGER) AS n_messages, true AS is_known FROM events""")
 def expected_calls(spark, sf):
     at = F.col("event_id") % 4
     c = lambda *x: F.concat(*[F.lit(i) if isinstance(i, str) else i for i in x])
     truth = (
         F.when(at == 0, c('[{"', F.col("event_type"), '": {"k": ["", ', F.get_json_object("props", "$.k"), '], "opt": [""]}}]'))
         .when(at == 1, c('["', F.col("event_type"), "(a='x', b=2)\"]"))
-        .when(at == 2, c('[[{"', F.col("event_type"), '": {"a": 1}}], []]')).otherwise(c('["', F.col("event_type"), '(a=[1])"]')))
+        .when(at == 2, c('[[{"', F.col("event_type"), '": {"a": 1}}], []]')).otherwise(c('["', F.col("event_type"), "('x', {'u': None}, a=[1, 2.5], b=1e3)\"]")))
     question = F.when(at == 2, F.lit('[[{"role": "user", "content": "one"}], [{"role": "user", "content": "two"}]]')).otherwise(
         F.lit('[{"role": "user", "content": "one"}, {"role": "user", "content": "more"}]'))
     items = table(spark, sf, "events").select(

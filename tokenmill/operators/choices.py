@@ -68,11 +68,12 @@ def _names(struct: T.StructType, *wanted: str) -> list[str]:
 
 
 def extract_options(df: DataFrame, columns=OPTION_COLUMNS) -> tuple[Column | None, Column | None]:
-    """(options, labels) from the first option column that is there.
+    """(options, labels) of each row, from the first option column that is not null in it.
 
-    The column may be a struct of arrays, an array of structs, an array of texts or one text;
-    labels are None when the rows have none.
+    A column may be a struct of arrays, an array of structs, an array of texts or one text;
+    labels are None when no column has any, and null for rows whose options come without.
     """
+    found: list[tuple[Column, Column | None]] = []
     for name in columns:
         if name not in df.columns:
             continue
@@ -82,22 +83,30 @@ def extract_options(df: DataFrame, columns=OPTION_COLUMNS) -> tuple[Column | Non
             texts = _names(kind, "text", "options", "choices")
             labels = _names(kind, "label", "labels")
             if texts:
-                return (
+                found.append((
                     c[texts[0]].cast("array<string>"),
                     c[labels[0]].cast("array<string>") if labels else None,
-                )
+                ))
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
             texts = _names(kind.elementType, "text", "content", "value")
             has_label = "label" in kind.elementType.fieldNames()
-            return (
+            found.append((
                 F.transform(c, lambda o: F.coalesce(*[present(o[t]) for t in texts], F.lit(""))),
                 F.transform(c, lambda o: o["label"].cast("string")) if has_label else None,
-            )
+            ))
         elif isinstance(kind, T.ArrayType):
-            return c.cast("array<string>"), None
+            found.append((c.cast("array<string>"), None))
         elif isinstance(kind, T.StringType):
-            return lettered_options(c), None
-    return None, None
+            found.append((lettered_options(c), None))
+    if not found:
+        return None, None
+    options = F.coalesce(*[o for o, _ in found])
+    if all(labels is None for _, labels in found):
+        return options, None
+    pick = F.lit(None).cast("array<string>")
+    for o, labels in reversed(found):
+        pick = F.when(o.isNotNull(), F.lit(None).cast("array<string>") if labels is None else labels).otherwise(pick)
+    return options, pick
 
 
 def at(values: Column, index: Column) -> Column:

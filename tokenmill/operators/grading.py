@@ -11,7 +11,7 @@ from tokenmill.functions.text import (
     BOUNDARY, answer_number, boxed, boxed_integer, choice_letter, col, exact, extract, factoid, last_number,
     lone_letter, marked_number, plain_answer, strict_json, strip,
 )
-from tokenmill.operators.tools import calls_match, predicted_calls
+from tokenmill.operators.tools import calls_match, predicted_calls, unread
 from tokenmill.plans.joins import skew_join
 
 
@@ -130,8 +130,12 @@ def json_valid(response) -> Column:
 
 
 def call_match(expected, response) -> Column:
-    """Function calls of the response against ``expected`` (see ``tools.EXPECTED``)."""
-    return F.coalesce(calls_match(predicted_calls(response), col(expected)), F.lit(False))
+    """Function calls of the response against ``expected`` (see ``tools.EXPECTED``).
+
+    Null where the ground truth could not be read, since no verdict is possible then.
+    """
+    match = F.coalesce(calls_match(predicted_calls(response), col(expected)), F.lit(False))
+    return F.when(~unread(col(expected)), match)
 
 
 def outcome_match(programs: DataFrame, outcomes: DataFrame, key: str = "program_id") -> DataFrame:

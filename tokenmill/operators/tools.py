@@ -34,6 +34,9 @@ DESCRIPTION_KEYS = ("description", "desc", "api_description")
 PARAMETER_KEYS = ("parameters", "args_schema", "input_schema", "schema")
 ARGUMENT_KEYS = ("arguments", "args", "parameters", "params")
 LATE_ARGUMENT_KEYS = ("input", "tool_input", "api_arguments")
+FLAT_NAME_KEYS = ("tool_name", "api_name", "function_name", "name")
+FLAT_PARAMETER_KEYS = ("parameters", "params", "args", "arguments", "input_schema", "schema")
+FLAT_ARGUMENT_KEYS = ("arguments", "args", "parameters", "params", "input", "tool_input")
 
 # The instruction of a tool prompt.
 TOOLS_HEAD = "You have access to the following tools (JSON schema):\n"
@@ -42,13 +45,18 @@ TOOLS_TAIL = (
     '[{"name": "...", "arguments": {...}}]. If no tool is needed, respond with [].'
 )
 
-# Distractor tools.
+# Distractor tools, as name, description and JSON schema of the parameters.
 DEFAULT_TOOLS = (
-    ("search_web", "Search the web for information.", {"query": "string"}, ["query"]),
-    ("get_weather", "Get the weather for a location.", {"location": "string", "date": "string"}, ["location"]),
-    ("get_time", "Get the current time for a location.", {"location": "string"}, ["location"]),
-    ("calculator", "Evaluate a math expression.", {"expression": "string"}, ["expression"]),
-    ("lookup_stock", "Look up a stock price for a ticker.", {"ticker": "string"}, ["ticker"]),
+    ("search_web", "Search the web for information.",
+     '{"type": "object", "properties": {"query": {"type": "string"}}, "required": ["query"]}'),
+    ("get_weather", "Get the weather for a location.",
+     '{"type": "object", "properties": {"location": {"type": "string"}, "date": {"type": "string"}}, "required": ["location"]}'),
+    ("get_time", "Get the current time for a location.",
+     '{"type": "object", "properties": {"location": {"type": "string"}}, "required": ["location"]}'),
+    ("calculator", "Evaluate a math expression.",
+     '{"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"]}'),
+    ("lookup_stock", "Look up a stock price for a ticker.",
+     '{"type": "object", "properties": {"ticker": {"type": "string"}}, "required": ["ticker"]}'),
 )
 
 TOOL = "struct<name:string,description:string,parameters:variant>"
@@ -59,17 +67,10 @@ _VALUE_OBJECT = '{"type":"object","properties":{"value":{"type":"string"}}}'
 
 def default_tools(limit: int | None = None) -> Column:
     """The distractor tools as an array of tools."""
-    import json
-
-    rows = []
-    for name, description, properties, required in DEFAULT_TOOLS[:limit]:
-        schema = {
-            "type": "object", "properties": {k: {"type": t} for k, t in properties.items()}, "required": required,
-        }
-        rows.append(F.struct(
-            F.lit(name).alias("name"), F.lit(description).alias("description"),
-            F.parse_json(F.lit(json.dumps(schema))).alias("parameters"),
-        ))
+    rows = [
+        F.struct(F.lit(name).alias("name"), F.lit(description).alias("description"), F.parse_json(F.lit(schema)).alias("parameters"))
+        for name, description, schema in DEFAULT_TOOLS[:limit]
+    ]
     return F.array(*rows).cast(f"array<{TOOL}>")
 
 
@@ -159,16 +160,18 @@ def tool_list(v: Column) -> Column:
 def normalize_tools(df: DataFrame) -> Column:
     """Tools of a row from the first key that holds some, else from flat name columns."""
     have = [tool_list(as_variant(df, k)) for k in TOOL_KEYS if k in df.columns]
-    flat = [k for k in ("tool_name", "api_name", "function_name", "name") if k in df.columns]
+    flat = [k for k in FLAT_NAME_KEYS if k in df.columns]
     if flat:
         name = F.coalesce(*[present(F.col(k)) for k in flat])
         texts = [k for k in ("tool_description", "api_description", "description", "desc") if k in df.columns]
-        params = [k for k in ("parameters", "params", "args", "arguments", "input_schema") if k in df.columns]
-        read = F.coalesce(*[_parsed(as_variant(df, k)) for k in params], F.lit(None).cast("variant"))
+        params = [k for k in FLAT_PARAMETER_KEYS if k in df.columns]
+        given = F.coalesce(*[as_variant(df, k) for k in params], F.lit(None).cast("variant"))
+        read = _parsed(given)
         have.append(F.when(name.isNotNull(), F.array(F.struct(
             name.alias("name"),
             F.coalesce(*[present(F.col(k)) for k in texts], F.lit("")).alias("description"),
-            F.when(kind_of(read) == "object", read).otherwise(F.parse_json(F.lit(_EMPTY_OBJECT))).alias("parameters"),
+            F.when(kind_of(read) == "object", read).when(kind_of(given) == "null", F.parse_json(F.lit(_EMPTY_OBJECT)))
+            .otherwise(F.parse_json(F.lit(_VALUE_OBJECT))).alias("parameters"),
         ).cast(TOOL))))
     return F.coalesce(*have) if have else F.lit(None).cast(f"array<{TOOL}>")
 
@@ -218,6 +221,11 @@ def normalize_calls(df: DataFrame) -> Column:
         if k in df.columns and isinstance(df.schema[k].dataType, T.BooleanType):
             have.append(F.when(~F.col(k), F.array().cast(f"array<{CALL}>")))
     have += [call_list(as_variant(df, k)) for k in CALL_KEYS if k in df.columns]
+    names = [k for k in FLAT_NAME_KEYS if k in df.columns]
+    if names:
+        name = F.coalesce(*[present(F.col(f"`{k}`").cast("string")) for k in names])
+        args = F.coalesce(*[as_variant(df, k) for k in FLAT_ARGUMENT_KEYS if k in df.columns], F.lit(None).cast("variant"))
+        have.append(F.when(name.isNotNull(), F.array(F.struct(name.alias("name"), normalize_arguments(args).alias("arguments")).cast(CALL))))
     return F.coalesce(*have) if have else F.lit(None).cast(f"array<{CALL}>")
 
 
@@ -282,18 +290,28 @@ EXPECTED = "array<struct<name:string,arguments:map<string,array<string>>>>"
 
 
 def canonical(v: Column) -> Column:
-    """A value as comparable text: numbers, and texts that hold a number, compare by value."""
-    is_number = r"^[+-]?(\d+|(\d+\.\d*|\.\d+)([eE][+-]?\d+)?)$"
+    """A value as comparable text: numbers, and texts that hold a number, compare by value.
+
+    Whole numbers compare exactly, to 38 digits; other numbers as doubles.
+    """
+    whole, real = r"^[+-]?\d{1,38}$", r"^[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?$"
+
+    def number(d):
+        exact = (d == F.floor(d)) & (F.abs(d) < F.lit(1e37))
+        return F.concat(F.lit("n:"), F.when(exact, d.try_cast("decimal(38,0)").cast("string")).otherwise(d.cast("string")))
 
     def scalar(text):
-        return let(F.when(strip(text).rlike(is_number), strip(text).try_cast("double")), lambda n: F.when(
-            n.isNotNull(), F.concat(F.lit("n:"), n.cast("string"))).otherwise(F.concat(F.lit("s:"), text)))
+        t = strip(text)
+        return F.when(t.rlike(whole), F.concat(F.lit("n:"), t.try_cast("decimal(38,0)").cast("string"))).otherwise(
+            let(F.when(t.rlike(real), t.try_cast("double")), lambda d: F.when(d.isNotNull(), number(d)).otherwise(
+                F.concat(F.lit("s:"), text))))
 
     def shown(x):
         return let(F.schema_of_variant(x), lambda s: (
             F.when(s.isNull() | (s == "VOID"), F.lit("null"))
-            .when(s == "BOOLEAN", F.concat(F.lit("n:"), F.when(x.cast("string") == "true", 1.0).otherwise(0.0).cast("string")))
+            .when(s == "BOOLEAN", F.when(x.cast("string") == "true", "n:1").otherwise("n:0"))
             .when(s.startswith("OBJECT") | s.startswith("ARRAY"), F.concat(F.lit("j:"), F.to_json(x)))
+            .when(s.isin("DOUBLE", "FLOAT"), number(x.try_cast("double")))
             .otherwise(let(x.cast("string"), scalar))
         ))
 
@@ -304,32 +322,71 @@ def _is_empty(v: Column) -> Column:
     return canonical(v).isin("null", "s:")
 
 
-# name(key=value, ...) with scalar values: quoted text, number or a bare word.
-_CALL = r"^\s*([A-Za-z_][\w.]*)\s*\(\s*((?:[A-Za-z_]\w*\s*=\s*(?:'[^'\\]*'|\"[^\"\\]*\"|[-+]?\d+(?:\.\d+)?|True|False|None)\s*,?\s*)*)\)\s*$"
-_ARG = r"([A-Za-z_]\w*)\s*=\s*('[^'\\]*'|\"[^\"\\]*\"|[-+]?\d+(?:\.\d+)?|True|False|None)"
+# name(value, key=value, ...) and the marks its arguments consist of.
+_CALL = r"(?s)^\s*([A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*)\s*\((.*)\)\s*$"
+_MARK = (
+    r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|[A-Za-z_]\w*\s*=(?!=)|[A-Za-z_]\w*"
+    r"|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|\S"
+)
+_KEY = "\u0001"
 
 
-def _literal(text: Column) -> Column:
-    """JSON of a scalar literal."""
-    quoted = text.rlike("^['\"]")
+def _mark_json(mark: Column) -> Column:
+    """JSON of one mark; a key becomes a text that starts with ``_KEY``, unknown words stay and break the JSON."""
+    inner = F.substring(mark, F.lit(2), F.length(mark) - 2)
+    plain = F.replace(F.replace(inner, F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"'))
+    quoted = F.concat(F.lit('"'), F.replace(plain, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    number = F.regexp_replace(F.regexp_replace(F.regexp_replace(mark, r"^\+", ""), r"^(-?)\.", "$10."), r"\.(?=$|[eE])", "")
     return (
-        F.when(quoted, F.to_json(F.array(F.substring(text, F.lit(2), F.length(text) - 2))))
-        .when(text == "True", F.lit("[true]")).when(text == "False", F.lit("[false]"))
-        .when(text == "None", F.lit("[null]"))
-        .otherwise(F.concat(F.lit("["), F.regexp_replace(text, r"^\+", ""), F.lit("]")))
+        F.when(mark.rlike("^['\"]."), quoted)
+        .when(mark.endswith("="), F.concat(F.lit('"\\u0001'), F.regexp_replace(mark, r"\s*=$", ""), F.lit('",')))
+        .when(mark == "True", "true").when(mark == "False", "false").when(mark == "None", "null")
+        .when(mark == "(", "[").when(mark == ")", "]")
+        .when(mark.rlike(r"^[-+]?\.?\d"), number).otherwise(mark)
     )
 
 
 def parse_call_text(text: Column) -> Column:
-    """``name(arg=value, ...)`` as ``{name: {arg: [value]}}`` JSON; null when it has another form."""
-    args = extract(text, _CALL, 2)
-    keys = F.regexp_extract_all(args, F.lit(_ARG), F.lit(1))
-    values = F.regexp_extract_all(args, F.lit(_ARG), F.lit(2))
-    body = F.array_join(F.zip_with(
-        keys, values, lambda k, v: F.concat(F.lit('"'), k, F.lit('":'), _literal(v))
-    ), ",")
-    name = extract(text, _CALL, 1)
-    return F.concat(F.lit('{"'), name, F.lit('":{'), body, F.lit("}}"))
+    """``name(value, key=value, ...)`` as ``{name: {key: [value], _args: [[values]]}}`` JSON.
+
+    Values are what has a JSON form: texts, numbers, True, False, None, lists, tuples of several
+    values and dictionaries. Null when the text has another form.
+    """
+    marks = F.transform(F.regexp_extract_all(extract(text, _CALL, 2), F.lit(_MARK), F.lit(0)), _mark_json)
+    joined = F.array_join(marks, "")
+    body = F.regexp_replace(joined, r",$", "")
+    items = let(F.concat(F.lit("["), body, F.lit("]")), lambda j: F.when(body.rlike(r'",$'), F.lit(None)).otherwise(strict_json(j)))
+
+    def walk(values):
+        is_key = lambda v: (kind_of(v) == "string") & v.cast("string").startswith(_KEY)
+        start = F.struct(
+            F.lit(None).cast("string").alias("key"), F.array().cast("array<struct<key:string,value:string>>").alias("named"),
+            F.array().cast("array<string>").alias("rest"), F.lit(True).alias("ok"),
+        )
+
+        def step(at, v):
+            shown = F.to_json(v)
+            named = F.concat(at["named"], F.array(F.struct(at["key"].alias("key"), shown.alias("value"))))
+            key = is_key(v)
+            opened = at["key"].isNotNull()
+            return F.struct(
+                F.when(key, F.substring(v.cast("string"), 2, 1 << 30)).alias("key"),
+                F.when(~key & opened, named).otherwise(at["named"]).alias("named"),
+                F.when(~key & ~opened, F.concat(at["rest"], F.array(shown))).otherwise(at["rest"]).alias("rest"),
+                # a key behind a key, or a value without key behind named ones, is no call
+                (at["ok"] & ~(key & opened) & ~(~key & ~opened & (F.size(at["named"]) > 0))).alias("ok"),
+            )
+
+        def shown(end):
+            pairs = F.transform(end["named"], lambda e: F.concat(F.lit('"'), e["key"], F.lit('":['), e["value"], F.lit("]")))
+            first = F.concat(F.lit('"_args":[['), F.array_join(end["rest"], ","), F.lit("]]"))
+            every = F.concat(F.when(F.size(end["rest"]) > 0, F.array(first)).otherwise(F.array().cast("array<string>")), pairs)
+            return F.when(end["ok"] & end["key"].isNull(), F.array_join(every, ","))
+
+        return F.aggregate(values, start, step, shown)
+
+    name = F.regexp_replace(extract(text, _CALL, 1), r"\s", "")
+    return F.concat(F.lit('{"'), name, F.lit('":{'), let(items.try_cast("array<variant>"), walk), F.lit("}}"))
 
 
 def _expected_call(item: Column) -> Column:
@@ -349,10 +406,19 @@ def _expected_call(item: Column) -> Column:
 CALLS = "array<struct<name:string,arguments:map<string,array<variant>>>>"
 
 
+def _unread_call() -> Column:
+    return F.array(F.struct(F.lit(None).cast("string").alias("name"), F.create_map().cast("map<string,array<variant>>").alias("arguments")))
+
+
+def unread(expected: Column) -> Column:
+    """True where the ground truth is a call text that could not be read, apart from an unknown one."""
+    return F.coalesce(F.exists(expected, lambda c: c["name"].isNull()), F.lit(False))
+
+
 def expected_turns(ground_truth: Column, n_turns: Column) -> Column:
     """Expected calls per turn, null where the ground truth is unknown.
 
-    A flat list belongs to the last turn; a list of lists is aligned to the turns, padded or
+    A turn with a call text that cannot be read has one call without a name (see ``unread``). A flat list belongs to the last turn; a list of lists is aligned to the turns, padded or
     cropped at the end.
     """
     unknown = F.lit(None).cast(CALLS)
@@ -360,7 +426,8 @@ def expected_turns(ground_truth: Column, n_turns: Column) -> Column:
 
     def turn(values):
         calls = F.transform(values, _expected_call).cast(CALLS)
-        return let(calls, lambda cs: F.when(~F.exists(cs, lambda c: c.isNull()), cs))
+        texts = F.forall(values, lambda v: kind_of(v) == "string")
+        return let(calls, lambda cs: F.when(~F.exists(cs, lambda c: c.isNull()), cs).when(texts, _unread_call()))
 
     def aligned(items):
         nested = F.coalesce(kind_of(F.get(items, F.lit(0))) == "array", F.lit(False))
@@ -384,7 +451,7 @@ def canonical_calls(expected: Column) -> Column:
         kept = F.map_filter(pick, lambda _, v: v.isNotNull())
         return F.struct(c["name"].alias("name"), kept.alias("arguments"))
 
-    return F.coalesce(F.to_json(F.transform(expected, one)), F.lit("[]"))
+    return F.coalesce(F.to_json(F.transform(F.filter(expected, lambda c: c["name"].isNotNull()), one)), F.lit("[]"))
 
 
 def question_turns(question: Column) -> Column:
@@ -460,7 +527,8 @@ def calls_match(predicted: Column, expected: Column) -> Column:
     call left that has its name and an allowed value for each argument.
 
     An argument may be missing when its allowed values hold an empty text or null; further
-    arguments of the prediction do not matter.
+    arguments of the prediction do not matter. An unknown ground truth accepts any calls; one
+    that could not be read gives null.
     """
 
     def fits(p, e):
@@ -484,7 +552,7 @@ def calls_match(predicted: Column, expected: Column) -> Column:
 
     def verdict(p):
         run = F.aggregate(expected, F.struct(p.alias("left"), F.lit(True).alias("ok")), take, lambda s: s["ok"])
-        return F.when(p.isNull(), F.lit(False)).when(expected.isNull(), F.lit(True)).when(
+        return F.when(unread(expected), F.lit(None)).when(p.isNull(), F.lit(False)).when(expected.isNull(), F.lit(True)).when(
             F.size(p) != F.size(expected), F.lit(False)).otherwise(run)
 
     return let(predicted, verdict)

@@ -336,6 +336,7 @@ def custom_json(df: DataFrame) -> Row:
 
 def chat_messages(df: DataFrame) -> Row:
     """A message list under one of three names, with role / content or from / value."""
+    found = []
     for name in ("messages", "conversation", "conversations"):
         if name not in df.columns:
             continue
@@ -344,9 +345,11 @@ def chat_messages(df: DataFrame) -> Row:
             m = ms.merged(ms.mapped(name, "from", "value", strict=True))
         else:
             m = ms.mapped(name, "role", "content", strict=False)
-        m = ms.trimmed(m)
-        return Row(need(ms.alternates(m, end_assistant=True), m))
-    return Row(F.lit(None).cast(ms.MESSAGES))
+        found.append(F.when(F.col(f"`{name}`").isNotNull(), ms.trimmed(m)))
+    if not found:
+        return Row(F.lit(None).cast(ms.MESSAGES))
+    m = F.coalesce(*found)
+    return Row(need(ms.alternates(m, end_assistant=True), m))
 
 
 def hh_rlhf(df: DataFrame) -> Row:
@@ -630,16 +633,19 @@ SET_ALIASES = {
 
 def to_conversations(
     df: DataFrame, adapter: str | Adapter, keep: Sequence[str] = (), english_only: bool = False,
-    on_invalid: str = "drop",
+    on_invalid: str = "drop", registry: str | None = None,
 ) -> DataFrame:
     """``(keep..., messages, letters, parts, answer, subject, meta)``.
 
-    ``adapter`` is a name or a function. ``on_invalid='drop'`` removes rows that cannot be
+    ``adapter`` is a name or a function. Other names of sets (``SET_ALIASES``) mean the set's rule;
+    a plain name that both registries have means the task's, unless ``registry`` says ``"sets"``. ``on_invalid='drop'`` removes rows that cannot be
     converted, ``'flag'`` keeps them with ``is_valid`` false.
     """
     if isinstance(adapter, str):
-        name = SET_ALIASES.get(adapter.lower(), adapter)
-        fn = ADAPTERS.get(name) or SETS.get(name)
+        alias = SET_ALIASES.get(adapter.lower())
+        known = {"tasks": ADAPTERS, "sets": SETS, None: {**SETS, **ADAPTERS}}[registry]
+        # an alias that is a task's plain name as well, such as "boolq", is in one registry only
+        fn = SETS.get(alias) if alias is not None and registry != "tasks" else known.get(adapter)
         if fn is None:
             raise ValueError(f"Unknown adapter {adapter!r}")
     else:
