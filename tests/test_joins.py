@@ -51,3 +51,20 @@ def test_functions_travel_by_value():
     from pyspark import cloudpickle
 
     assert "tokenmill" in cloudpickle.list_registry_pickle_by_value()
+
+
+def test_rows_that_are_alike_are_found_and_spread(spark):
+    """A third of all rows on one item, each with a reward of 0 or 1 only."""
+    many = spark.range(60000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), (F.col("id") % 2).alias("reward"))
+    assert hot_keys(many, ["k"]) == [(-1,)]
+    one = spark.createDataFrame([(-1, "x")], "k bigint, v string")
+    out = skew_join(many, one, ["k"])
+    assert out.count() == 20000
+    assert "pmod(monotonically_increasing_id(), cast(64 as bigint))" in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_crowded_null_keys_are_kept_and_spread(spark):
+    many = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), "id")
+    one = spark.range(100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    a, b = skew_join(many, one, ["k"], "left"), many.join(one, ["k"], "left")
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))

@@ -67,7 +67,7 @@ def numeric_match(spark, sf):
 LETTERS = """
     WITH a AS (SELECT doc_id, ['A', 'B', 'C', 'D'][doc_id % 4 + 1] AS gold,
         CASE doc_id % 7 WHEN 0 THEN '(' || lower(['A', 'B', 'C', 'D'][doc_id % 4 + 1]) || ')' WHEN 1 THEN 'The answer is C.'
-            WHEN 2 THEN 'Because D' WHEN 3 THEN '' WHEN 4 THEN ' b' WHEN 5 THEN left(text, 20) ELSE ['A', 'B', 'C', 'D'][doc_id % 3 + 1] END AS response
+            WHEN 2 THEN 'Because D' WHEN 3 THEN '' WHEN 4 THEN ' b' WHEN 5 THEN text ELSE ['A', 'B', 'C', 'D'][doc_id % 3 + 1] END AS response
         FROM documents)"""
 
 
@@ -78,7 +78,7 @@ def _letters(spark, sf):
     at = F.col("doc_id") % 7
     response = (
         F.when(at == 0, F.concat(F.lit("("), F.lower(gold), F.lit(")"))).when(at == 1, "The answer is C.")
-        .when(at == 2, "Because D").when(at == 3, "").when(at == 4, " b").when(at == 5, F.left("text", F.lit(20)))
+        .when(at == 2, "Because D").when(at == 3, "").when(at == 4, " b").when(at == 5, F.col("text"))
         .otherwise(F.get(abc, (F.col("doc_id") % 3).cast("int"))))
     return d.select("doc_id", gold.alias("gold"), response.alias("response"))
 

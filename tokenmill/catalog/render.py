@@ -100,34 +100,34 @@ def _shots(items):
 
 
 @query("t10_render_mc", ICL + """,
-    h AS (SELECT item_id, string_agg(left(text, 30) || ' ' || CASE WHEN other % 2 = 0 THEN 'yes' ELSE 'no ' || other END || chr(10) || chr(10), '' ORDER BY shot) AS head FROM s GROUP BY 1)
-    SELECT item_id, CAST(c AS INTEGER) AS choice, head || left(text, 30) || ' ' || CASE WHEN c = 0 THEN 'yes' ELSE 'no ' || item_id END AS prompt
+    h AS (SELECT item_id, string_agg(text || ' ' || CASE WHEN other % 2 = 0 THEN 'yes' ELSE 'no ' || other END || chr(10) || chr(10), '' ORDER BY shot) AS head FROM s GROUP BY 1)
+    SELECT item_id, CAST(c AS INTEGER) AS choice, head || text || ' ' || CASE WHEN c = 0 THEN 'yes' ELSE 'no ' || item_id END AS prompt
     FROM i JOIN h USING (item_id), unnest([0, 1]) AS t(c)""")
 def render_mc(spark, sf):
     items = table(spark, sf, "benchmark").select(
-        "item_id", F.left("text", F.lit(30)).alias("query"),
+        "item_id", F.col("text").alias("query"),
         F.array(F.lit("yes"), F.concat(F.lit("no "), "item_id")).alias("choices"), (F.col("item_id") % 2).cast("int").alias("gold"))
     return r.render_icl(items, _shots(items), "mc")
 
 
 @query("t10_render_schema", ICL + """,
-    h AS (SELECT item_id, string_agg(CASE WHEN other % 2 = 0 THEN left(text, 20) ELSE right(text, 20) END || '|' || 'end ' || other || chr(10) || chr(10), '' ORDER BY shot) AS head FROM s GROUP BY 1)
-    SELECT item_id, CAST(c AS INTEGER) AS choice, head || CASE WHEN c = 0 THEN left(text, 20) ELSE right(text, 20) END || '|end ' || item_id AS prompt
+    h AS (SELECT item_id, string_agg(CASE WHEN other % 2 = 0 THEN text ELSE (text || 'x') END || '|' || 'end ' || other || chr(10) || chr(10), '' ORDER BY shot) AS head FROM s GROUP BY 1)
+    SELECT item_id, CAST(c AS INTEGER) AS choice, head || CASE WHEN c = 0 THEN text ELSE (text || 'x') END || '|end ' || item_id AS prompt
     FROM i JOIN h USING (item_id), unnest([0, 1]) AS t(c)""")
 def render_schema(spark, sf):
     items = table(spark, sf, "benchmark").select(
-        "item_id", F.array(F.left("text", F.lit(20)), F.right("text", F.lit(20))).alias("context_options"),
+        "item_id", F.array(F.col("text"), F.concat("text", F.lit("x"))).alias("context_options"),
         F.concat(F.lit("end "), "item_id").alias("continuation"), (F.col("item_id") % 2).cast("int").alias("gold"))
     return r.render_icl(items, _shots(items), "schema", "|")
 
 
 @query("t10_render_lm", ICL + """,
-    h AS (SELECT item_id, string_agg(trim(left(text, 40)) || ' ' || right(text, 10) || chr(10) || chr(10), '' ORDER BY shot) AS head FROM s GROUP BY 1)
-    SELECT item_id, CAST(c AS INTEGER) AS choice, head || trim(left(text, 40)) || CASE WHEN c = 0 THEN '' ELSE ' ' || right(text, 10) END AS prompt
+    h AS (SELECT item_id, string_agg(trim(text) || ' ' || right(text, 10) || chr(10) || chr(10), '' ORDER BY shot) AS head FROM s GROUP BY 1)
+    SELECT item_id, CAST(c AS INTEGER) AS choice, head || trim(text) || CASE WHEN c = 0 THEN '' ELSE ' ' || right(text, 10) END AS prompt
     FROM i JOIN h USING (item_id), unnest([0, 1]) AS t(c)""")
 def render_lm(spark, sf):
     items = table(spark, sf, "benchmark").select(
-        "item_id", F.concat(F.lit("  "), F.left("text", F.lit(40)), F.lit(" \n")).alias("context"),
+        "item_id", F.concat(F.lit("  "), F.col("text"), F.lit(" \n")).alias("context"),
         F.right("text", F.lit(10)).alias("continuation"))
     return r.render_icl(items, _shots(items), "lm")
 
@@ -135,14 +135,14 @@ def render_lm(spark, sf):
 def _choices(spark, sf):
     """Two byte sequences per item that share their start and their end."""
     b = table(spark, sf, "benchmark").select("item_id", F.explode(F.array(
-        F.struct(F.lit(0).alias("choice"), F.concat(F.left("text", F.lit(40)), F.lit("first, "), F.right("text", F.lit(12))).alias("text")),
-        F.struct(F.lit(1).alias("choice"), F.concat(F.left("text", F.lit(40)), F.lit("another "), F.right("text", F.lit(12))).alias("text")),
+        F.struct(F.lit(0).alias("choice"), F.concat(F.col("text"), F.lit("first, "), F.col("text")).alias("text")),
+        F.struct(F.lit(1).alias("choice"), F.concat(F.col("text"), F.lit("another "), F.col("text")).alias("text")),
     )).alias("c")).select("item_id", "c.choice", "c.text")
     return tk.tokenize(b, tk.byte_vocab(spark), ["item_id", "choice"], prepend=256)
 
 
 PAIRS = """
-    WITH p AS (SELECT item_id, left(text, 40) || 'first, ' || right(text, 12) AS a, left(text, 40) || 'another ' || right(text, 12) AS b FROM benchmark),
+    WITH p AS (SELECT item_id, text || 'first, ' || text AS a, text || 'another ' || text AS b FROM benchmark),
     k AS (SELECT *, least(strlen(a), strlen(b)) AS n, hex(encode(a)) AS x, hex(encode(b)) AS y FROM p),
     l AS (SELECT *, list_min(list_filter(list_transform(range(1, n + 1), lambda i: CASE WHEN substr(x, 2 * i - 1, 2) <> substr(y, 2 * i - 1, 2) THEN i ELSE n + 1 END), lambda i: i > 0)) - 1 AS lcp,
                  list_min(list_transform(range(1, n + 1), lambda i: CASE WHEN substr(x, len(x) - 2 * i + 1, 2) <> substr(y, len(y) - 2 * i + 1, 2) THEN i ELSE n + 1 END)) - 1 AS lcs FROM k)"""
@@ -157,9 +157,9 @@ def common_length(spark, sf):
 
 @query("n9_spans_mc", PAIRS + """,
     s AS (SELECT item_id, 0 AS choice, lcp + 1 AS f, strlen(a) + 1 AS e FROM l UNION ALL SELECT item_id, 1, lcp + 1, strlen(b) + 1 FROM l)
-    SELECT item_id, CAST(choice AS INTEGER) AS choice, CAST(f - greatest(e - 50, 0) AS INTEGER) AS start, CAST(least(e, 50) AS INTEGER) AS "end" FROM s""")
+    SELECT item_id, CAST(choice AS INTEGER) AS choice, CAST(f - greatest(e - 600, 0) AS INTEGER) AS start, CAST(least(e, 600) AS INTEGER) AS "end" FROM s""")
 def spans_mc(spark, sf):
-    return r.spans(_choices(spark, sf), "mc", 50).select("item_id", "choice", "start", "end")
+    return r.spans(_choices(spark, sf), "mc", 600).select("item_id", "choice", "start", "end")
 
 
 @query("n9_spans_schema", PAIRS + """,

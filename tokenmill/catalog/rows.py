@@ -13,7 +13,7 @@ NL = "chr(10)"
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").withColumn("head", F.left("text", F.lit(50)))
+    return table(spark, sf, "documents").withColumn("head", F.col("text"))
 
 
 def _pair(conv, *keep):
@@ -35,7 +35,7 @@ def _options():
     return F.array("lang", "source", F.col("n_chars").cast("string"), F.lit("none"))
 
 
-@query("p10_render_mc", f"SELECT doc_id, {_mc_sql('left(text, 50)', *OPTS)} AS prompt FROM documents")
+@query("p10_render_mc", f"SELECT doc_id, {_mc_sql('text', *OPTS)} AS prompt FROM documents")
 def render_mc(spark, sf):
     o = _options()
     return _docs(spark, sf).select("doc_id", ch.render_mc("head", ch.letters_for(o), o).alias("prompt"))
@@ -104,7 +104,7 @@ def stable_seed(spark, sf):
 
 
 @query("p9_mmlu", f"""
-    SELECT doc_id, {_mc_sql('left(text, 50)', *OPTS)} AS "user", ['A', 'B', 'C', 'D'][doc_id % 4 + 1] AS assistant, source AS subject FROM documents""")
+    SELECT doc_id, {_mc_sql('text', *OPTS)} AS "user", ['A', 'B', 'C', 'D'][doc_id % 4 + 1] AS assistant, source AS subject FROM documents""")
 def adapt_mmlu(spark, sf):
     d = _docs(spark, sf).select("doc_id", F.col("head").alias("question"), _options().alias("choices"),
                                 (F.col("doc_id") % 4).alias("answer"), F.col("source").alias("topic"))
@@ -114,9 +114,9 @@ def adapt_mmlu(spark, sf):
 
 @query("p9_gpqa", """
     WITH o AS (SELECT doc_id, text, unnest([0, 1, 2, 3]) AS i, unnest([lang, source, CAST(n_chars AS VARCHAR), 'none']) AS c FROM documents),
-    s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5(left(text, 50) || '|' || i)) - 1 AS k FROM o)
+    s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5(text || '|' || i)) - 1 AS k FROM o)
     SELECT doc_id, ['A', 'B', 'C', 'D'][max(CASE WHEN i = 0 THEN k END) + 1] AS assistant,
-        'Multiple Choice question: ' || left(any_value(text), 50) || chr(10) || string_agg('- ' || c || '=' || ['A', 'B', 'C', 'D'][k + 1] || chr(10), '' ORDER BY k)
+        'Multiple Choice question: ' || any_value(text) || chr(10) || string_agg('- ' || c || '=' || ['A', 'B', 'C', 'D'][k + 1] || chr(10), '' ORDER BY k)
         || chr(10) || 'Respond only with the letter of the correct answer.' AS "user" FROM s GROUP BY 1""")
 def adapt_gpqa(spark, sf):
     d = _docs(spark, sf).select(
@@ -126,7 +126,7 @@ def adapt_gpqa(spark, sf):
 
 
 @query("p9_winogrande", f"""
-    SELECT doc_id, {_mc_sql('left(text, 50)', 'lang', 'source')} AS "user", CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS assistant
+    SELECT doc_id, {_mc_sql('text', 'lang', 'source')} AS "user", CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS assistant
     FROM documents WHERE doc_id % 5 <> 4""")
 def adapt_winogrande(spark, sf):
     two = (F.col("doc_id") % 2 + 1).cast("string")
@@ -137,7 +137,7 @@ def adapt_winogrande(spark, sf):
 
 
 @query("p9_social_iqa", f"""
-    SELECT doc_id, {_mc_sql("'c ' || lang || chr(10) || chr(10) || 'Question: ' || left(text, 50)", 'lang', 'source', "'x'")} AS "user",
+    SELECT doc_id, {_mc_sql("'c ' || lang || chr(10) || chr(10) || 'Question: ' || text", 'lang', 'source', "'x'")} AS "user",
         ['A', 'A', 'B', 'C'][doc_id % 4 + 1] AS assistant FROM documents""")
 def adapt_social_iqa(spark, sf):
     d = _docs(spark, sf).select(
@@ -149,18 +149,18 @@ def adapt_social_iqa(spark, sf):
 @query("p29_instruction_templates", """
     SELECT doc_id, k AS kind, CASE k WHEN 'alpaca' THEN lang || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || chr(10) || 'Input:' || chr(10) || source END
             WHEN 'dolly-15k' THEN lang || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || chr(10) || 'Context:' || chr(10) || source END ELSE lang END AS "user",
-        CASE k WHEN 'skunkworks' THEN CASE WHEN doc_id % 3 = 0 THEN 'r ' || n_chars || chr(10) || chr(10) || left(text, 9) ELSE left(text, 9) END
-            WHEN 'open_math_instruct' THEN CASE WHEN contains(left(text, 9), CAST(doc_id AS VARCHAR)) THEN left(text, 9) ELSE left(text, 9) || chr(10) || chr(10) || 'Final answer: ' || doc_id END
-            WHEN 'numina_math' THEN CASE WHEN doc_id % 3 = 1 THEN left(text, 9) ELSE 'g ' || n_chars END
+        CASE k WHEN 'skunkworks' THEN CASE WHEN doc_id % 3 = 0 THEN 'r ' || n_chars || chr(10) || chr(10) || text ELSE text END
+            WHEN 'open_math_instruct' THEN CASE WHEN contains(text, CAST(doc_id AS VARCHAR)) THEN text ELSE text || chr(10) || chr(10) || 'Final answer: ' || doc_id END
+            WHEN 'numina_math' THEN CASE WHEN doc_id % 3 = 1 THEN text ELSE 'g ' || n_chars END
             WHEN 'natural_reasoning' THEN CASE WHEN doc_id % 2 = 0 THEN 'first ' || lang ELSE source END
-            ELSE left(text, 9) END AS assistant
-    FROM (SELECT doc_id, lang, source, n_chars, """ + sql_strip("left(text, 9)") + """ AS text FROM documents), unnest(['alpaca', 'dolly-15k', 'skunkworks', 'open_math_instruct', 'numina_math', 'natural_reasoning']) AS t(k)""")
+            ELSE text END AS assistant
+    FROM (SELECT doc_id, lang, source, n_chars, """ + sql_strip("text") + """ AS text FROM documents), unnest(['alpaca', 'dolly-15k', 'skunkworks', 'open_math_instruct', 'numina_math', 'natural_reasoning']) AS t(k)""")
 def instruction_templates(spark, sf):
     from tokenmill.functions.text import strip
 
     d = _docs(spark, sf)
     odd = F.when(F.col("doc_id") % 2 == 0, " \n").otherwise(F.col("source"))
-    answer = strip(F.left("text", F.lit(9)))
+    answer = strip(F.col("text"))
     tables = {
         "alpaca": d.select("doc_id", F.col("lang").alias("instruction"), odd.alias("input"), answer.alias("output")),
         "dolly-15k": d.select("doc_id", F.col("lang").alias("instruction"), odd.alias("context"), answer.alias("response")),
@@ -304,7 +304,7 @@ TAIL = ("'Respond with a JSON array of tool calls only, e.g. [{\"name\": \"...\"
 
 @query("p20_render_tool_prompt", f"""
     SELECT doc_id, 'You have access to the following tools (JSON schema):' || chr(10) || {TOOL_JSON} || chr(10) || chr(10) || {TAIL} AS system,
-        'You have access to the following tools (JSON schema):' || chr(10) || {TOOL_JSON} || chr(10) || chr(10) || 'User query: ' || left(text, 50) || chr(10) || chr(10) || {TAIL} AS inline
+        'You have access to the following tools (JSON schema):' || chr(10) || {TOOL_JSON} || chr(10) || chr(10) || 'User query: ' || text || chr(10) || chr(10) || {TAIL} AS inline
     FROM documents""")
 def render_tool_prompt(spark, sf):
     tools = F.array(F.struct(F.col("lang").alias("name"), F.col("source").alias("description"), F.parse_json(F.lit("{}")).alias("parameters")))

@@ -79,9 +79,11 @@ def check(instruction: Column, a: Column, text: Column, prompt: Column) -> Colum
     paragraphs = _paragraphs(text)
     repeat = F.coalesce(F.nullif(a["prompt_to_repeat"], F.lit("")), prompt)
     letter = a["letter"]
-    letters = F.when(F.coalesce(letter, F.lit("")) == "", 0).when(
-        letter.rlike(r"^\p{L}+$"), _count(F.lower(text), quote_regex(F.lower(letter)))
-    ).otherwise(_count(text, quote_regex(letter)))
+    times = lambda t, x: ((F.length(t) - F.length(F.replace(t, x, F.lit("")))) / F.length(x)).cast("int")
+    # a text of several letters is compared with single characters, so it is never found
+    letters = F.when(F.coalesce(letter, F.lit("")) == "", 0).when(letter.rlike(r"^\p{L}{2,}$"), 0).when(
+        letter.rlike(r"^\p{L}$"), times(F.lower(text), F.lower(letter))
+    ).otherwise(times(text, letter))
     nth = F.get(paragraphs, a["nth_paragraph"] - 1)
     first_word = F.get(F.regexp_extract_all(nth, F.lit(rf"[{WORD}]+"), F.lit(0)), F.lit(0))
     rules = {
@@ -135,11 +137,15 @@ def constraint_results(responses: DataFrame, items: DataFrame) -> DataFrame:
     ``responses(item_id, sample_no, text)``, ``items(item_id, prompt, instruction_ids
     ARRAY<STRING>, kwargs ARRAY<STRING of JSON>)``.
     """
-    listed = items.select("item_id", "prompt", "kwargs", F.posexplode("instruction_ids").alias("constraint_no", "instruction_id"))
+    both = skew_join(
+        responses.filter("text is not null"), items.select("item_id", "prompt", "instruction_ids", "kwargs"), ["item_id"]
+    )
+    # a response crosses the shuffle once; its constraints are multiplied out behind the join
+    listed = both.select(
+        "item_id", "sample_no", "text", "prompt", "kwargs", F.posexplode("instruction_ids").alias("constraint_no", "instruction_id")
+    )
     args = F.from_json(F.coalesce(F.get("kwargs", F.col("constraint_no")), F.lit("{}")), ARGUMENTS)
-    flat = listed.select("item_id", "prompt", "constraint_no", "instruction_id", args.alias("a"))
-    both = skew_join(responses.filter("text is not null"), flat, ["item_id"])
-    return both.select(
+    return listed.withColumn("a", args).select(
         "item_id", "sample_no", "constraint_no", "instruction_id",
         check(F.col("instruction_id"), F.col("a"), F.col("text"), F.col("prompt")).alias("is_met"),
     )

@@ -12,6 +12,7 @@ from tokenmill.functions.text import order_key
 from tokenmill.operators.tokens import MAX_VOCAB
 from tokenmill.plans.joins import broadcast_up_to, skew_join
 from tokenmill.plans.scan import dense_index
+from tokenmill.plans.session import cut_lineage
 
 
 # Chance levels of the chat tasks, which are also the ones a composite needs.
@@ -28,8 +29,7 @@ def accuracy(outcomes: DataFrame, by: Sequence[str] = ("task",), max_problems: i
     by = list(by)
     items = outcomes.groupBy(*by, "item_id").agg(F.bool_or("is_correct").alias("__ok"))
     if max_problems is not None:
-        place = F.row_number().over(Window.partitionBy(*by).orderBy("item_id"))
-        items = items.withColumn("__p", place).filter(F.col("__p") <= max_problems)
+        items = dense_index(cut_lineage(items, "items"), ["item_id"], "__p", by=by).filter(F.col("__p") < max_problems)
     return items.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_items"), F.count_if("__ok").alias("n_correct"),
         F.avg(F.col("__ok").cast("double")).alias("accuracy"),

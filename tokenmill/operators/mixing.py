@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenmill.functions.text import hash_pick, order_key, unit_interval
 from tokenmill.plans.joins import skew_join
 from tokenmill.plans.scan import dense_index, hash_blocks, ordered_scan
+from tokenmill.plans.session import cut_lineage
 
 
 def shuffle(df: DataFrame, key: Sequence[str], seed=42, name: str = "idx") -> DataFrame:
@@ -235,7 +236,13 @@ def apply_valid_policy(
     source = F.when(found - F.col(idx) <= reach, F.pmod(found, F.lit(size)))
     targets = ahead.select(F.col(idx).alias("__at"), source.alias("source_idx"))
     content = df.select(F.col(idx).alias("source_idx"), *[c for c in df.columns if c not in (idx, is_valid)])
-    return targets.join(content, "source_idx", "left").withColumnRenamed("__at", idx)
+    # rows without a source would share one null key, so they stay out of the join
+    targets = cut_lineage(targets, "sources")
+    filled = targets.filter("source_idx is not null").join(content, "source_idx", "left")
+    alone = targets.filter("source_idx is null").select("*", *[
+        F.lit(None).cast(f.dataType).alias(f.name) for f in content.schema if f.name != "source_idx"
+    ])
+    return filled.unionByName(alone.select(filled.columns)).withColumnRenamed("__at", idx)
 
 
 def sample_fewshot(

@@ -228,9 +228,10 @@ def tokenize(
     once, keeps them for later batches of the task, and gathers the ids with array kernels.
     The vocabulary is bounded by ``MAX_VOCAB`` and ships with the tasks.
     """
-    ranks = {
-        bytes(r["bytes"]): r["token_id"] for r in vocab.filter("not is_special").collect()
-    }
+    rows = vocab.filter("not is_special").limit(MAX_VOCAB + 1).collect()
+    if len(rows) > MAX_VOCAB:
+        raise ValueError(f"a vocabulary may have at most {MAX_VOCAB} tokens")
+    ranks = {bytes(r["bytes"]): r["token_id"] for r in rows}
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
     key = list(key)
@@ -287,7 +288,9 @@ def detokenize(tokens: DataFrame, vocab: DataFrame, key: Sequence[str], specials
     Ids are looked up in one constant array (the vocabulary is bounded by ``MAX_VOCAB``), so no
     token is shuffled.
     """
-    rows = vocab.orderBy("token_id").collect()
+    rows = vocab.orderBy("token_id").limit(MAX_VOCAB + 1).collect()
+    if len(rows) > MAX_VOCAB:
+        raise ValueError(f"a vocabulary may have at most {MAX_VOCAB} tokens")
     hexes = ["" if r["is_special"] and not specials else bytes(r["bytes"]).hex().upper() for r in rows]
     table = F.split(F.lit(",".join(hexes)), ",")
     joined = F.array_join(F.transform("ids", lambda i: F.get(table, i)), "")

@@ -25,19 +25,20 @@ MATH_SUBJECTS = (
 )
 
 # The subjects of the multi-subject question set.
-SUBJECTS = tuple("""
-    abstract_algebra anatomy astronomy business_ethics clinical_knowledge college_biology college_chemistry
-    college_computer_science college_mathematics college_medicine college_physics computer_security
-    conceptual_physics econometrics electrical_engineering elementary_mathematics formal_logic global_facts
-    high_school_biology high_school_chemistry high_school_computer_science high_school_european_history
-    high_school_geography high_school_government_and_politics high_school_macroeconomics
-    high_school_mathematics high_school_microeconomics high_school_physics high_school_psychology
-    high_school_statistics high_school_us_history high_school_world_history human_aging human_sexuality
-    international_law jurisprudence logical_fallacies machine_learning management marketing medical_genetics
-    miscellaneous moral_disputes moral_scenarios nutrition philosophy prehistory professional_accounting
-    professional_law professional_medicine professional_psychology public_relations security_studies sociology
-    us_foreign_policy virology world_religions
-""".split())
+SUBJECTS = (
+    "abstract_algebra", "anatomy", "astronomy", "business_ethics", "clinical_knowledge", "college_biology",
+    "college_chemistry", "college_computer_science", "college_mathematics", "college_medicine", "college_physics",
+    "computer_security", "conceptual_physics", "econometrics", "electrical_engineering", "elementary_mathematics",
+    "formal_logic", "global_facts", "high_school_biology", "high_school_chemistry", "high_school_computer_science",
+    "high_school_european_history", "high_school_geography", "high_school_government_and_politics",
+    "high_school_macroeconomics", "high_school_mathematics", "high_school_microeconomics", "high_school_physics",
+    "high_school_psychology", "high_school_statistics", "high_school_us_history", "high_school_world_history",
+    "human_aging", "human_sexuality", "international_law", "jurisprudence", "logical_fallacies", "machine_learning",
+    "management", "marketing", "medical_genetics", "miscellaneous", "moral_disputes", "moral_scenarios", "nutrition",
+    "philosophy", "prehistory", "professional_accounting", "professional_law", "professional_medicine",
+    "professional_psychology", "public_relations", "security_studies", "sociology", "us_foreign_policy", "virology",
+    "world_religions",
+)
 
 # Subject groups that can be up-weighted.
 SUBJECT_GROUPS = {
@@ -57,24 +58,46 @@ REASONING_SETS = (
 
 
 # Subsets of the function-call benchmark, and those whose answers are stored apart.
-_EXEC = ["exec_simple", "exec_parallel", "exec_multiple", "exec_parallel_multiple"]
-_PLAIN = ["simple", "irrelevance", "parallel", "multiple", "parallel_multiple"]
-_LIVE = ["live_simple", "live_multiple", "live_parallel", "live_parallel_multiple", "live_irrelevance", "live_relevance"]
-_MULTI = [f"multi_turn_{k}" for k in ("base", "miss_func", "miss_param", "long_context", "composite")]
-_OTHER = ["java", "javascript"]
 CALL_COLLECTIONS = {
-    "all": _EXEC + _PLAIN + _OTHER + ["rest"] + _LIVE + _MULTI,
-    "multi_turn": _MULTI,
-    "single_turn": _EXEC + _PLAIN + _OTHER + ["rest"] + _LIVE,
-    "live": _LIVE,
-    "non_live": _EXEC + _PLAIN + _OTHER + ["rest"],
-    "executable": _EXEC + ["rest"],
-    "non_python": _OTHER,
-    "python": _EXEC + _PLAIN + ["rest"] + _LIVE,
+    "all": [
+        "exec_simple", "exec_parallel", "exec_multiple", "exec_parallel_multiple", "simple", "irrelevance",
+        "parallel", "multiple", "parallel_multiple", "java", "javascript", "rest", "live_simple", "live_multiple",
+        "live_parallel", "live_parallel_multiple", "live_irrelevance", "live_relevance", "multi_turn_base",
+        "multi_turn_miss_func", "multi_turn_miss_param", "multi_turn_long_context", "multi_turn_composite",
+    ],
+    "multi_turn": [
+        "multi_turn_base", "multi_turn_miss_func", "multi_turn_miss_param", "multi_turn_long_context",
+        "multi_turn_composite",
+    ],
+    "single_turn": [
+        "exec_simple", "exec_parallel", "exec_multiple", "exec_parallel_multiple", "simple", "irrelevance",
+        "parallel", "multiple", "parallel_multiple", "java", "javascript", "rest", "live_simple", "live_multiple",
+        "live_parallel", "live_parallel_multiple", "live_irrelevance", "live_relevance",
+    ],
+    "live": [
+        "live_simple", "live_multiple", "live_parallel", "live_parallel_multiple", "live_irrelevance",
+        "live_relevance",
+    ],
+    "non_live": [
+        "exec_simple", "exec_parallel", "exec_multiple", "exec_parallel_multiple", "simple", "irrelevance",
+        "parallel", "multiple", "parallel_multiple", "java", "javascript", "rest",
+    ],
+    "executable": [
+        "exec_simple", "exec_parallel", "exec_multiple", "exec_parallel_multiple", "rest",
+    ],
+    "non_python": [
+        "java", "javascript",
+    ],
+    "python": [
+        "exec_simple", "exec_parallel", "exec_multiple", "exec_parallel_multiple", "simple", "irrelevance",
+        "parallel", "multiple", "parallel_multiple", "rest", "live_simple", "live_multiple", "live_parallel",
+        "live_parallel_multiple", "live_irrelevance", "live_relevance",
+    ],
 }
 CALL_ANSWERS = {
     "simple", "multiple", "parallel", "parallel_multiple", "java", "javascript", "sql", "live_simple",
-    "live_multiple", "live_parallel", "live_parallel_multiple", *_MULTI,
+    "live_multiple", "live_parallel", "live_parallel_multiple", "multi_turn_base", "multi_turn_miss_func",
+    "multi_turn_miss_param", "multi_turn_long_context", "multi_turn_composite",
 }
 
 
