@@ -25,12 +25,15 @@ from tokenmill.llm.batches import take, text_groups
 from tokenmill.llm.byte_cnn import text_bytes
 from tokenmill.llm.circulant import Circulant, band_hashes, shingles
 from tokenmill.llm.components import components
+from tokenmill.plans.joins import broadcast_up_to
 from tokenmill.plans.session import cut_lineage
 
 #: 40 bands of 6 coordinates miss a pair at similarity 0.8 with probability 5e-6.
 BANDS, ROWS = 40, 6
 #: Members and shingles of a block.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 300_000
+#: Bits of the map of wanted ids (2 MB), and buckets up to which their list goes to every task.
+BITMAP_BITS, BROADCAST_ROWS = 1 << 24, 500_000
 
 
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -119,6 +122,32 @@ def _verify(cells: DataFrame, texts: DataFrame, width: int, share: tuple[int, in
     return rows.select("cell", "doc_id", "root", "part", "text").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _texts_of(docs: DataFrame, seats: DataFrame) -> DataFrame:
+    """The texts of the seated documents, and few others, without a shuffle of all texts.
+
+    The ids are put into a bitmap of a fixed number of bits, which every task gets; a row passes
+    where its bit is set. With very many ids more rows pass than needed, never fewer.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
+    maps = seats.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
+    ).collect()
+    # parts count from 1; a part is 4096 bytes
+    bitmap = np.zeros((BITMAP_BITS // 32768 + 2, 4096), np.uint8)
+    for r in maps:
+        bitmap[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    rows = docs.withColumns({"part": F.bitmap_bucket_number(bit).cast("int"), "place": F.bitmap_bit_position(bit).cast("int")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "place"))
+            passes = shared.value[part, place >> 3] >> (place & 7) & 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(passes.astype(bool)))
+
+    return rows.where("doc_id is not null").mapInArrow(run, docs.schema)
+
+
 def groups(
     docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text",
     bands: int = BANDS, rows: int = ROWS, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES,
@@ -142,22 +171,27 @@ def groups(
         "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")
     )
     # one row for each class; classes of one id (repeated ids) stay apart here
-    reps = marks.join(first, "set_key").where("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "bands")
-    placed = cut_lineage(reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket")), "bands")
-    buckets = placed.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("doc_id").alias("first"),
+    reps = cut_lineage(
+        marks.join(first, "set_key").where("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "bands"), "classes"
+    )
+    placed = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    met = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut_lineage(met, "buckets")
+    met = cut_lineage(placed.join(broadcast_up_to(met, BROADCAST_ROWS), "bucket"), "buckets")
+    buckets = met.groupBy("bucket", "n").agg(
+        F.sum("n_shingles").alias("size"), F.min("doc_id").alias("first"),
         F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)) % (1 << 31)).alias("y"),
-    ).where("n > 1")
+    )
     # buckets with the same members are looked at once
     buckets = buckets.groupBy("n", "size", "first", "x", "y").agg(F.min("bucket").alias("bucket"))
     blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("size") / block_shingles)).cast("int")
     seats = cut_lineage(
-        placed.join(buckets.select("bucket", "first", blocks.alias("blocks")), "bucket").select(
+        met.join(buckets.select("bucket", "first", blocks.alias("blocks")), "bucket").select(
             "bucket", "doc_id", "first", "blocks",
             F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).cast("int").alias("block"),
-        ), "buckets",
+        ), "seats",
     )
-    texts = cut_lineage(docs.join(seats.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    texts = cut_lineage(_texts_of(docs, seats), "texts")
 
     # within blocks; a first member of a split bucket sits in all of them
     stay = F.when(F.col("doc_id") == F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
