@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.catalog.base import table
-from tokenmill.llm import binary_packing, byte_cnn, chunk_pieces, extendible, maxent, merkle, near_dedup, passages, path_templates, permutations
+from tokenmill.llm import (
+    binary_packing, byte_cnn, chunk_pieces, extendible, maxent, merkle, near_dedup, oracles, passages, path_templates, permutations,
+)
 from tokenmill.llm.batches import crc_bucket
 
 QUERIES = {}
@@ -114,3 +116,8 @@ def op9_chunk_pieces(spark: SparkSession, sf: str) -> DataFrame:
 def op10_permutation_index(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20."""
     return permutations.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op1_circulant_minhash"] = oracles.near_duplicates(4, 80)
+ORACLES["op3_extendible_shards"] = oracles.shards(SHARD_BYTES)
+ORACLES["op8_path_templates"] = oracles.url_verdicts(RULES)
