@@ -231,28 +231,28 @@ STOP_SQL = """,
         SELECT v.run, v.step, v.value, v.value < f.best - {delta}, CASE WHEN v.value < f.best - {delta} THEN v.value ELSE f.best END,
                CASE WHEN v.value < f.best - {delta} THEN 0 ELSE f.bad_evals + 1 END
         FROM f JOIN v ON v.run = f.run AND v.step = f.step + 1)
-    SELECT run, step, value, improved, best, bad_evals, bad_evals >= 40 AS should_stop FROM f"""
+    SELECT run, step, value, improved, best, bad_evals, bad_evals >= {patience} AS should_stop FROM f"""
 
 
 @query("n6_early_stop", LOG.replace("WITH", "WITH RECURSIVE") + ", v AS (SELECT run, step, loss AS value FROM l)"
-       + STOP_SQL.format(delta="0.05::DOUBLE"))
+       + STOP_SQL.format(delta="0.05::DOUBLE", patience=40))
 def early_stop(spark, sf):
     return tr.early_stop(step_log(spark, sf).withColumnRenamed("loss", "value"), 40, 0.05)
 
 
-# A slowly falling metric with noise, so that most rows are new minima.
+# A slowly falling metric with noise, so that most rows are new minima; one run for each supplier.
 FALL = """
-    WITH RECURSIVE v AS (SELECT l_returnflag AS run, l_linestatus, 1000.0 - n / 10.0 + l_tax AS value, n - 1 AS step FROM (
-        SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)
-        WHERE n <= 3000)"""
+    WITH RECURSIVE v AS (SELECT run, step, round(1000.0::DOUBLE - step / 10.0::DOUBLE + l_tax, 6) AS value FROM (
+        SELECT l_suppkey AS run, l_tax, row_number() OVER (
+            PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS step FROM lineitem))"""
 
 
-@query("n6_early_stop_falling")
+@query("n6_early_stop_falling", FALL + STOP_SQL.format(delta="0.37::DOUBLE", patience=3))
 def early_stop_falling(spark, sf):
     li = table(spark, sf, "lineitem").select(
-        F.col("l_returnflag").alias("run"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax")
-    at = dense_index(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "step", by=["run"])
-    v = at.select("run", "step", (1000.0 - F.col("step") / 10.0 + F.col("l_tax")).alias("value"))
+        F.col("l_suppkey").alias("run"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_tax")
+    at = dense_index(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "step", by=["run"])
+    v = at.select("run", "step", F.round(1000.0 - F.col("step") / 10.0 + F.col("l_tax"), 6).alias("value"))
     return tr.early_stop(v, 3, 0.37)
 
 

@@ -45,7 +45,7 @@ def stream_ema(spark, sf):
 
 
 @query("st3_stream_early_stop", LOG.replace("WITH", "WITH RECURSIVE") + ", v AS (SELECT run, step, loss AS value FROM l)"
-       + STOP_SQL.format(delta="0.05::DOUBLE"))
+       + STOP_SQL.format(delta="0.05::DOUBLE", patience=40))
 def stream_early_stop(spark, sf):
     log = step_log(spark, sf).select("run", "step", F.col("loss").alias("value"))
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(_feed(spark, log, "step"))

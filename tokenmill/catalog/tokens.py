@@ -39,11 +39,45 @@ def pretokens_by_language(spark, sf):
         F.sum(F.col("n") * F.length("word")).alias("n_chars"))
 
 
+def _merge_sql(n: int = 24) -> str:
+    """Tables of ``n`` merges, each learned from the words after the one before.
+
+    A token is one character; p0, p1, ... hold the merged pairs, the last v spells every token
+    and the last w has each word as tokens. Ties go to the smaller left, then right bytes.
+    """
+    at = 19968
+    sql = WORDS + f""",
+    w0 AS MATERIALIZED (SELECT word, n, array_to_string(list_transform(regexp_extract_all(hex(encode(word)), '..'),
+        lambda x: chr({at} + CAST(('0x' || x) AS INTEGER))), '') AS t FROM (SELECT word, count(*) AS n FROM w GROUP BY word)),
+    v0 AS (SELECT chr({at} + CAST(i AS INTEGER)) AS c, printf('%02X', i) AS spelled FROM range(256) r(i))"""
+    for k in range(n):
+        new = at + 256 + k
+        sql += f""",
+    p{k} AS MATERIALIZED (SELECT l, r, x.n, a.spelled AS sl, b.spelled AS sr FROM (
+            SELECT substr(t, i, 1) AS l, substr(t, i + 1, 1) AS r, sum(n) AS n FROM (SELECT t, n, unnest(range(1, length(t))) AS i FROM w{k}) GROUP BY ALL) x
+        JOIN v{k} a ON a.c = l JOIN v{k} b ON b.c = r ORDER BY x.n DESC, a.spelled, b.spelled LIMIT 1),
+    v{k + 1} AS MATERIALIZED (SELECT * FROM v{k} UNION ALL SELECT chr({new}), sl || sr FROM p{k}),
+    w{k + 1} AS MATERIALIZED (SELECT word, w{k}.n, replace(t, l || r, chr({new})) AS t FROM w{k}, p{k})"""
+    return sql
+
+
+# Ids of a document: the start token, then the tokens of its words in order.
+_CODED = """,
+    q AS (SELECT doc_id, lang, word, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos FROM (
+        SELECT doc_id, lang, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (
+            SELECT doc_id, lang, regexp_extract_all(text, '{pattern}') AS ws FROM m))),
+    d AS (SELECT documents.doc_id, documents.lang, strlen(documents.text) AS size, coalesce(string_agg(t, '' ORDER BY pos), '') AS t
+          FROM documents LEFT JOIN (SELECT q.doc_id, q.pos, w24.t FROM q JOIN w24 USING (word)) j ON j.doc_id = documents.doc_id GROUP BY ALL)"""
+CODED = _CODED.replace("{pattern}", _SQL_PATTERN)
+
+
 def _merges(spark, sf, n=24):
     return tk.train_bpe(tk.count_pretokens(_docs(spark, sf)), 256 + n + 9)
 
 
-@query("a10_train_bpe")
+@query("a10_train_bpe", _merge_sql() + " " + " UNION ALL ".join(
+    f"""SELECT CAST({k} AS INTEGER) AS rank, CAST(unicode(l) - 19968 AS INTEGER) AS "left", CAST(unicode(r) - 19968 AS INTEGER) AS "right",
+        CAST({256 + k} AS INTEGER) AS token_id, CAST(n AS BIGINT) AS n FROM p{k}""" for k in range(24)))
 def train_bpe(spark, sf):
     return _merges(spark, sf)
 
@@ -66,7 +100,9 @@ def token_bytes(spark, sf):
     return tk.token_bytes(tk.vocab_table(merges))
 
 
-@query("a7_vocab_stats")
+@query("a7_vocab_stats", _merge_sql() + """
+    SELECT count(*) AS n_tokens, CAST(min(n) AS BIGINT) AS min_bytes, CAST(max(n) AS BIGINT) AS max_bytes,
+           round(avg(n), 6) AS mean_bytes, round(stddev_samp(n), 6) AS std_bytes FROM (SELECT length(spelled) // 2 AS n FROM v24)""")
 def vocab_stats(spark, sf):
     from tokenmill.operators.metrics import vocab_stats as stats
 
@@ -85,7 +121,9 @@ def word_byte_stats(spark, sf):
     return stats(words.select(F.octet_length("word").alias("n_bytes")))
 
 
-@query("t1_tokenize")
+@query("t1_tokenize", _merge_sql() + CODED + """
+    SELECT doc_id, CAST(length(t) + 1 AS INTEGER) AS n_tokens, md5(array_to_string(['280'] || CASE WHEN t = '' THEN [] ELSE
+        list_transform(string_split(t, ''), lambda c: CAST(unicode(c) - 19968 AS VARCHAR)) END, ' ')) AS digest FROM d""")
 def tokenize(spark, sf):
     vocab = tk.vocab_table(_merges(spark, sf))
     bos = tk.special_ids(vocab)["<|bos|>"]
@@ -124,7 +162,11 @@ def compression(spark, sf):
     return tk.compare_tokenizers(chars, bytes_, ["lang"], "bytes")
 
 
-@query("a6_compression_bpe")
+@query("a6_compression_bpe", _merge_sql() + CODED + """,
+    c AS (SELECT lang, CAST(sum(size) AS BIGINT) AS n_bytes, CAST(sum(length(t)) AS BIGINT) AS n FROM d GROUP BY lang)
+    SELECT lang, n_bytes, n_bytes AS base_tokens, n AS ours_tokens, round(1.0, 6)::DOUBLE AS base_ratio,
+           round(CAST(n_bytes AS DOUBLE) / n, 6) AS ours_ratio, round(100.0::DOUBLE * CAST(n_bytes - n AS DOUBLE) / n_bytes, 6) AS saved_pct,
+           CASE WHEN n_bytes > n THEN 'ours' ELSE 'tie' END AS better FROM c""")
 def compression_bpe(spark, sf):
     vocab = tk.vocab_table(_merges(spark, sf))
     d = _docs(spark, sf)
