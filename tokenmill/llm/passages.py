@@ -22,6 +22,8 @@ from tokenmill.llm.word_hashes import words
 #: Bytes of a passage, size of its encoding and of the attention layer.
 PASSAGE, ENCODING, ATTENTION = 512, 24, 12
 FEATURES = 256 + 5
+#: Texts whose features are computed at once for fitting.
+LOT = 100
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +86,10 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
     rng = np.random.default_rng(seed)
     init = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
     net = Bags(init(FEATURES, ENCODING) * 2, init(ENCODING, ATTENTION), init(ENCODING, ATTENTION), init(ATTENTION), np.append(init(ENCODING), 0.0))
-    x, n = features(*text_bytes(pa.array(texts, pa.string())))
+    # a few texts at a time, since the counts behind the features are larger than the features
+    lots = [features(*text_bytes(pa.array(texts[i : i + LOT], pa.string()))) for i in range(0, len(texts), LOT)]
+    x, n = (np.concatenate(parts) for parts in zip(*lots))
+    del lots
     first = np.cumsum(n) - n
     y = np.asarray(labels, float)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
