@@ -69,3 +69,16 @@ def test_greedy_chain_equals_the_sequential_walk(spark, strict, chunk):
     df = spark.createDataFrame(rows, "g string, pos bigint, level double")
     got = {tuple(r) for r in greedy_chain(df, "pos", "level", 10.0, by=["g"], strict=strict, chunk=chunk).collect()}
     assert got == want
+
+
+def test_chain_summaries_are_bounded_on_equal_steps(spark):
+    """A million equal steps: a chunk's summary holds the entries of one step, not those of all its rows."""
+    df = spark.range(1_000_000).select(F.col("id").alias("pos"), F.col("id").cast("double").alias("level"))
+    got = greedy_chain(df, "pos", "level", 80.0)
+    assert got.count() == 12_500 and got.where("pos % 80 <> 0").count() == 0
+
+
+def test_null_order_keys_are_named(spark):
+    df = spark.createDataFrame([(None,), (1,), (2,)], "k bigint")
+    with pytest.raises(ValueError, match="must not be null"):
+        dense_index(df, ["k"]).collect()

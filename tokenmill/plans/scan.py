@@ -34,7 +34,10 @@ def block_bounds(df: DataFrame, order: Sequence[Column], blocks: int | None = No
     names = [f"k{i}" for i in range(len(order))]
     keys = df.select(*[c.alias(n) for n, c in zip(names, order)])
     sample = keys.orderBy(F.xxhash64(*names)).limit(blocks * SAMPLE_PER_BLOCK)
-    rows = sorted(tuple(r) for r in sample.collect())
+    rows = [tuple(r) for r in sample.collect()]
+    if any(v is None for r in rows for v in r):
+        raise ValueError("order keys must not be null; replace or drop them first")
+    rows.sort()
     cuts = [rows[len(rows) * i // blocks] for i in range(1, blocks)] if rows else []
     return sorted(set(cuts))
 
@@ -190,8 +193,10 @@ def greedy_chain(
         pdf = pdf.sort_values(pos)
         levels = pdf[level].to_numpy(dtype=float)
         _, last = last_levels(levels)
-        # Neighbouring entries mostly meet the same last member: keep one entry per run.
-        ends = np.append(np.flatnonzero(np.diff(last)), len(last) - 1)
+        # The last member before this chunk is below its first level, so the chunk is entered
+        # within one step of that; and neighbouring entries mostly meet the same last member.
+        reach = min(len(last), int(np.searchsorted(levels, levels[0] + step, side="right")) + 1)
+        ends = np.append(np.flatnonzero(np.diff(last[:reach])), reach - 1)
         head = pdf.iloc[0]
         return pd.DataFrame({
             **{b: [head[b]] for b in by}, "__chunk": [int(head["__chunk"])],
@@ -214,7 +219,7 @@ def greedy_chain(
         return pd.DataFrame({**{b: pdf[b].to_numpy() for b in by},
                              "__chunk": pdf["__chunk"].to_numpy(), "need": needs})
 
-    # One row per `chunk` rows of the table reaches a group here.
+    # One row per `chunk` rows of the table reaches a group here, with the entries of one step.
     entered = summary.groupBy(*by).applyInPandas(fold, f"{by_ddl}__chunk bigint, need double")
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
