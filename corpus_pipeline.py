@@ -10,8 +10,8 @@ from tokenmill.llm import binary_packing, byte_cnn, near_dedup, passages
 from tokenmill.llm.batches import crc_bucket
 from tokenmill.plans.session import cut_lineage
 
-#: A text stays with a language that is likelier than all others together.
-LEAST_LANGUAGE = 0.5
+#: A text stays unless its likeliest language is near guessing; texts of several languages are well above.
+LEAST_LANGUAGE = 0.3
 #: A text stays from this quality score on.
 LEAST_QUALITY = 0.3
 
