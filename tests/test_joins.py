@@ -68,3 +68,16 @@ def test_crowded_null_keys_are_kept_and_spread(spark):
     one = spark.range(100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     a, b = skew_join(many, one, ["k"], "left"), many.join(one, ["k"], "left")
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_scratch_tables_are_deleted(spark, monkeypatch):
+    import os
+
+    from tokenmill.plans import session
+
+    monkeypatch.setattr(session, "_SCRATCH", [])
+    kept = session.cut_lineage(spark.range(3), "gone")
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert kept.count() == 3 and os.path.exists(path)
+    session.release()
+    assert not os.path.exists(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -28,9 +30,26 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
+#: Scratch paths of this process, deleted by ``release`` or at its end.
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder. It is deleted when the driver's process ends."""
+    if not _SCRATCH:
+        atexit.register(release)
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Delete all scratch paths; DataFrames that still read them can no longer be evaluated."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        with contextlib.suppress(Exception):  # the JVM may be gone before the process
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
