@@ -45,10 +45,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and start of every word of texts that lie one after another, and each text's first word (n + 1 numbers)."""
+def word_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word of texts that lie one after another; a text's end ends its last word."""
     if not len(data):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     inside = ~_SPACE[data]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
@@ -58,7 +58,16 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     closes = np.zeros(len(data) + 1, bool)
     closes[1:-1] = inside[:-1] & (~inside[1:] | opens[1:])
     closes[-1] = inside[-1]
-    end = np.flatnonzero(closes)
+    return start, np.flatnonzero(closes)
+
+
+def words(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = True, ends: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and start of every word, and each text's first word (n + 1 numbers). ``ends`` may be given if known."""
+    start, end = word_ends(data, offsets) if ends is None else ends
+    if not len(data):
+        return np.empty(0, np.uint64), start, np.zeros(len(offsets), np.int64)
     up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_byte_values(lower)[data] * up, out=total[1:])
