@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: Characters of text that a Python task turns over at once; a longer document is a group of its own.
 GROUP_CHARS = 1 << 20
 #: Entries of a task's table of distinct strings; a full table is emptied, which costs time only.
-TABLE_ROWS = 1 << 20
+TABLE_ROWS = 1 << 19
 
 
 def take(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
