@@ -155,3 +155,18 @@ def test_query_recall(spark, sf):
             assert [(-r.score, r.vec_id) for r in own] == sorted((-r.score, r.vec_id) for r in own)
             assert all(r.score == pytest.approx(float(s[ids == r.vec_id][0]), abs=1e-12) for r in own)
     assert hits >= 0.9 * 20 * len(ask)
+
+
+def test_all_neighbours_of_unequal_length(spark):
+    """More than one full block of vectors of log-normal length, with the parameters of the query: the exact answer."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20000, 64))
+    x *= (rng.lognormal(sigma=0.5, size=len(x)) / np.linalg.norm(x, axis=1))[:, None]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in permutations.search(df, F.col("vec_id") % 400 == 0).collect()}
+    want = {}
+    for i in range(0, len(x), 400):
+        score = x @ x[i]
+        score[i] = -np.inf
+        want |= {(i, n): int(j) for n, j in enumerate(np.argsort(-score, kind="stable")[:20], 1)}
+    assert got == want

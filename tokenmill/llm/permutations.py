@@ -2,8 +2,9 @@
 
 Every vector is represented by its pivots in order of nearness. The positions are posted in one
 inverted file for each pivot; a query reads the files of its own nearest pivots, adds up how far
-each vector's positions are from its own (Spearman's footrule), and only the vectors with the
-smallest sums are compared in full.
+each vector's positions are from its own (Spearman's footrule), and the vectors with the
+smallest sums are compared in full. They give a score that the nearest reach at least; every other
+vector that is long enough to reach it is compared, too, so the answer is exact.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tokenmill.plans.session import cut_lineage
 
 #: Distinct vectors of an index block, and queries that meet a block in one task.
 BLOCK_ROWS, QUERY_ROWS = 16384, 1024
+#: Queries whose products with a block are taken at once, and their rounding relative to the lengths.
+LOT, ROUNDING = 64, 1e-10
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -77,8 +80,9 @@ def search(
     Returns query_id, rank (from 1), vec_id and score; ties go to the smaller vec_id. ``is_query``
     is a condition on ``vec_id``. ``pivots`` are fitted on a bounded sample; every vector is
     indexed. Of each block the ``share`` with the smallest footrule sums (but not below ``least``
-    and k + 1 vectors) are compared, in double precision. ``posted`` is how many pivots of a vector are posted, ``asked``
-    how many a query reads.
+    and k + 1 vectors) are compared first, in double precision, and then every vector whose length times
+    the query's reaches the last score found, so these parameters change the cost and not the answer.
+    ``posted`` is how many pivots of a vector are posted, ``asked`` how many a query reads.
 
     Equal vectors are indexed once with their k + 1 smallest ids: with one of them the query's
     own, k remain, so no other can be among the k nearest. Blocks are dealt by hash, so any share
@@ -114,19 +118,41 @@ def search(
             files = positions(x, shared.value, posted)
             orders = np.argsort(-(q @ shared.value.T), axis=1, kind="stable")[:, :asked]
             keep = min(len(x), max(k + 1, least, math.ceil(share * len(x))))
-            for row, (own, order) in enumerate(zip(queries.column("vec_id").to_pylist(), orders)):
-                footrule = np.zeros(len(x), np.int32)
-                for place, pivot in enumerate(order):
-                    footrule += np.abs(files[pivot] - np.int16(place))
-                # distances are small numbers; adding the row number makes the order total
-                total = footrule.astype(np.int64) * len(x) + np.arange(len(x))
-                near = np.sort(np.argpartition(total, keep - 1)[:keep]) if keep < len(x) else np.arange(len(x))
-                score = np.einsum("ij,j->i", x[near], q[row])
-                best = np.lexsort((near, -score))[: k + 1]
-                found = sorted((-float(score[b]), i) for b in best for i in ids[near[b]] if i != own)[:k]
-                out_query += [own] * len(found)
-                out_id += [i for _, i in found]
-                out_score += [-s for s, _ in found]
+            length, own_length = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+            # longest first, so that those long enough for a query come first
+            by_length = np.argsort(-length, kind="stable")
+            falling, sorted_x = -length[by_length], x[by_length]
+            names = queries.column("vec_id").to_pylist()
+
+            def nearest_of(rows: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
+                score = np.einsum("ij,j->i", x[rows], q[row])
+                best = np.lexsort((rows, -score))[: k + 1]
+                return rows[best], score[best]
+
+            for lo in range(0, len(q), LOT):
+                lot = range(lo, min(lo + LOT, len(q)))
+                first = []
+                for row in lot:
+                    footrule = np.zeros(len(x), np.int32)
+                    for place, pivot in enumerate(orders[row]):
+                        footrule += np.abs(files[pivot] - np.int16(place))
+                    # distances are small numbers; adding the row number makes the order total
+                    total = footrule.astype(np.int64) * len(x) + np.arange(len(x))
+                    near = np.sort(np.argpartition(total, keep - 1)[:keep]) if keep < len(x) else np.arange(len(x))
+                    first.append(nearest_of(near, row))
+                if keep < len(x):
+                    floor = np.array([score[-1] for _, score in first]) - ROUNDING * length.max() * own_length[lo : lot.stop]
+                    reach = np.where(floor > 0, np.searchsorted(falling, -floor / own_length[lo : lot.stop], side="right"), len(x))
+                    products = q[lo : lot.stop] @ sorted_x[: reach.max()].T
+                    for i, row in enumerate(lot):
+                        more = by_length[np.flatnonzero(products[i, : reach[i]] >= floor[i])]
+                        first[i] = nearest_of(np.union1d(first[i][0], more), row)
+                for row, (near, score) in zip(lot, first):
+                    own = names[row]
+                    found = sorted((-float(s), i) for b, s in zip(near, score) for i in ids[b] if i != own)[:k]
+                    out_query += [own] * len(found)
+                    out_id += [i for _, i in found]
+                    out_score += [-s for s, _ in found]
         id_type = queries.schema.field("vec_id").type
         return pa.table({
             "query_id": pa.array(out_query, id_type), "vec_id": pa.array(out_id, id_type), "score": pa.array(out_score, pa.float64()),
