@@ -109,6 +109,29 @@ def test_branches_merge_and_split(spark):
     assert (got[0].template, got[50].template, got[850].template[:5]) == ("/*/sale/*", "/*/*/*", "/*/*/")
 
 
+def test_deep_branches_are_told_apart(spark):
+    """Below the third segment, too, an unlabelled page follows the labels of its own branch."""
+    rules = [("d.com", "/a/b/c/d/bad/p", "block"), ("d.com", "/a/b/c/d/good/p", "allow"), ("d.com", "/a/b/c/p", "allow")]
+    urls = [f"http://d.com/a/b/c/d/{w}/p{i}/x" for w in ("bad", "good") for i in range(30)]
+    urls += ["http://d.com/a/b/c/d/bad/q/x", "http://d.com/a/b/c/d/good/q/x", "http://d.com/a/b/c/p", "http://e.com/a/b/c/d/e/f"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in path_templates.judge(df, rules).collect()}
+    assert len(got) == len(urls) and [got[i].verdict for i in (60, 61)] == ["block", "allow"]
+    assert got[60].template.startswith("/*/*/*/*/bad/") and got[61].template.startswith("/*/*/*/*/good/")
+
+
+def test_an_unlike_branch_of_a_crowded_node_stays(spark):
+    """A branch with a hundredth of a crowded node's pages, all labelled ones blocked, is not judged by the others."""
+    letters = "abcdefghij"
+    rules = [("c.com", "/bad/p", "block")] + [("c.com", f"/{a}", "allow") for a in letters]
+    urls = [f"http://c.com/{a}{b}/p{i}" for a in letters for b in letters for i in range(19)]
+    urls += [f"http://c.com/bad/p{i}" for i in range(10)] + [f"http://c.com/bad/q{i}" for i in range(9)]
+    rules.remove(("c.com", "/b", "allow"))
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = path_templates.judge(df, rules).where("path like '/bad/q%'").collect()
+    assert {r.verdict for r in got} == {"block"} and all(r.template.startswith("/bad/") for r in got)
+
+
 def brute(rows, ask, k):
     out = []
     for i, v in rows:

@@ -1,7 +1,7 @@
 """URL filter over path-template trees.
 
-Below each host, paths form a tree of segments. Segments that vary (numbers, hashes, and the
-rare ones of a crowded node) become wildcards; sibling branches whose labelled share of blocked
+Below each host, paths form a tree of segments, as deep as the paths are. Segments that vary
+(numbers, hashes) become wildcards; sibling branches whose labelled share of blocked
 pages does not differ from their parent's beyond chance are merged into the wildcard too. Each
 template has a purity, its labelled share of blocked pages, smoothed towards its parent's, and
 is rejected from a threshold on. Labels are the verdicts of explicit rules. Only DataFrame
@@ -11,6 +11,7 @@ functions are used.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,16 +61,17 @@ def generalised(segment: Column) -> Column:
 
 def judge(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url",
-    depth: int = 3, crowd: int = 64, z_limit: float = 1.96, strength: float = 4.0, threshold: float = 0.5,
+    depth: int = 3, z_limit: float = 1.96, strength: float = 4.0, threshold: float = 0.5,
 ) -> DataFrame:
     """Verdict of every page: page_id, host, path, rule, verdict, template, purity.
 
     A page under a rule takes the longest rule's verdict. Any other takes its template's: block
-    where the smoothed purity is at least ``threshold``. Templates have ``depth`` segments; what
-    is deeper counts with its ancestor. A literal segment of a node with more than ``crowd``
-    children stays literal only with at least 1 / ``crowd`` of the node's pages, and only if its
-    share of blocked labels differs from the node's by ``z_limit`` standard errors. A node's
-    labels count against ``strength`` pages of its parent's purity; the root is all hosts.
+    where the smoothed purity is at least ``threshold``. Templates have at least ``depth`` segments
+    (the end of a shorter path counts as such). From there on a template is parted further, segment by
+    segment, as long as its pages have several shapes and one of them a further segment. A literal
+    segment stays literal only if its share of blocked labels differs from the node's by ``z_limit``
+    standard errors, however few of the node's pages it has. A node's labels count against
+    ``strength`` pages of its parent's purity; the root is all hosts.
 
     Pages are summed to (host, path shape) before anything is shuffled, so a hot host costs one
     row for each task and shape. ``rules`` is a short list of the caller's.
@@ -82,47 +84,55 @@ def judge(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     ).withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     parts = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    shape = F.transform(F.slice(parts, 1, depth), generalised)
-    steps = [f"s{i}" for i in range(depth)]
-    rows = rows.withColumn("shape", shape).select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("given"),
-        *[F.coalesce(F.get("shape", i), F.lit(END)).alias(s) for i, s in enumerate(steps)],
+    rows = rows.withColumn("shape", F.transform(parts, generalised)).select(
+        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("given"), "shape"
     )
     blocked = F.sum((F.col("given") == "block").cast("long"))
     nodes = cut_lineage(
-        rows.groupBy("host", *steps).agg(
-            F.count("*").alias("n"), F.count("given").alias("lab"), F.coalesce(blocked, F.lit(0)).alias("blk")
+        rows.groupBy("host", "shape").agg(
+            F.count("given").alias("lab"), F.coalesce(blocked, F.lit(0)).alias("blk")
         ), "shapes",
     )
-    everything = nodes.agg(F.sum("lab"), F.sum("blk")).first()
+    everything = nodes.agg(F.sum("lab"), F.sum("blk"), F.max(F.size("shape"))).first()
     root = (everything[1] or 0) / everything[0] if everything[0] else 0.0
     smooth = lambda prior: (F.col("blk_in") + strength * prior) / (F.col("lab_in") + strength)
-    sums = lambda *k: [F.sum("n").alias("n_in"), F.sum("lab").alias("lab_in"), F.sum("blk").alias("blk_in")]
+    sums = [F.sum("lab").alias("lab_in"), F.sum("blk").alias("blk_in")]
 
-    hosts = nodes.groupBy("host").agg(*sums()).select("host", smooth(F.lit(root)).alias("purity"))
+    hosts = nodes.groupBy("host").agg(*sums).select("host", smooth(F.lit(root)).alias("purity"))
     tree = nodes.join(hosts, "host").withColumn("template", F.lit(""))
-    for s in steps:
-        children = tree.groupBy("host", "template", s).agg(*sums())
+    ended = []
+    for level in range(max(depth, everything[2] or 0)):
+        if level >= depth:
+            # rows are one for each shape of a host
+            deeper = (F.count("*") > 1) & (F.max(F.size("shape")) > level)
+            parted = tree.join(tree.groupBy("host", "template").agg(deeper.alias("deeper")), ["host", "template"])
+            parted = cut_lineage(parted, "templates")
+            ended.append(parted.where(~F.col("deeper")).drop("deeper"))
+            tree = parted.where("deeper").drop("deeper")
+            if tree.isEmpty():
+                break
+        tree = tree.withColumn("step", F.coalesce(F.get("shape", level), F.lit(END)))
+        children = tree.groupBy("host", "template", "step").agg(*sums)
         parents = children.groupBy("host", "template").agg(
-            F.count("*").alias("kids"), F.sum("n_in").alias("n_up"), F.sum("lab_in").alias("lab_up"), F.sum("blk_in").alias("blk_up")
+            F.sum("lab_in").alias("lab_up"), F.sum("blk_in").alias("blk_up")
         )
         share = F.col("blk_up") / F.col("lab_up")
         error = F.sqrt(share * (1 - share) / F.col("lab_in"))
         unlike = (F.col("lab_in") > 0) & (error > 0) & (F.abs(F.col("blk_in") / F.col("lab_in") - share) >= z_limit * error)
-        rare = (F.col("kids") > crowd) & (F.col("n_in") * crowd < F.col("n_up"))
-        name = F.when((F.col(s) == ANY) | rare | ~F.coalesce(unlike, F.lit(False)), ANY).otherwise(F.col(s))
-        name = F.when(F.col(s) == END, END).otherwise(name)
-        named = children.join(parents, ["host", "template"]).select("host", "template", s, name.alias("name"))
-        tree = tree.join(named, ["host", "template", s])
-        merged = tree.groupBy("host", "template", "name", F.col("purity").alias("above")).agg(*sums()).select(
+        name = F.when((F.col("step") == ANY) | ~F.coalesce(unlike, F.lit(False)), ANY).otherwise(F.col("step"))
+        name = F.when(F.col("step") == END, END).otherwise(name)
+        named = children.join(parents, ["host", "template"]).select("host", "template", "step", name.alias("name"))
+        tree = tree.join(named, ["host", "template", "step"])
+        merged = tree.groupBy("host", "template", "name", F.col("purity").alias("above")).agg(*sums).select(
             "host", "template", "name", smooth(F.col("above")).alias("own")
         )
         tree = tree.join(merged, ["host", "template", "name"]).withColumns(
             {"purity": F.col("own"), "template": F.concat("template", F.lit("/"), "name")}
-        ).drop("own", "name")
+        ).drop("own", "name", "step")
         tree = cut_lineage(tree, "templates")
-    known = broadcast_up_to(tree.select("host", *steps, "template", "purity"), BROADCAST_ROWS)
+    tree = reduce(DataFrame.unionByName, [*ended, tree])
+    known = broadcast_up_to(tree.select("host", "shape", "template", "purity"), BROADCAST_ROWS)
     verdict = F.when(F.col("purity") >= threshold, "block").otherwise("allow")
-    return rows.join(known, ["host", *steps], "left").select(
+    return rows.join(known, ["host", "shape"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("given", verdict).alias("verdict"), "template", "purity"
     )
