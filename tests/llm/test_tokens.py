@@ -35,6 +35,18 @@ def test_pack_gives_the_library_ids_in_powers_of_two(spark, odd):
     assert key(docs) == key(want)
 
 
+def test_pack_splits_at_the_tokenizers_white_space_only(spark):
+    """Every character that Python or Unicode counts as white space, inside, before and behind words."""
+    library = Tokenizer.from_file(WORDS)
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()] + ["\u180e", "\u200b", "\u2060", "\ufeff"]
+    texts = [t for c in spaces for t in (f"a{c}b", f"{c}Ab {c} c{c}", f"a{c}\x1cb {c}\x1f")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: [] for i in range(len(texts))}
+    for r in sorted(binary_packing.pack(df, WORDS).collect(), key=lambda r: r.sequence_id):
+        got[r.doc_id].extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert got == {i: library.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 63, 64, 65, 127, 128, 1000])
 def test_powers(n):
     sizes = binary_packing.powers(n, 64)

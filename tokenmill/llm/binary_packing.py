@@ -8,6 +8,7 @@ one bucket of equal lengths at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,17 @@ from tokenmill.llm.batches import TABLE_ROWS, DistinctTable, lists_in_a_row, pro
 
 PIECES = "doc_id {id}, piece_no long, start long, length long, bucket int, doc_tokens long, ids binary"
 MARK = "<|endoftext|>"
+#: White space to ``str.split`` but not to Unicode, nor to the tokenizer, which gives it ids.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Unicode White_Space.
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def split_words(text: str) -> list[str]:
+    """The text's words, parted by what the tokenizer takes as white space."""
+    if SEPARATORS.search(text):
+        return [w for w in SPACE.split(text) if w]
+    return text.split()
 
 
 def word_encoder(spec: str):
@@ -93,8 +105,8 @@ def pack(
         table: DistinctTable = cache[key]
         for batch in text_groups(batches):
             # ASCII letters are lowered here as the tokenizer would, so that fewer words are distinct
-            words = [t.encode().lower().decode().split() for t in batch.column("text").to_pylist()] if lowers else [
-                t.split() for t in batch.column("text").to_pylist()
+            words = [split_words(t.encode().lower().decode()) for t in batch.column("text").to_pylist()] if lowers else [
+                split_words(t) for t in batch.column("text").to_pylist()
             ]
             ids, n = table.lookup([w for x in words for w in x])
             tokens = np.append(0, np.cumsum(n))
