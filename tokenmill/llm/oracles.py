@@ -72,3 +72,26 @@ def url_verdicts(
     SELECT page_id, b.host, path, rule, coalesce(given, CASE WHEN purity >= {threshold} THEN 'block' ELSE 'allow' END) AS verdict, template,
            round(purity, 9) AS purity
     FROM b JOIN t{depth} USING (host, {', '.join(steps)})"""
+
+
+def jaccard_components(width: int, least: int) -> str:
+    """As ``near_duplicates``, without the mark of the kept ones."""
+    return f"SELECT doc_id, n_shingles, component_id FROM ({near_duplicates(width, least)})"
+
+
+def hard_negatives(positives: int, negatives: int, band: tuple[int, int, int]) -> str:
+    """All scores of all anchors, ranked within labels and within bands."""
+    return f"""
+    WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                   AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id,
+              CAST(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i])) AS BIGINT) AS score
+          FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {positives})
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND {band[0]} * positive_score <= {band[2]} * score AND {band[2]} * score <= {band[1]} * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= {negatives}"""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tokenmill.catalog.base import table
 from tokenmill.llm import (
-    binary_packing, byte_cnn, chunk_pieces, extendible, maxent, merkle, near_dedup, oracles, passages, path_templates, permutations,
+    binary_packing, byte_cnn, chunk_pieces, extendible, jaccard_prefixes, maxent, merkle, near_dedup, oracles, passages, path_templates,
+    permutations, segment_mining, whitening,
 )
 from tokenmill.llm.batches import crc_bucket
 
@@ -118,6 +119,36 @@ def op10_permutation_index(spark: SparkSession, sf: str) -> DataFrame:
     return permutations.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op11_weighted_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """First 32 whitened components of every vector."""
+    white = whitening.whiten(table(spark, sf, "embeddings"), components=32)
+    part = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return white.select("vec_id", "n", "deviation", "identity_error", part).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error"
+    )
+
+
+@query
+def op12_jaccard_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents connected by shared shingles of four words, similarity of 0.85 or more."""
+    return jaccard_prefixes.groups(table(spark, sf, "documents"), width=4, share=(85, 100))
+
+
+#: Positives of an anchor, negatives of each, and the percentages of the positive's score they may have.
+POSITIVES, NEGATIVES, BAND = 5, 5, (80, 100, 100)
+
+
+@query
+def op13_segment_mining(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100; every seventh label is moved first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf, "embeddings").withColumn("label", moved)
+    return segment_mining.mine(vectors, F.col("vec_id") % 100 == 0, POSITIVES, NEGATIVES, BAND)
+
+
 ORACLES["op1_circulant_minhash"] = oracles.near_duplicates(4, 80)
 ORACLES["op3_extendible_shards"] = oracles.shards(SHARD_BYTES)
 ORACLES["op8_path_templates"] = oracles.url_verdicts(RULES)
+ORACLES["op12_jaccard_prefixes"] = oracles.jaccard_components(4, 85)
+ORACLES["op13_segment_mining"] = oracles.hard_negatives(POSITIVES, NEGATIVES, BAND)
