@@ -5,8 +5,10 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tests.conftest import SF
 from tokenmill.operators import tokens as tk
+from tokenmill.operators.merges import learn
 
 PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
 TEXTS = [
@@ -70,12 +72,61 @@ def test_batched_learning_equals_one_at_a_time(docs, merges):
     assert [(m.left, m.right, m.n) for m in merges] == naive_bpe(words, 40)
 
 
-@pytest.mark.parametrize("look", [1, 3])
-def test_learning_with_ties_and_a_short_look(spark, look):
-    words = {"abab": 2, "cdcd": 2, "efef": 2, "aaaa": 3, "xyz": 2, "zyx": 2, "bcde": 1}
-    df = spark.createDataFrame(list(words.items()), "word string, n bigint")
-    got = tk.train_bpe(df, 256 + 12 + 9, look=look).orderBy("rank").collect()
-    assert [(m.left, m.right, m.n) for m in got] == naive_bpe(words, 12)
+@pytest.mark.parametrize("most_pieces, first_pairs", [(1, 1), (3, 2), (100, 8)])
+def test_learning_with_ties_and_few_pieces(spark, most_pieces, first_pairs):
+    """Ties, runs of one letter and a vocabulary that runs out, however few pieces come together."""
+    words = {"abab": 2, "cdcd": 2, "efef": 2, "aaaa": 3, "xyz": 2, "zyx": 2, "bcde": 1, "q": 9, "é" * 7: 2}
+    df = spark.createDataFrame(list(words.items()), "word string, n bigint").repartition(3)
+    got = learn(df, 14, most_pieces, first_pairs)
+    assert [(m[1], m[2], m[4]) for m in got] == naive_bpe(words, 14)
+    every = learn(df, 1000, most_pieces, first_pairs)
+    assert every[:14] == got and len(every) < 1000 and [m[0] for m in every] == list(range(len(every)))
+
+
+def test_learning_nothing(spark):
+    none = spark.createDataFrame([], "word string, n bigint")
+    assert learn(none, 5) == [] and learn(spark.createDataFrame([("a", 3)], "word string, n bigint"), 5) == []
+    assert tk.train_bpe(none, 256 + 9).count() == 0
+
+
+def indexed_bpe(words, n):
+    """One merge at a time; only the words that hold the pair are looked at."""
+    tokens, times = [list(w) for w, _ in words], [k for _, k in words]
+    spelled = {i: bytes([i]) for i in range(256)}
+    count, having, out = Counter(), {}, []
+    for i, t in enumerate(tokens):
+        for p in zip(t, t[1:]):
+            count[p] += times[i]
+            having.setdefault(p, set()).add(i)
+    for rank in range(n):
+        most = max(count.values())
+        pair = min((p for p, k in count.items() if k == most), key=lambda p: (spelled[p[0]], spelled[p[1]]))
+        spelled[256 + rank] = spelled[pair[0]] + spelled[pair[1]]
+        out.append((rank, *pair, 256 + rank, most))
+        for i in having[pair]:
+            t, new, k = tokens[i], [], 0
+            while k < len(t):
+                hit = tuple(t[k : k + 2]) == pair
+                new.append(256 + rank if hit else t[k])
+                k += 1 + hit
+            count.subtract({p: c * times[i] for p, c in Counter(zip(t, t[1:])).items()})
+            count.update({p: c * times[i] for p, c in Counter(zip(new, new[1:])).items()})
+            for p in zip(new, new[1:]):
+                having.setdefault(p, set()).add(i)
+            tokens[i] = new
+    return out
+
+
+def test_a_vocabulary_in_few_passes(spark):
+    """The query's 2000 merges equal one-at-a-time learning; a pass takes hundreds and touches few pieces."""
+    words = [(r.word.encode(), r.n) for r in tk.count_pretokens(spark.read.parquet(f"{SF}/documents.parquet")).collect()]
+    got = entry.queries()["a10_learn_vocabulary"](spark, SF).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == indexed_bpe(words, 2000)
+    log = []
+    df = spark.createDataFrame([(w.decode(), n) for w, n in words], "word string, n bigint")
+    assert len(learn(df, 600, 3000, report=log.append)) == 600
+    jobs = sum(x["jobs"] for x in log)
+    assert jobs < 120 and all(x["pieces"] <= 3000 for x in log) and log[-1]["rewritten"] < len(words)
 
 
 def test_ids_equal_tiktoken(docs, vocab):

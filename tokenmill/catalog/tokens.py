@@ -82,6 +82,12 @@ def train_bpe(spark, sf):
     return _merges(spark, sf)
 
 
+# A vocabulary of the usual kind; SQL would need a table for each merge.
+@query("a10_learn_vocabulary")
+def learn_vocabulary(spark, sf):
+    return _merges(spark, sf, 2000)
+
+
 # The first merge is the most frequent byte pair inside a word.
 @query("a10_first_merge", WORDS + """,
     h AS (SELECT hex(encode(word)) AS h, count(*) AS n FROM w GROUP BY word),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from heapq import heappop, heappush
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions.text import col
-from tokenmill.plans.session import cut_lineage
+from tokenmill.operators.merges import learn
 
 # The pre-token pattern. White space is Unicode white space.
 _W = r"\t-\r\x20\x85\p{Z}"
@@ -28,9 +28,6 @@ SPECIAL_TOKENS = (
     "<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>",
 )
 
-# Learning works on text in which every token is one character above the basic plane, so a
-# merge is a plain string replacement. Limit of that range:
-_BASE = 0x10000
 MAX_VOCAB = 2**20 - 256
 
 
@@ -46,84 +43,23 @@ def count_pretokens(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _token_text(word: Column) -> Column:
-    """The word with one character per UTF-8 byte."""
-    alphabet = F.lit("".join(chr(_BASE + i) for i in range(256)))
-    bytes_ = F.regexp_extract_all(F.hex(F.encode(word, "UTF-8")), F.lit("(..)"), F.lit(1))
-    return F.array_join(
-        F.transform(bytes_, lambda h: F.substring(alphabet, F.conv(h, 16, 10).cast("int") + 1, F.lit(1))), ""
-    )
-
-
-def _independent(ranked, limit, floor):
-    """Longest run of best pairs that one-at-a-time learning would also take in this order.
-
-    A merge changes the counts of pairs that share a token with it, and a pair it creates
-    counts at most as often as such a pair. So all pairs ahead of the first one that shares a
-    token, and that count strictly more often, are safe to merge together. ``floor`` is the
-    highest count a pair outside the list may have.
-    """
-    taken, used = [], set()
-    for a, b, n in ranked:
-        if a in used or b in used:
-            floor = max(floor, n)
-            break
-        taken.append((a, b, n))
-        used |= {a, b}
-    safe = [t for t in taken if t[2] > floor]
-    return (safe or taken[:1])[:limit]
-
-
 def train_bpe(
-    words: DataFrame, vocab_size: int, specials: int = len(SPECIAL_TOKENS), cut_every: int = 12, look: int = 200
+    words: DataFrame, vocab_size: int, specials: int = len(SPECIAL_TOKENS), report: Callable[[dict], None] | None = None
 ) -> DataFrame:
     """Byte-pair merges learned from ``words(word, n)``: ``(rank, left, right, token_id, n)``.
 
     Bytes are ids 0-255 and merges follow; ``vocab_size`` includes the special tokens. The most
-    frequent pair is merged next, ties by left bytes, then right bytes. Each round counts pairs
-    over the distinct words on the executors, brings the few best pairs to the driver and
-    merges as many as give the same result as one at a time.
+    frequent pair is merged next, ties by left bytes, then right bytes. A round merges as many of
+    the best pairs as give the same result as one at a time, and rewrites only the words that
+    hold one of them (see ``merges``); ``report`` is called after each.
     """
     n_merges = vocab_size - specials - 256
     if n_merges < 0:
         raise ValueError(f"vocab_size must be at least {256 + specials}")
     if vocab_size > MAX_VOCAB:
         raise ValueError(f"vocab_size must be at most {MAX_VOCAB}")
-    spark = words.sparkSession
-    state = cut_lineage(
-        words.filter(F.octet_length("word") > 1).select(_token_text(F.col("word")).alias("t"), "n"), "words"
-    )
-    spelled = {i: bytes([i]) for i in range(256)}
-    merges: list[tuple] = []
-    stale: list[DataFrame] = []
-    rounds = 0
-    while len(merges) < n_merges:
-        places = state.select("t", "n", F.explode(F.sequence(F.lit(1), F.length("t") - 1)).alias("i"))
-        pairs = places.groupBy(F.substring("t", F.col("i"), F.lit(2)).alias("p")).agg(F.sum("n").alias("n"))
-        spelling = F.split(F.lit(",".join(spelled[i].hex() for i in range(len(spelled)))), ",")
-        token = lambda i: F.get(spelling, F.ascii(F.substring("p", i, 1)) - _BASE)
-        top = pairs.orderBy(F.desc("n"), token(1), token(2)).limit(look).collect()
-        if not top:
-            break
-        ranked = [(ord(r["p"][0]) - _BASE, ord(r["p"][1]) - _BASE, r["n"]) for r in top]
-        batch = _independent(ranked, n_merges - len(merges), top[-1]["n"] if len(top) == look else 0)
-        step = F.col("t")
-        for a, b, n in batch:
-            new = 256 + len(merges)
-            spelled[new] = spelled[a] + spelled[b]
-            merges.append((len(merges), a, b, new, int(n)))
-            step = F.replace(step, F.lit(chr(_BASE + a) + chr(_BASE + b)), F.lit(chr(_BASE + new)))
-        # A word that became one token has no pair left. The words of this round stay in memory
-        # until the next round has counted; a lost executor recomputes from the last cut.
-        older, state = state, state.select(step.alias("t"), "n").filter(F.length("t") > 1)
-        rounds += 1
-        state = cut_lineage(state, "words") if rounds % cut_every == 0 else state.persist()
-        stale.append(older)
-        if len(stale) > 2:
-            stale.pop(0).unpersist()
-    for df in (*stale, state):
-        df.unpersist()
-    return spark.createDataFrame(merges, "rank int, left int, right int, token_id int, n bigint")
+    found = learn(words, n_merges, report=report) if n_merges else []
+    return words.sparkSession.createDataFrame(found, "rank int, left int, right int, token_id int, n bigint")
 
 
 def vocab_table(merges: DataFrame, specials: Sequence[str] = SPECIAL_TOKENS) -> DataFrame:
