@@ -302,7 +302,7 @@ def best_fit_rows(spark, sf):
                        F.get("ids", F.lit(0)).alias("first_id"))
 
 
-# Within one shard the two greedy strategies are a running fold that SQL can follow too.
+# The two greedy strategies are a running fold that SQL can follow too.
 @query("t7_pack_greedy_crop", """
     WITH RECURSIVE d AS (
         SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(strlen(text) + 1 AS BIGINT) AS n FROM documents),
@@ -310,11 +310,11 @@ def best_fit_rows(spark, sf):
         SELECT i, n, CAST(0 AS BIGINT), CAST(0 AS BIGINT), least(n, 2049) FROM d WHERE i = 0
         UNION ALL
         SELECT d.i, d.n,
-            CASE WHEN (d.i % 8192 = 0) THEN 0 WHEN f."at" + f.take = 2049 THEN f."row" + 1 ELSE f."row" END,
-            CASE WHEN (d.i % 8192 = 0) OR f."at" + f.take = 2049 THEN 0 ELSE f."at" + f.take END,
-            least(d.n, 2049 - CASE WHEN (d.i % 8192 = 0) OR f."at" + f.take = 2049 THEN 0 ELSE f."at" + f.take END)
+            CASE WHEN f."at" + f.take = 2049 THEN f."row" + 1 ELSE f."row" END,
+            CASE WHEN f."at" + f.take = 2049 THEN 0 ELSE f."at" + f.take END,
+            least(d.n, 2049 - CASE WHEN f."at" + f.take = 2049 THEN 0 ELSE f."at" + f.take END)
         FROM f JOIN d ON d.i = f.i + 1),
-    r AS (SELECT i // 8192 AS s, "row", sum(take) AS t, sum(n - take) AS c, count(*) AS k FROM f GROUP BY ALL),
+    r AS (SELECT "row", sum(take) AS t, sum(n - take) AS c, count(*) AS k FROM f GROUP BY ALL),
     u AS (SELECT count(*) AS n_rows, sum(t) AS placed_tokens, sum(c) AS cropped_tokens, sum(k) AS placed_docs FROM r),
     w AS (SELECT count(*) AS n_docs, sum(n) AS n_tokens, sum(greatest(n - 2049, 0)) AS min_crop_tokens FROM d)
     SELECT n_docs, CAST(n_tokens AS BIGINT) AS n_tokens, n_rows, CAST(placed_docs AS BIGINT) AS placed_docs,

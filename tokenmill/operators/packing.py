@@ -1,7 +1,8 @@
 """Packing of token sequences into rows of fixed length.
 
 All strategies work on lengths. Token ids are joined to the finished placements, so the
-sequential part of a strategy never sees them, and it runs per shard of bounded row count.
+sequential part of a strategy never sees them. Strategies that go by order alone or by length alone
+place all documents at once; best fit walks over shards of a bounded row count.
 """
 
 from __future__ import annotations
@@ -9,12 +10,12 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.plans.scan import dense_index, prefix_sum
+from tokenmill.plans.joins import broadcast_up_to
+from tokenmill.plans.scan import dense_index, greedy_chain, ordered_scan, prefix_sum
 from tokenmill.plans.session import cut_lineage
 
 SHARD_DOCS = 8192
@@ -129,50 +130,88 @@ def _best_fit(lengths, capacity, buffer):
             row, left, slot = row + 1, capacity, 0
 
 
-def _greedy_crop(lengths, capacity, _):
-    out, row, left, slot = [], 0, capacity, 0
-    for doc, n in enumerate(lengths):
-        take = min(n, left)
-        out.append((row, slot, doc, capacity - left, take))
-        left -= take
-        slot += 1
-        if left == 0:
-            row, left, slot = row + 1, capacity, 0
-    return out
+def _rows_of_chain(docs: DataFrame, key: str, order: Sequence[str], capacity: int, pad: bool) -> DataFrame:
+    """Rows filled in document order. A row ends with the document that fills it, the rest of which is
+    cropped; or, with ``pad``, before the document that does not fit.
 
+    The first documents of the rows are a greedy chain over the running token count.
+    """
+    take = F.least("n", F.lit(capacity).cast("bigint")) if pad else F.col("n")
+    sized = docs.withColumn("__t", take)
+    placed = cut_lineage(ordered_scan(
+        sized, order, {"__i": ("count", F.lit(1), False), "__s": ("sum", F.col("__t"), False)}
+    ).select(key, "n", "__t", "__i", "__s", (F.col("__s") + F.col("__t")).alias("__e")), "lengths")
+    level, base = ("__e", "__s") if pad else ("__s", None)
+    starts = greedy_chain(placed, "__i", level, float(capacity), strict=pad, base=base).withColumn("__first", F.lit(1))
+    marked = placed.join(starts, "__i", "left")
+    rows = ordered_scan(marked, ["__i"], {
+        "row": ("sum", F.coalesce("__first", F.lit(0)), True),
+        "__si": ("max", F.when(F.col("__first") == 1, F.col("__i")), True),
+        "__ss": ("max", F.when(F.col("__first") == 1, F.col("__s")), True),
+    })
+    at = F.col("__s") - F.col("__ss")
+    return rows.select(
+        F.lit(0).cast("bigint").alias("shard"), (F.col("row") - 1).cast("bigint").alias("row"),
+        (F.col("__i") - F.col("__si")).cast("int").alias("slot"), key, at.cast("int").alias("at"),
+        F.least("n", F.lit(capacity) - at).cast("int").alias("take"), "n",
+    )
 
-def _greedy_pad(lengths, capacity, _):
-    out, row, left, slot = [], 0, capacity, 0
-    for doc, n in enumerate(lengths):
-        take = min(n, capacity)
-        if take > left:
-            row, left, slot = row + 1, capacity, 0
-        out.append((row, slot, doc, capacity - left, take))
-        left -= take
-        slot += 1
-    return out
 
+def first_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """First fit of lengths in falling order, for all documents of a length at once.
 
-def _first_fit_decreasing(lengths, capacity, _):
-    takes = np.minimum(np.asarray(lengths, dtype=np.int64), capacity)
-    room = np.full(len(takes), capacity, dtype=np.int64)
-    slots = np.zeros(len(takes), dtype=np.int64)
-    out = []
-    for doc in np.argsort(-takes, kind="stable"):
-        row = int(np.argmax(room >= takes[doc]))
-        out.append((row, int(slots[row]), int(doc), int(capacity - room[row]), int(takes[doc])))
-        room[row] -= takes[doc]
-        slots[row] += 1
+    Rows that are alike and lie side by side are one run. The documents of a length fill the runs in
+    row order, as many in a row as fit; what is left opens new rows. Returns
+    (length, rank of the first document in its length, documents, first row, documents a row, slot, start in the row).
+    """
+    out, active, rows = [], [], 0
+    smallest = min(counts, default=0)
+    for length in sorted(counts, reverse=True):
+        left, rank, after = counts[length], 0, []
+        fresh = -(-left // (capacity // length))
+        for first, n, room, slot in [*active, (rows, fresh, capacity, 0)]:
+            per = room // length
+            full = min(n, left // per) if per else 0
+            # rows that take as many as fit, then one that takes the rest
+            for some, k in ((full, per), (min(n - full, 1), left - full * per if per else 0)):
+                if some and k:
+                    out.append((length, rank, some * k, first, k, slot, capacity - room))
+                    after.append((first, some, room - k * length, slot + k))
+                    rank, left, first, n = rank + some * k, left - some * k, first + some, n - some
+            if first < rows:
+                after.append((first, n, room, slot))
+            elif n < fresh:
+                rows = first
+        active = [run for run in after if run[1] and run[2] >= smallest]
     return out
 
 
-STRATEGIES = {
-    "best_fit": _best_fit,
-    "greedy_crop": _greedy_crop,
-    "greedy_pad": _greedy_pad,
-    "first_fit_decreasing": _first_fit_decreasing,
-}
-PADDED = ("greedy_pad", "first_fit_decreasing")
+#: The runs of a packing go to every task up to so many.
+BROADCAST_RUNS = 200_000
+
+
+def _rows_of_lengths(docs: DataFrame, key: str, order: Sequence[str], capacity: int) -> DataFrame:
+    """First fit, longest first, of all documents: there are at most ``capacity`` lengths, so it runs on their counts."""
+    sized = cut_lineage(docs.withColumn("take", F.least("n", F.lit(capacity).cast("bigint"))), "lengths")
+    counts = {r["take"]: r["k"] for r in sized.groupBy("take").agg(F.count(F.lit(1)).alias("k")).collect()}
+    runs = docs.sparkSession.createDataFrame(
+        first_fit_runs(counts, capacity), "take bigint, __r bigint, __k bigint, __row bigint, __per bigint, __slot bigint, __at bigint"
+    )
+    ranked = dense_index(sized, order, "__i", by=["take"]).select(key, "n", "take", "__i")
+    inside = (F.col("__i") >= F.col("__r")) & (F.col("__i") < F.col("__r") + F.col("__k"))
+    found = ranked.join(broadcast_up_to(runs, BROADCAST_RUNS), "take").where(inside)
+    nth = F.col("__i") - F.col("__r")
+    within = F.pmod(nth, F.col("__per"))
+    return found.select(
+        F.lit(0).cast("bigint").alias("shard"), (F.col("__row") + F.floor(nth / F.col("__per"))).cast("bigint").alias("row"),
+        (F.col("__slot") + within).cast("int").alias("slot"), key, (F.col("__at") + within * F.col("take")).cast("int").alias("at"),
+        F.col("take").cast("int").alias("take"), "n",
+    )
+
+
+#: Strategies that need a walk over documents run on shards; the others place all documents at once.
+STRATEGIES = {"best_fit": _best_fit}
+WHOLE = ("greedy_crop", "greedy_pad", "first_fit_decreasing")
 
 
 def pack(
@@ -187,19 +226,29 @@ def pack(
 ) -> DataFrame:
     """Placements of documents ``docs(key, n)`` in rows of ``width + 1`` tokens.
 
-    ``strategy`` is a name or a function (lengths, capacity, buffer) -> list of
-    (row, slot, document position, start in row, tokens taken). Each shard of ``shard_docs``
-    documents is packed on its own, so shards run side by side and their size is bounded.
+    ``greedy_crop``, ``greedy_pad`` and ``first_fit_decreasing`` give what one walk over all documents
+    gives, whatever the partitioning. ``best_fit`` and own functions (lengths, capacity, buffer) -> list of
+    (row, slot, document position, start in row, tokens taken) walk over shards of ``shard_docs``
+    documents, side by side, so a walk's size is bounded.
 
-    A cropping strategy leaves its last row unfilled. The documents of these rows, one row for
+    A cropping strategy leaves its last row unfilled. With shards the documents of these rows, one row for
     each shard, are dealt into shards again and packed together, until one shard holds them
     all; so one row of the whole corpus at most stays unfilled, whatever ``shard_docs`` is.
     ``tail='drop'`` leaves that row out.
     """
     capacity = width + 1
-    fn = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
-    fills = strategy in STRATEGIES and strategy not in PADDED
     slim = docs.select(key, *[c for c in order if c != key], "n").filter("n > 0")
+    if strategy in WHOLE:
+        if strategy == "first_fit_decreasing":
+            return _rows_of_lengths(slim, key, order, capacity)
+        placed = _rows_of_chain(slim, key, order, capacity, strategy == "greedy_pad")
+        if strategy == "greedy_crop" and tail == "drop":
+            last = placed.agg(F.max(F.struct("row", (F.col("at") + F.col("take")).alias("end"))).alias("m")).first()["m"]
+            if last is not None and last["end"] < capacity:
+                return placed.filter(F.col("row") < last["row"])
+        return placed
+    fn = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
+    fills = strategy in STRATEGIES
     rest = dense_index(slim, order, "__i").select(key, "n", "__i")
     key_type = rest.schema[key].dataType.simpleString()
 

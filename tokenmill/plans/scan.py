@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenmill.plans.session import cut_lineage
+
 MAX_BLOCKS = 2048
 SAMPLE_PER_BLOCK = 24
 
@@ -155,6 +157,37 @@ def prefix_sum(
     return ordered_scan(df, order, {name: ("sum", value, False)}, by)
 
 
+#: Maps of thresholds that one task composes at most.
+FAN = 256
+
+
+def _apply(entries: np.ndarray, needs: np.ndarray, need: float, side: str) -> float:
+    """The threshold behind a stretch of rows that is entered with ``need``."""
+    at = int(np.searchsorted(entries, need, side=side))
+    return needs[at] if at < len(entries) else need
+
+
+def _compose(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], reach: float, side: str):
+    """Two neighbouring stretches as one. A stretch is (entries, needs): entered with a threshold up to
+    entries[i], it is left with needs[i]; thresholds beyond its last entry pass through.
+
+    No threshold above ``reach`` can occur, so entries beyond the first one there are left out.
+    """
+    (ea, na), (eb, nb) = first, second
+    at = np.searchsorted(eb, na, side=side)
+    through = np.where(at < len(eb), np.append(nb, np.nan)[at], na)
+    own = np.searchsorted(eb, ea[-1], side="right")
+    return _shorten(np.concatenate([ea, eb[own:]]), np.concatenate([through, nb[own:]]), reach)
+
+
+def _shorten(entries: np.ndarray, needs: np.ndarray, reach: float):
+    """Without entries that lead to the same threshold as the next one, or that no threshold meets."""
+    last = min(len(entries) - 1, int(np.searchsorted(entries, reach, side="right")))
+    entries, needs = entries[: last + 1], needs[: last + 1]
+    ends = np.append(np.flatnonzero(np.diff(needs)), len(needs) - 1)
+    return entries[ends], needs[ends]
+
+
 def greedy_chain(
     df: DataFrame,
     pos: str,
@@ -163,69 +196,97 @@ def greedy_chain(
     by: Sequence[str] = (),
     strict: bool = False,
     chunk: int = 8192,
+    base: str | None = None,
+    fan: int = FAN,
 ) -> DataFrame:
     """Mark the rows of a greedy chain over a non-decreasing level.
 
-    Row 0 belongs to the chain; after a member at level L the next member is the first later
-    row with level >= L + step (> when ``strict``). ``pos`` is the dense position per group.
+    Row 0 belongs to the chain; after a member the next member is the first later row whose
+    level is at least the member's ``base`` + step (above it when ``strict``). The base is the level
+    itself, or another non-decreasing column that is at most the level. ``pos`` is the dense position per group.
 
-    A chain looks sequential, but a chunk of rows acts on it only through the threshold it is
-    entered with. So chunks are summarized in parallel (entry row -> level of the last member),
-    the summaries are folded per group, and chunks are then marked in parallel.
+    A chain looks sequential, but a stretch of rows acts on it only through the threshold it is
+    entered with, by a map that is a short list of entries. Chunks are turned into maps in parallel;
+    ``fan`` neighbouring maps are composed by a task, level by level, until a group has one; the
+    thresholds then go down the same tree, and chunks are marked in parallel. No task reads more
+    than a chunk or ``fan`` maps.
     """
     by = list(by)
+    base = base or level
     side = "right" if strict else "left"
-    slim = df.select(*by, pos, level, F.expr(f"{pos} div {chunk}").alias("__chunk"))
-    by_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
-    by_ddl = by_ddl + ", " if by_ddl else ""
-
-    def last_levels(levels):
-        """For each entry row, the level of the last chain member in the chunk."""
-        nxt = np.searchsorted(levels, levels + step, side=side)
-        nxt = np.maximum(nxt, np.arange(len(levels)) + 1)
-        last = levels.copy()
-        for i in range(len(levels) - 1, -1, -1):
-            if nxt[i] < len(levels):
-                last[i] = last[nxt[i]]
-        return nxt, last
+    columns = list(dict.fromkeys([pos, level, base]))
+    slim = df.select(*by, *columns, F.expr(f"{pos} div {chunk}").alias("__chunk"))
+    by_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema)
+
+    def jumps(levels: np.ndarray, bases: np.ndarray) -> np.ndarray:
+        """The next member after each row, or the number of rows."""
+        return np.maximum(np.searchsorted(levels, bases + step, side=side), np.arange(len(levels)) + 1)
 
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)
-        levels = pdf[level].to_numpy(dtype=float)
-        _, last = last_levels(levels)
-        # The last member before this chunk is below its first level, so the chunk is entered
-        # within one step of that; and neighbouring entries mostly meet the same last member.
-        reach = min(len(last), int(np.searchsorted(levels, levels[0] + step, side="right")) + 1)
-        ends = np.append(np.flatnonzero(np.diff(last[:reach])), reach - 1)
+        levels, bases = pdf[level].to_numpy(dtype=float), pdf[base].to_numpy(dtype=float)
+        nxt = jumps(levels, bases)
+        # the last member of the chunk for each entry row, by doubling strides
+        last = np.where(nxt < len(nxt), nxt, np.arange(len(nxt)))
+        for _ in range(len(nxt).bit_length()):
+            last = last[last]
+        reach = levels[0] + step
+        entries, needs = _shorten(levels, bases[last] + step, reach)
         head = pdf.iloc[0]
         return pd.DataFrame({
             **{b: [head[b]] for b in by}, "__chunk": [int(head["__chunk"])],
-            "entries": [levels[ends].tolist()], "lasts": [last[ends].tolist()],
-            "first": [float(levels[0])],
+            "entries": [entries.tolist()], "needs": [needs.tolist()], "reach": [float(reach)],
         })
 
-    summary = slim.groupBy(*by, "__chunk").applyInPandas(
-        summarize, f"{by_ddl}__chunk bigint, entries array<double>, lasts array<double>, first double"
-    )
+    maps = f"{by_ddl}__chunk bigint, entries array<double>, needs array<double>, reach double"
+    levels_up = [slim.groupBy(*by, "__chunk").applyInPandas(summarize, maps)]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__chunk")
-        needs, need = [], None
-        for first, entries, lasts in zip(pdf["first"], pdf["entries"], pdf["lasts"]):
-            needs.append(need)
-            at = 0 if need is None else int(np.searchsorted(np.asarray(entries), need, side=side))
-            if need is None or at < len(entries):
-                need = lasts[at] + step
-        return pd.DataFrame({**{b: pdf[b].to_numpy() for b in by},
-                             "__chunk": pdf["__chunk"].to_numpy(), "need": needs})
-
-    # One row per `chunk` rows of the table reaches a group here, with the entries of one step.
-    entered = summary.groupBy(*by).applyInPandas(fold, f"{by_ddl}__chunk bigint, need double")
+        both, reach = None, float(pdf["reach"].iloc[0])
+        for e, n in zip(pdf["entries"], pdf["needs"]):
+            own = np.asarray(e), np.asarray(n)
+            both = own if both is None else _compose(both, own, reach, side)
+        head = pdf.iloc[0]
+        return pd.DataFrame({
+            **{b: [head[b]] for b in by}, "__chunk": [int(head["__chunk"]) // fan],
+            "entries": [both[0].tolist()], "needs": [both[1].tolist()], "reach": [reach],
+        })
+
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Thresholds at the start of each of a task's neighbouring stretches, from the one at the first."""
+        pdf = pdf.sort_values("__chunk")
+        need, found = pdf["need"].iloc[0], []
+        need = None if pd.isna(need) else float(need)
+        for e, n in zip(pdf["entries"], pdf["needs"]):
+            found.append(need)
+            # a chain starts at its first row, whatever its level
+            need = n[0] if need is None else _apply(np.asarray(e), np.asarray(n), need, side)
+        return pd.DataFrame({**{b: pdf[b].to_numpy() for b in by}, "__chunk": pdf["__chunk"].to_numpy(), "need": found})
+
+    most = df.agg(F.max(pos)).first()[0]
+    stretches = 1 if most is None else int(most) // chunk + 1
+    group = F.expr(f"__chunk div {fan}").alias("__group")
+    # maps that go up another level are read twice
+    while stretches > 1:
+        levels_up[-1] = cut_lineage(levels_up[-1], "maps") if stretches > fan else levels_up[-1]
+        stretches = -(-stretches // fan)
+        if stretches > 1:
+            levels_up.append(levels_up[-1].withColumn("__group", group).groupBy(*by, "__group").applyInPandas(up, maps))
+    entered = None
+    if most is not None and int(most) >= chunk:
+        for maps_at in reversed(levels_up):
+            rows = maps_at.withColumn("__group", group)
+            if entered is None:
+                rows = rows.withColumn("need", F.lit(None).cast("double"))
+            else:
+                rows = rows.join(entered.select(*by, F.col("__chunk").alias("__group"), "need"), [*by, "__group"])
+            entered = rows.groupBy(*by, "__group").applyInPandas(down, f"{by_ddl}__chunk bigint, need double")
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)
-        levels = pdf[level].to_numpy(dtype=float)
-        nxt, _ = last_levels(levels)
+        levels, bases = pdf[level].to_numpy(dtype=float), pdf[base].to_numpy(dtype=float)
+        nxt = jumps(levels, bases).tolist()
         need = pdf["need"].iloc[0]
         at = 0 if pd.isna(need) else int(np.searchsorted(levels, need, side=side))
         hits = []
@@ -234,8 +295,9 @@ def greedy_chain(
             at = nxt[at]
         return pdf.iloc[hits][[*by, pos]]
 
-    return (
-        slim.join(entered, [*by, "__chunk"])
-        .groupBy(*by, "__chunk")
-        .applyInPandas(mark, f"{by_ddl}{pos} bigint")
-    )
+    if entered is None:
+        # one chunk for each group: nothing comes in from before
+        slim = slim.withColumn("need", F.lit(None).cast("double"))
+    else:
+        slim = slim.join(entered, [*by, "__chunk"])
+    return slim.groupBy(*by, "__chunk").applyInPandas(mark, f"{by_ddl}{pos} bigint")
