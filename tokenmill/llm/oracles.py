@@ -35,43 +35,43 @@ def shards(limit: int) -> str:
 
 
 def url_verdicts(
-    rules: Sequence[tuple[str, str, str]], depth: int = 3, crowd: int = 64, z_limit: float = 1.96, strength: float = 4.0,
-    threshold: float = 0.5,
+    rules: Sequence[tuple[str, str, str]], depth: int = 3, z_limit: float = 1.96, strength: float = 4.0, threshold: float = 0.5, levels: int = 12,
 ) -> str:
-    """Rules and path-template trees, one group of tables for each level."""
+    """Rules and path-template trees, one group of tables for each of ``levels`` segments; longer paths are not told apart beyond."""
     listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
-    steps = [f"s{i}" for i in range(depth)]
     sql = f"""
     WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
                    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
     r(h, p, v) AS (VALUES {listed}),
     g AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS given
           FROM u JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY 1),
-    q AS (SELECT u.page_id, host, path, rule, given, list_transform(list_filter(string_split(path, '/'), lambda x: x <> '')[1:{depth}],
+    b AS MATERIALIZED (SELECT u.page_id, host, path, rule, given, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''),
               lambda x: CASE WHEN regexp_full_match(x, '[0-9]+(\\.[A-Za-z0-9]+)?')
                   OR (regexp_full_match(x, '[0-9a-fA-F-]{{8,}}') AND regexp_matches(x, '[0-9]')) THEN '*' ELSE x END) AS w
           FROM u LEFT JOIN g USING (page_id)),
-    b AS (SELECT page_id, host, path, rule, given, {', '.join(f"coalesce(w[{i + 1}], '$') AS s{i}" for i in range(depth))} FROM q),
-    k AS (SELECT host, {', '.join(steps)}, count(*) AS n, count(given) AS lab, count(*) FILTER (WHERE given = 'block') AS blk FROM b GROUP BY ALL),
+    k AS (SELECT host, w, count(given) AS lab, count(*) FILTER (WHERE given = 'block') AS blk FROM b GROUP BY ALL),
     z AS (SELECT CASE WHEN sum(lab) > 0 THEN CAST(sum(blk) AS DOUBLE) / CAST(sum(lab) AS DOUBLE) ELSE 0.0::DOUBLE END AS root FROM k),
     o AS (SELECT host, CAST(sum(lab) AS DOUBLE) AS ol, CAST(sum(blk) AS DOUBLE) AS ob FROM k GROUP BY 1),
-    t0 AS (SELECT k.*, '' AS template, (ob + {strength}::DOUBLE * root) / (ol + {strength}::DOUBLE) AS purity FROM k JOIN o USING (host), z)"""
-    for i, s in enumerate(steps):
+    t0 AS MATERIALIZED (SELECT k.*, '' AS template, (ob + {strength}::DOUBLE * root) / (ol + {strength}::DOUBLE) AS purity FROM k JOIN o USING (host), z)"""
+    for i in range(levels):
+        parted = "true" if i < depth else f"count(*) > 1 AND max(len(w)) > {i}"
         sql += f""",
-    c{i} AS (SELECT host, template, {s}, CAST(sum(n) AS DOUBLE) AS cn, CAST(sum(lab) AS DOUBLE) AS cl, CAST(sum(blk) AS DOUBLE) AS cb FROM t{i} GROUP BY ALL),
-    p{i} AS (SELECT host, template, count(*) AS kids, sum(cn) AS pn, sum(cl) AS pl, sum(cb) AS pb FROM c{i} GROUP BY ALL),
+    d{i} AS (SELECT host, template FROM t{i} GROUP BY ALL HAVING {parted}),
+    a{i} AS MATERIALIZED (SELECT t{i}.*, coalesce(w[{i + 1}], '$') AS s FROM t{i} JOIN d{i} USING (host, template)),
+    c{i} AS (SELECT host, template, s, CAST(sum(lab) AS DOUBLE) AS cl, CAST(sum(blk) AS DOUBLE) AS cb FROM a{i} GROUP BY ALL),
+    p{i} AS (SELECT host, template, sum(cl) AS pl, sum(cb) AS pb FROM c{i} GROUP BY ALL),
     e{i} AS (SELECT *, CASE WHEN cl > 0 THEN sqrt((pb / pl) * (1 - pb / pl) / cl) END AS error FROM c{i} JOIN p{i} USING (host, template)),
-    n{i} AS (SELECT host, template, {s}, CASE WHEN {s} = '$' THEN '$' WHEN {s} = '*' OR (kids > {crowd} AND cn * {crowd} < pn) THEN '*'
-                 WHEN error > 0 AND abs(cb / cl - pb / pl) >= {z_limit}::DOUBLE * error THEN {s} ELSE '*' END AS name FROM e{i}),
-    x{i} AS (SELECT t{i}.*, name FROM t{i} JOIN n{i} USING (host, template, {s})),
+    n{i} AS (SELECT host, template, s, CASE WHEN s = '$' THEN '$' WHEN s = '*' THEN '*'
+                 WHEN error > 0 AND abs(cb / cl - pb / pl) >= {z_limit}::DOUBLE * error THEN s ELSE '*' END AS name FROM e{i}),
+    x{i} AS MATERIALIZED (SELECT a{i}.*, name FROM a{i} JOIN n{i} USING (host, template, s)),
     m{i} AS (SELECT host, template, name, (CAST(sum(blk) AS DOUBLE) + {strength}::DOUBLE * purity) / (CAST(sum(lab) AS DOUBLE) + {strength}::DOUBLE) AS own
              FROM x{i} GROUP BY host, template, name, purity),
-    t{i + 1} AS (SELECT x{i}.* EXCLUDE (template, purity, name), x{i}.template || '/' || name AS template, own AS purity
-                 FROM x{i} JOIN m{i} USING (host, template, name))"""
+    t{i + 1} AS MATERIALIZED (SELECT host, w, lab, blk, x{i}.template || '/' || name AS template, own AS purity FROM x{i} JOIN m{i} USING (host, template, name)
+             UNION ALL SELECT host, w, lab, blk, template, purity FROM t{i} ANTI JOIN d{i} USING (host, template))"""
     return sql + f"""
     SELECT page_id, b.host, path, rule, coalesce(given, CASE WHEN purity >= {threshold} THEN 'block' ELSE 'allow' END) AS verdict, template,
            round(purity, 9) AS purity
-    FROM b JOIN t{depth} USING (host, {', '.join(steps)})"""
+    FROM b JOIN t{levels} USING (host, w)"""
 
 
 def jaccard_components(width: int, least: int) -> str:
