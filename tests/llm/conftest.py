@@ -4,7 +4,7 @@ import pytest
 
 ODD = [
     (1, "  a  b \n c▁d▁"), (2, None), (3, ""), (4, " "), (5, "▁▁"), (6, "<s>x</s> \t <0x0A>"), (7, "日本 語　x é é \x00 "),
-    (None, "x"), (8, "it's <|endoftext|>x <|startoftext|> 12Ab ΑΣ Σ İ é a ́b"), (9, "x" * 50_000), (9, "y y"), (9, "y y"), (None, None),
+    (None, "x"), (10, "a<|ENDOFTEXT|>b Big <|EndOfText|> <|STARTOFTEXT|>"), (8, "it's <|endoftext|>x <|startoftext|> 12Ab ΑΣ Σ İ é a ́b"), (9, "x" * 50_000), (9, "y y"), (9, "y y"), (None, None),
 ]
 
 

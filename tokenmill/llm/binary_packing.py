@@ -8,6 +8,7 @@ one bucket of equal lengths at a time.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -33,6 +34,16 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+def lowered(text: str, special: list[str]) -> str:
+    """The text with ASCII letters lowered as the tokenizer would, so that fewer words are distinct.
+
+    A text that holds a special token in any case stays as it is: the tokenizer looks for these
+    tokens before it lowers letters, and must not find one that was not there.
+    """
+    low = text.encode().lower().decode()
+    return text if any(s in low for s in special) else low
+
+
 def word_encoder(spec: str):
     """Encode white-space separated words with a tokenizer that drops white space.
 
@@ -104,10 +115,7 @@ def pack(
             cache[key] = DistinctTable(word_encoder(spec.value), table_rows)
         table: DistinctTable = cache[key]
         for batch in text_groups(batches):
-            # ASCII letters are lowered here as the tokenizer would, so that fewer words are distinct
-            words = [split_words(t.encode().lower().decode()) for t in batch.column("text").to_pylist()] if lowers else [
-                split_words(t) for t in batch.column("text").to_pylist()
-            ]
+            words = [split_words(lowered(t, special) if lowers else t) for t in batch.column("text").to_pylist()]
             ids, n = table.lookup([w for x in words for w in x])
             tokens = np.append(0, np.cumsum(n))
             ends = tokens[np.cumsum([len(x) for x in words])]
@@ -133,9 +141,9 @@ def pack(
                 names=["doc_id", "piece_no", "start", "length", "bucket", "doc_tokens", "ids"],
             )
 
-    import json
-
-    lowers = '"Lowercase"' in json.dumps(json.loads(spec.value).get("normalizer"))
+    parts = json.loads(spec.value)
+    lowers = '"Lowercase"' in json.dumps(parts.get("normalizer"))
+    special = [t["content"].lower() for t in parts.get("added_tokens", [])]
     pieces = docs.mapInArrow(run, schema)
     return pieces.select(
         "*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset")
