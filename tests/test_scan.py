@@ -82,3 +82,31 @@ def test_null_order_keys_are_named(spark):
     df = spark.createDataFrame([(None,), (1,), (2,)], "k bigint")
     with pytest.raises(ValueError, match="must not be null"):
         dense_index(df, ["k"]).collect()
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("fan", [2, 5])
+def test_chain_of_many_levels_of_maps(spark, strict, fan):
+    """Maps of three rows each, composed two or five at a time: flat stretches, jumps, and a base below the level."""
+    rng = np.random.default_rng(7)
+    rows, want = [], set()
+    for g in ("a", "b"):
+        takes = rng.choice([1, 1, 2, 30, 9], 400 if g == "a" else 40)
+        ends = np.cumsum(takes)
+        start = None
+        for i, (end, take) in enumerate(zip(ends.tolist(), takes.tolist())):
+            rows.append((g, i, float(end), float(end - take)))
+            if start is None or (end > start + 25 if strict else end >= start + 25):
+                start = end - take
+                want.add((g, i))
+    df = spark.createDataFrame(rows, "g string, pos bigint, level double, base double")
+    got = greedy_chain(df, "pos", "level", 25.0, by=["g"], strict=strict, chunk=3, base="base", fan=fan)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_chain_of_ten_thousand_chunks(spark):
+    """No task folds more than ``fan`` of 12500 maps."""
+    df = spark.range(200_000).select(F.col("id").alias("pos"), (F.col("id") * 3).cast("double").alias("level"))
+    got = greedy_chain(df, "pos", "level", 100.0, chunk=16, fan=128)
+    assert [r.pos for r in got.orderBy("pos").limit(3).collect()] == [0, 34, 68] and got.count() == -(-200_000 // 34)
+    assert greedy_chain(df.limit(0), "pos", "level", 1.0).count() == 0
