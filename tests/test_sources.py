@@ -1,13 +1,14 @@
 import json
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tokenmill.operators import reports
-from tokenmill.sources import conversations as cv, corpus as c, evals, files, logs
+from tokenmill.sources import conversations as cv, corpus as c, evals, files, logs, row_groups
 
 
 def write(path, text):
@@ -47,10 +48,58 @@ def test_reading_order(spark, tmp_path):
     assert c.read_corpus(spark, {n: str(tmp_path / n) for n in "ab"}, "val").select("dataset").distinct().count() == 2
 
 
-def test_ranks_keep_row_groups_together(spark):
-    ranked = c.assign_ranks(spark.read.parquet(f"{SF}/documents.parquet"), 4, 16)
-    assert ranked.groupBy("row_group").agg(F.countDistinct("rank").alias("n")).filter("n > 1").isEmpty()
-    assert c.by_rank(ranked, 4).select(F.spark_partition_id().alias("p"), "rank").distinct().groupBy("rank").count().filter("count > 1").isEmpty()
+@pytest.fixture(scope="module")
+def uneven(tmp_path_factory):
+    """Three files with row groups of 3, 5, 1 / 7 / 2, 2, 2, 2 rows, in a folder with odd characters."""
+    folder = tmp_path_factory.mktemp("un even %41 é")
+    files, at = [], 0
+    for name, sizes in (("a", (3, 5, 1)), ("b", (7,)), ("c", (2, 2, 2, 2))):
+        files.append(str(folder / f"{name}.parquet"))
+        with pq.ParquetWriter(files[-1], pa.schema([("id", pa.int64()), ("text", pa.string())])) as out:
+            for n in sizes:
+                out.write_table(pa.table({"id": range(at, at + n), "text": [f"t{i}" for i in range(at, at + n)]}), row_group_size=n)
+                at += n
+    return files
+
+
+def rank_walk(files, rank, world):
+    """(file, row group, id) as a rank reads them."""
+    out = []
+    for f, path in enumerate(files):
+        file = pq.ParquetFile(path)
+        for g in range(rank, file.num_row_groups, world):
+            out += [(f, g, i) for i in file.read_row_group(g).column("id").to_pylist()]
+    return out
+
+
+def test_ranks_take_real_row_groups(spark, uneven):
+    ranked = c.assign_ranks(spark.read.parquet(*uneven), 2)
+    got = ranked.collect()
+    for rank in (0, 1):
+        assert sorted(r.id for r in got if r["rank"] == rank) == sorted(i for _, _, i in rank_walk(uneven, rank, 2))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
+
+
+@pytest.mark.parametrize("world", [1, 2, 3])
+def test_a_rank_reads_one_partition_for_each_row_group(spark, uneven, world):
+    for rank in range(world):
+        df = row_groups.read_rank(spark, uneven, "id bigint", rank, world, epochs=2)
+        walk = rank_walk(uneven, rank, world)
+        assert df.rdd.getNumPartitions() == 2 * len({(f, g) for f, g, _ in walk})
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert [(r.epoch, r.file_no, r.row_group, r.id) for r in df.collect()] == [(e, *x) for e in (1, 2) for x in walk]
+
+
+def test_broken_files_of_a_rank(spark, uneven, tmp_path):
+    broken = write(tmp_path / "x.parquet", "no parquet")
+    files = [uneven[0], broken, uneven[2]]
+    got = row_groups.read_rank(spark, files, "id bigint", 1, 2, on_corrupt="skip").collect()
+    assert [(r.file_no, r.id) for r in got] == [(2 * f, i) for f, _, i in rank_walk([uneven[0], uneven[2]], 1, 2)]
+    with pytest.raises(Exception):
+        row_groups.read_rank(spark, files, "id bigint").collect()
+    with pytest.raises(Exception, match="No valid"):
+        row_groups.read_rank(spark, [broken], "id bigint", on_corrupt="skip").collect()
 
 
 def test_shard_files(spark, tmp_path):

@@ -1,9 +1,12 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tokenmill.operators import training as tr
 from tokenmill.operators.tokens import byte_vocab
+from tokenmill.sources import row_groups
 from tokenmill.streaming import jobs
 
 
@@ -45,6 +48,29 @@ def test_corpus_stream_resumes_without_repeats(spark, tmp_path):
     assert got.join(docs, "doc_id").filter(F.size("ids") != F.octet_length("text") + 1).isEmpty()
 
 
+def test_a_rank_stops_inside_files_and_goes_on(spark, tmp_path):
+    """Every stop is a restart on the checkpoint; no row group is repeated or left out, over files and epochs."""
+    files, ids = [], iter(range(10_000))
+    for name, sizes in (("a", (3, 5, 1, 4, 2)), ("b", (7,)), ("c", (2, 2, 2, 2))):
+        files.append(str(tmp_path / f"{name}.parquet"))
+        with pq.ParquetWriter(files[-1], pa.schema([("id", pa.int64())])) as out:
+            for n in sizes:
+                out.write_table(pa.table({"id": [next(ids) for _ in range(n)]}), row_group_size=n)
+    out, at, seen = str(tmp_path / "out"), str(tmp_path / "at"), []
+    for until in ((1, 0, 1), (1, 0, 4), (1, 0, 4), (1, 2, 2), (2, 0, 2), (9, 0, 0)):
+        jobs.run_available(row_groups.stream_rank(spark, files, "id bigint", 0, 2, 2, until), out, at)
+        seen.append(spark.read.parquet(out).count())
+    walk = [(e, f, g) for e in (1, 2) for f, n in enumerate((5, 1, 4)) for g in range(0, n, 2)]
+    got = spark.read.parquet(out)
+    assert sorted(tuple(r) for r in got.select("epoch", "file_no", "row_group").distinct().collect()) == walk
+    assert got.count() == got.select("epoch", "id").distinct().count() == 2 * (3 + 1 + 2 + 7 + 2 + 2)
+    assert seen == [3, 4, 4, 15, 20, 34]
+    # a file added at the end and one more epoch continue the same query
+    more = [*files, files[0]]
+    jobs.run_available(row_groups.stream_rank(spark, more, "id bigint", 0, 2, 3), out, at)
+    assert spark.read.parquet(out).filter("epoch = 3").count() == 17 + 6
+
+
 def test_limits(spark, tmp_path):
     rows = [(1, [("user", "hi"), ("assistant", "ho")]), (2, []), (3, [("system", "x"), ("user", "")]), (4, [("user", "x" * 9000)] * 4)]
     df = spark.createDataFrame(rows, "conv_id int, messages array<struct<role:string,content:string>>")

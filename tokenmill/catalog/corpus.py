@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tokenmill.catalog.base import query, sql_shuffle_key, table
@@ -9,6 +11,8 @@ from tokenmill.operators import packing as pk
 from tokenmill.plans.scan import dense_index, prefix_sum
 from tokenmill.plans.session import scratch_path
 from tokenmill.sources import corpus as c
+from tokenmill.sources import row_groups as rg
+from tokenmill.streaming import jobs
 
 
 def _docs(spark, sf):
@@ -81,16 +85,47 @@ def interleave_rows(spark, sf):
     return c.interleave_rows(_docs(spark, sf).select("doc_id", "lang"), "lang", ["doc_id"])
 
 
+def _grouped_files(spark, sf):
+    """The documents in files of 256, in row groups of 48; the last one of a file is shorter."""
+    path = scratch_path(spark, "grouped")
+    docs = _docs(spark, sf).select("doc_id", "text", F.expr("doc_id div 256").alias("part"))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").write.partitionBy("part").option(
+        "parquet.block.row.count.limit", "48").parquet(path)
+    # the order of the parts, not of their names
+    return sorted(c.list_files(spark, path), key=lambda f: int(re.search(r"part=(\d+)", f)[1]))
+
+
 @query("s4_rank_row_groups", """
-    SELECT CAST((doc_id // 64) % 3 AS INTEGER) AS rank, count(*) AS n_rows,
+    SELECT CAST((doc_id % 256 // 48) % 3 AS INTEGER) AS rank, count(*) AS n_rows,
            CAST(sum(length(text)) AS BIGINT) AS n_chars
     FROM documents GROUP BY 1""")
 def rank_row_groups(spark, sf):
-    ranked = c.assign_ranks(_docs(spark, sf), 3, 64)
+    ranked = c.assign_ranks(spark.read.schema("doc_id bigint, text string").parquet(*_grouped_files(spark, sf)), 3)
     return ranked.groupBy("rank").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("text")).alias("n_chars"))
 
 
+@query("s4_read_rank", """
+    SELECT doc_id, CAST(doc_id // 256 AS INTEGER) AS file_no, CAST(doc_id % 256 // 48 AS INTEGER) AS row_group, doc_id % 256 % 48 AS row_no,
+           md5(text) AS digest
+    FROM documents WHERE (doc_id % 256 // 48) % 3 = 1""")
+def read_rank(spark, sf):
+    rows = rg.read_rank(spark, _grouped_files(spark, sf), "doc_id bigint, text string", 1, 3)
+    return rows.select("doc_id", "file_no", "row_group", "row_no", F.md5("text").alias("digest"))
+
+
+@query("st1_row_group_stream", """
+    SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, CAST(doc_id // 256 AS INTEGER) AS file_no, CAST(doc_id % 256 // 48 AS INTEGER) AS row_group
+    FROM documents, (VALUES (1), (2)) AS e(epoch) WHERE (doc_id % 256 // 48) % 2 = 1""")
+def row_group_stream(spark, sf):
+    """Rank 1 of 2 over two epochs, stopped inside a file of each and started again."""
+    files, out, at = _grouped_files(spark, sf), scratch_path(spark, "out"), scratch_path(spark, "progress")
+    for until in ((1, 0, 2), (2, 0, 4), None):
+        stream = rg.stream_rank(spark, files, "doc_id bigint, text string", 1, 2, 2, until)
+        jobs.run_available(stream.select("doc_id", "epoch", "file_no", "row_group"), out, at)
+    return spark.read.parquet(out)
+
+
 SHARD_SQL = f"""
     WITH RECURSIVE o AS (
         SELECT doc_id, n_chars, row_number() OVER (ORDER BY {sql_shuffle_key(42, 'doc_id')}, doc_id) - 1 AS idx

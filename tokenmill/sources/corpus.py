@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from urllib.parse import unquote
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +61,24 @@ def interleave(per_dataset: Sequence[Sequence]) -> list:
     return [p[i] for i in range(longest) for p in per_dataset if i < len(p)]
 
 
+def reading_order(
+    spark: SparkSession,
+    specs: dict[str, str | Sequence[str]],
+    split: str | None = "train",
+    names: str | Sequence[str] | None = None,
+    aliases: dict[str, str] | None = None,
+) -> tuple[list[str], dict[str, str]]:
+    """Files of the datasets in reading order, and the dataset of each."""
+    chosen = resolve_names(list(specs) if names is None else names, list(specs), aliases)
+    files = {
+        n: list_files(spark, specs[n]) if isinstance(specs[n], str) else sorted(specs[n])
+        for n in chosen
+    }
+    parts = [split_files(files[n], split) for n in chosen]
+    ordered = [f for p in parts for f in p] if split == "val" else interleave(parts)
+    return ordered, {f: n for n in chosen for f in files[n]}
+
+
 def read_corpus(
     spark: SparkSession,
     specs: dict[str, str | Sequence[str]],
@@ -71,21 +94,14 @@ def read_corpus(
     over the datasets, validation files follow one another. ``on_corrupt='skip'`` leaves out
     files that are no valid parquet and fails only when nothing can be read.
     """
-    chosen = resolve_names(list(specs) if names is None else names, list(specs), aliases)
-    files = {
-        n: list_files(spark, specs[n]) if isinstance(specs[n], str) else sorted(specs[n])
-        for n in chosen
-    }
-    parts = [split_files(files[n], split) for n in chosen]
-    ordered = [f for p in parts for f in p] if split == "val" else interleave(parts)
+    ordered, owner = reading_order(spark, specs, split, names, aliases)
     if not ordered:
         return spark.createDataFrame([], f"{schema}, file_no bigint, row_no bigint, dataset string")
-    owner = {f: n for n in chosen for f in files[n]}
     reader = spark.read.schema(schema)
     if on_corrupt == "skip":
         reader = reader.option("ignoreCorruptFiles", "true")
     rows = reader.parquet(*[GLOB.sub(r"\\\1", f) for f in ordered]).select(
-        "*", F.col("_metadata.file_path").alias("__key"), F.col("_metadata.row_index").alias("row_no")
+        "*", _scanned_file(), F.col("_metadata.row_index").alias("row_no")
     )
     places = spark.createDataFrame(
         [(k, i, owner[f]) for i, (f, k) in enumerate(zip(ordered, _uris(spark, ordered)))],
@@ -108,10 +124,15 @@ def _uris(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     out = []
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
-        out.append(path.getFileSystem(conf).makeQualified(path).toUri().toString())
+        out.append(re.sub("^file:/+", "file:/", path.getFileSystem(conf).makeQualified(path).toUri().toString()))
     return out
 
 
+def _scanned_file():
+    """The file of a scanned row as ``_uris`` writes it; local paths come with one slash or three."""
+    return F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("__key")
+
+
 def interleave_rows(df: DataFrame, dataset: str, key: Sequence[str], block_rows: int = 1) -> DataFrame:
     """Order of rows when datasets take turns, ``block_rows`` rows at a time."""
     placed = dense_index(df, key, "pos", by=[dataset])
@@ -120,62 +141,114 @@ def interleave_rows(df: DataFrame, dataset: str, key: Sequence[str], block_rows:
     ).drop("__turn")
 
 
-def assign_ranks(df: DataFrame, world: int, group_rows: int = 1024) -> DataFrame:
-    """Rank that reads each row when rank r takes the row groups r, r + world, ... of a file.
+def row_group_starts(spark: SparkSession, files: Sequence[str], threads: int = 16) -> DataFrame:
+    """First row of every row group by the files' footers: ``(__key, starts)``, one row for each file.
 
-    ``df`` must come straight from a file scan.
+    Footers are read by the driver through Hadoop's file systems, several at once.
     """
-    with_row = df.select("*", F.col("_metadata.row_index").alias("__row"))
-    return with_row.withColumn("row_group", F.expr(f"__row div {group_rows}")).withColumn(
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def starts(path: str) -> list[int]:
+        at, out = 0, []
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        try:
+            for block in reader.getFooter().getBlocks():
+                out.append(at)
+                at += block.getRowCount()
+        finally:
+            reader.close()
+        return out
+
+    with ThreadPoolExecutor(threads) as pool:
+        rows = list(zip(_uris(spark, files), pool.map(starts, files)))
+    return spark.createDataFrame(rows, "__key string, starts array<bigint>")
+
+
+def assign_ranks(df: DataFrame, world: int) -> DataFrame:
+    """Row group of each row, and the rank that reads it when rank r takes the row groups r, r + world, ... of a file.
+
+    ``df`` must come straight from a scan of Parquet files, whose footers tell the row groups; nothing is
+    shuffled. ``row_groups.read_rank`` reads the share of one rank, one partition for each row group.
+    """
+    files = [unquote(f) for f in df.inputFiles()]
+    starts = F.broadcast(row_group_starts(df.sparkSession, files))
+    rows = df.select("*", _scanned_file(), F.col("_metadata.row_index").alias("__row"))
+    group = F.size(F.filter("starts", lambda s: s <= F.col("__row"))) - 1
+    return rows.join(starts, "__key").withColumn("row_group", group.cast("int")).withColumn(
         "rank", F.pmod("row_group", F.lit(world)).cast("int")
-    ).drop("__row")
+    ).drop("__row", "__key", "starts")
 
 
-def by_rank(ranked: DataFrame, world: int) -> DataFrame:
-    """Rows of a rank together, for consumers that take one partition per rank."""
-    return ranked.repartition(world, "rank")
+#: Shards whose starts may go to every task (32 MB).
+MAX_SHARDS = 1 << 22
 
 
-def assign_shards(
-    df: DataFrame, key: str, chars: str = "n_chars", chars_per_shard: int = 250_000_000,
-    rows_per_group: int = 1024, seed=42,
-) -> DataFrame:
-    """Shuffled position and shard of every row: ``(key, idx, shard, is_complete)``.
+@dataclass
+class ShardPlan:
+    """Positions of all rows (key, __h, idx, group_no), the row groups at which shards start, and whether the last one is full."""
+
+    placed: DataFrame
+    starts: np.ndarray
+    last_full: bool
+
+
+def plan_shards(
+    df: DataFrame, key: str, chars: str = "n_chars", chars_per_shard: int = 250_000_000, rows_per_group: int = 1024, seed=42
+) -> ShardPlan:
+    """Shuffled order of the rows, and where its shards start.
 
     A shard closes at the first full row group at which it holds ``chars_per_shard``
     characters, and counting starts anew. The boundaries form a greedy chain over the row
-    groups' running character count.
+    groups' running character count. ``key`` must be unique.
     """
-    slim = df.select(key, F.col(chars).cast("bigint").alias("__c"))
-    keyed = slim.withColumn("__h", order_key(seed, key))
+    keyed = df.select(key, F.col(chars).cast("bigint").alias("__c")).withColumn("__h", order_key(seed, key))
     # Read several times below, so the narrow table is written once.
     placed = cut_lineage(
         dense_index(keyed, ["__h", key], "idx", block=hash_blocks("__h")).select(
-            key, "idx", "__c", F.expr(f"idx div {rows_per_group}").alias("group_no")
+            key, "__h", "idx", "__c", F.expr(f"idx div {rows_per_group}").alias("group_no")
         ), "positions",
     )
-    groups = placed.groupBy("group_no").agg(
-        F.sum("__c").alias("chars"), F.count(F.lit(1)).alias("n_rows")
-    )
-    levels = cut_lineage(
-        ordered_scan(groups, ["group_no"], {"level": ("sum", F.col("chars"), False)}), "row-groups"
-    )
-    starts = greedy_chain(
-        levels.select("group_no", F.col("level").cast("double").alias("level")),
-        "group_no", "level", float(chars_per_shard),
-    ).withColumn("__start", F.lit(1))
-    numbered = ordered_scan(
-        levels.join(starts, "group_no", "left"), ["group_no"],
-        {"shard": ("sum", F.coalesce("__start", F.lit(0)), True)},
-    ).withColumn("shard", (F.col("shard") - 1).cast("bigint"))
-    # A shard is full when its row groups are full and hold enough characters.
-    full = numbered.groupBy("shard").agg(
-        (F.sum("chars") >= chars_per_shard).alias("__enough"),
-        F.bool_and(F.col("n_rows") == rows_per_group).alias("__even"),
-    ).select("shard", (F.col("__enough") & F.col("__even")).alias("is_complete"))
-    return placed.join(numbered.select("group_no", "shard"), "group_no").join(full, "shard").select(
-        key, "idx", "shard", "is_complete"
+    groups = placed.groupBy("group_no").agg(F.sum("__c").alias("chars"), F.count(F.lit(1)).alias("n_rows"))
+    levels = cut_lineage(ordered_scan(groups, ["group_no"], {"level": ("sum", F.col("chars"), False)}), "row-groups")
+    chain = greedy_chain(
+        levels.select("group_no", F.col("level").cast("double").alias("level")), "group_no", "level", float(chars_per_shard)
     )
+    starts = np.sort([r["group_no"] for r in chain.limit(MAX_SHARDS + 1).collect()]).astype(np.int64)
+    if len(starts) > MAX_SHARDS:
+        raise ValueError(f"more than {MAX_SHARDS} shards; raise chars_per_shard")
+    last_full = False
+    if len(starts):
+        # only the last row group can be short, so only the last shard can fall short
+        last = levels.filter(F.col("group_no") >= int(starts[-1])).agg(
+            F.sum("chars") >= chars_per_shard, F.bool_and(F.col("n_rows") == rows_per_group)
+        ).first()
+        last_full = bool(last[0] and last[1])
+    return ShardPlan(placed.drop("__c"), starts, last_full)
+
+
+def _find(spark: SparkSession, bounds: np.ndarray):
+    """Number of the last bound at or below a value; the bounds go to every task."""
+    shared = spark.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("bigint")
+    def find(value: pd.Series) -> pd.Series:
+        values = value.to_numpy()
+        values = values.astype(shared.value.dtype) if shared.value.dtype.kind == "S" else values
+        return pd.Series(np.searchsorted(shared.value, values, side="right") - 1)
+
+    return find
+
+
+def assign_shards(
+    df: DataFrame, key: str, chars: str = "n_chars", chars_per_shard: int = 250_000_000,
+    rows_per_group: int = 1024, seed=42,
+) -> DataFrame:
+    """Shuffled position and shard of every row: ``(key, idx, shard, is_complete)``; see ``plan_shards``."""
+    plan = plan_shards(df, key, chars, chars_per_shard, rows_per_group, seed)
+    rows = plan.placed.withColumn("shard", _find(df.sparkSession, plan.starts)("group_no"))
+    full = (F.col("shard") < len(plan.starts) - 1) | F.lit(plan.last_full)
+    return rows.select(key, "idx", "shard", full.alias("is_complete"))
 
 
 def write_shards(
@@ -184,15 +257,19 @@ def write_shards(
 ) -> None:
     """Write shuffled shards, one zstd parquet file each, with row groups of equal row count.
 
-    ``tail='drop'`` leaves out the last, unfilled shard.
+    Shards are stretches of the shuffled order, so a row finds its shard by its place among the first keys of
+    all shards, and texts cross one shuffle. ``tail='drop'`` leaves out the last, unfilled shard.
     """
     sized = df.withColumn("n_chars", F.length(text))
-    plan = assign_shards(sized, key, "n_chars", chars_per_shard, rows_per_group, seed)
-    if tail == "drop":
-        plan = plan.filter("is_complete")
-    rows = df.select(key, text).join(plan, key)
+    plan = plan_shards(sized, key, "n_chars", chars_per_shard, rows_per_group, seed)
+    spark = df.sparkSession
+    first = spark.createDataFrame([(int(g) * rows_per_group,) for g in plan.starts], "idx bigint")
+    bounds = np.array(sorted(r["__h"] for r in plan.placed.join(F.broadcast(first), "idx").select("__h").collect()), dtype="S32")
+    rows = df.select(key, text, order_key(seed, key).alias("__h")).withColumn("shard", _find(spark, bounds)("__h"))
+    if tail == "drop" and not plan.last_full:
+        rows = rows.filter(F.col("shard") < len(plan.starts) - 1)
     (
-        rows.repartition("shard").sortWithinPartitions("shard", "idx").select("shard", text)
+        rows.repartition("shard").sortWithinPartitions("shard", "__h", key).select("shard", text)
         .write.partitionBy("shard")
         .option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", "3")
