@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,6 +328,21 @@ def test_fewshot_on_small_tables(spark):
     assert mx.sample_fewshot(spark.range(1).withColumnRenamed("id", "k"), 2, ["k"]).count() == 0
 
 
+def test_fewshot_draws_are_uniform_and_independent(spark):
+    """Every item gets k different others; all others are drawn equally often, and neighbours share as many as chance has it."""
+    n, k = 60, 5
+    drawn = {}
+    for seed in range(12):
+        for r in mx.sample_fewshot(spark.range(n).withColumnRenamed("id", "k"), k, ["k"], seed).collect():
+            drawn.setdefault((seed, r.item_k), []).append(r.k)
+    assert len(drawn) == 12 * n and all(len(set(v)) == k and i not in v for (_, i), v in drawn.items())
+    times = np.bincount([(x - i) % n for (_, i), v in drawn.items() for x in v], minlength=n)
+    expected = 12 * n * k / (n - 1)
+    assert times[0] == 0 and ((times[1:] - expected) ** 2 / expected).sum() < 1.6 * n
+    shared = np.mean([len(set(v) & set(drawn[s, (i + 1) % n])) for (s, i), v in drawn.items()])
+    assert shared < 2.0 * k * k / n
+
+
 def test_no_valid_row(spark):
     df = spark.createDataFrame([(0, False), (1, False)], "idx bigint, ok boolean")
     with pytest.raises(ValueError):

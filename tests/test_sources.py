@@ -163,6 +163,34 @@ def test_json_payloads(spark, tmp_path, text, n):
     assert files.read_json_any(spark, write(tmp_path / "p.json", text)).count() == n
 
 
+def test_lines_are_told_from_documents():
+    one = b'{"a": 1}'
+    assert files.is_json_lines(one + b"\n" + one, True) and files.is_json_lines(b"\n" + one + b"\r\n" + one[:3], False)
+    assert not files.is_json_lines(one, True) and not files.is_json_lines(one + b"\n\n", True) and not files.is_json_lines(b"", True)
+    # pretty-printed, or a first line that goes on beyond what was read
+    assert not files.is_json_lines(b'{\n "a": 1\n}\n', True) and not files.is_json_lines(one[:5], False) and not files.is_json_lines(b"[1,\n2]", True)
+
+
+def test_large_json_lines_are_read_by_many_tasks(spark, tmp_path):
+    """Numbers are dense within each file, whatever blocks it is read in, and a document beside them is read whole."""
+    lines = [json.dumps({"k": i, "pad": "x" * (i % 90)}) for i in range(6000)]
+    write(tmp_path / "in [1]" / "a.jsonl", "\n\n".join(lines) + "\n")
+    write(tmp_path / "in [1]" / "b.jsonl", "\n".join(lines[:10]))
+    write(tmp_path / "in [1]" / "c.json", json.dumps({"data": [1, 2, 3]}, indent=1))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        df = files.read_json_any(spark, str(tmp_path / "in \\[1\\]"))
+        got = df.select("row_no", F.try_variant_get("row", "$.k", "int").alias("k"), F.spark_partition_id().alias("p")).collect()
+        assert len({r.p for r in got}) > 8
+        assert sorted((r.row_no, r.k) for r in got if r.k is not None) == sorted([(i, i) for i in range(6000)] + [(i, i) for i in range(10)])
+        assert sorted(r.row_no for r in got if r.k is None) == [0, 1, 2]
+        with_blank = files.numbered_lines(spark, [str(tmp_path / "in \\[1\\]" / "a.jsonl")]).filter("line <> ''").collect()
+        assert sorted((r.line_no, json.loads(r.line)["k"]) for r in with_blank) == [(2 * i, i) for i in range(6000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_eval_bundle(spark, tmp_path):
     write(tmp_path / "eval_data" / "x" / "t.jsonl", '{"query": "q", "gold": 1}\n\n{"query": "r", "gold": 0}\n')
     write(tmp_path / "eval_meta_data.csv", "Eval Task,Random baseline,More\nT,25,z\n")

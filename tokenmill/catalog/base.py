@@ -52,3 +52,18 @@ def sql_shuffle_key(seed, *cols: str) -> str:
 def sql_draw(seed, *cols: str) -> str:
     """Integer from the first eight digits of the order key."""
     return f"CAST(('0x' || left({sql_shuffle_key(seed, *cols)}, 8)) AS BIGINT)"
+
+
+def sql_fewshot(seed, k: int) -> str:
+    """Tables p (items by position, n) and s (item_id, shot, other): k different others of every item of ``benchmark``."""
+    top = lambda j: f"(n - 1 - {k} + {j})"
+    draws = ", ".join(f"""{sql_draw(seed, 'item_id', str(j))} % ({top(j)} + 1) AS t{j}""" for j in range(k))
+    taken = ", ".join(
+        f"CASE WHEN t{j} IN ({', '.join(f'c{i}' for i in range(j))}) THEN {top(j)} ELSE t{j} END AS c{j}" if j else "t0 AS c0" for j in range(k)
+    )
+    return f"""
+    WITH p AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS pos, count(*) OVER () AS n FROM benchmark),
+    d AS (SELECT item_id, pos, n, {draws} FROM p),
+    c AS (SELECT *, {taken} FROM d),
+    u AS (SELECT item_id, pos, unnest([{', '.join(str(j + 1) for j in range(k))}]) AS shot, unnest([{', '.join(f'c{j}' for j in range(k))}]) AS v FROM c),
+    s AS (SELECT u.item_id, CAST(shot AS INTEGER) AS shot, p.item_id AS other, p.text FROM u JOIN p ON p.pos = v + CASE WHEN v >= u.pos THEN 1 ELSE 0 END)"""

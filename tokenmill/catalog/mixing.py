@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tokenmill.catalog.base import query, sql_draw, sql_shuffle_key, table
+from tokenmill.catalog.base import query, sql_draw, sql_fewshot, sql_shuffle_key, table
 from tokenmill.operators import mixing as m
 from tokenmill.plans.profiles import Part, profile_tasks
 from tokenmill.plans.scan import dense_index
@@ -192,11 +192,7 @@ def drop_invalid(spark, sf):
     return m.apply_valid_policy(d, "ok").select("idx", "lang")
 
 
-@query("j7_fewshot", f"""
-    WITH p AS (SELECT item_id, row_number() OVER (ORDER BY {sql_shuffle_key(1234, 'item_id')}, item_id) - 1 AS pos,
-                      count(*) OVER () AS n FROM benchmark),
-    s AS (SELECT item_id, pos, n, unnest(range(1, 6)) AS shot FROM p)
-    SELECT s.item_id AS item_item_id, CAST(s.shot AS INTEGER) AS shot, p.item_id FROM s JOIN p ON p.pos = (s.pos + s.shot) % s.n""")
+@query("j7_fewshot", sql_fewshot(1234, 5) + " SELECT item_id AS item_item_id, shot, other AS item_id FROM s")
 def fewshot(spark, sf):
     items = table(spark, sf, "benchmark").select("item_id")
     return m.sample_fewshot(items, 5, ["item_id"])

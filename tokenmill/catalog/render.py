@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tokenmill.catalog.base import query, sql_shuffle_key, table
+from tokenmill.catalog.base import query, sql_fewshot, table
 from tokenmill.operators import mixing as m, render as r, tokens as tk, turns as t
 from tokenmill.plans.session import spread
 
@@ -90,9 +90,7 @@ def collate(spark, sf):
     return r.collate(dense_index(out, ["conv_id"]), 8, 260).select("idx", "batch_no", _text("inputs"), _text("targets"))
 
 
-ICL = f"""
-    WITH i AS (SELECT item_id, text, row_number() OVER (ORDER BY {sql_shuffle_key(1234, 'item_id')}, item_id) - 1 AS pos, count(*) OVER () AS n FROM benchmark),
-    s AS (SELECT i.item_id, k.shot, j.item_id AS other, j.text FROM i, unnest([1, 2, 3]) AS k(shot) JOIN i j ON j.pos = (i.pos + k.shot) % i.n)"""
+ICL = sql_fewshot(1234, 3)
 
 
 def _shots(items):
@@ -102,7 +100,7 @@ def _shots(items):
 @query("t10_render_mc", ICL + """,
     h AS (SELECT item_id, string_agg(text || ' ' || CASE WHEN other % 2 = 0 THEN 'yes' ELSE 'no ' || other END || chr(10) || chr(10), '' ORDER BY shot) AS head FROM s GROUP BY 1)
     SELECT item_id, CAST(c AS INTEGER) AS choice, head || text || ' ' || CASE WHEN c = 0 THEN 'yes' ELSE 'no ' || item_id END AS prompt
-    FROM i JOIN h USING (item_id), unnest([0, 1]) AS t(c)""")
+    FROM p JOIN h USING (item_id), unnest([0, 1]) AS t(c)""")
 def render_mc(spark, sf):
     items = table(spark, sf, "benchmark").select(
         "item_id", F.col("text").alias("query"),
@@ -113,7 +111,7 @@ def render_mc(spark, sf):
 @query("t10_render_schema", ICL + """,
     h AS (SELECT item_id, string_agg(CASE WHEN other % 2 = 0 THEN text ELSE (text || 'x') END || '|' || 'end ' || other || chr(10) || chr(10), '' ORDER BY shot) AS head FROM s GROUP BY 1)
     SELECT item_id, CAST(c AS INTEGER) AS choice, head || CASE WHEN c = 0 THEN text ELSE (text || 'x') END || '|end ' || item_id AS prompt
-    FROM i JOIN h USING (item_id), unnest([0, 1]) AS t(c)""")
+    FROM p JOIN h USING (item_id), unnest([0, 1]) AS t(c)""")
 def render_schema(spark, sf):
     items = table(spark, sf, "benchmark").select(
         "item_id", F.array(F.col("text"), F.concat("text", F.lit("x"))).alias("context_options"),
@@ -122,13 +120,13 @@ def render_schema(spark, sf):
 
 
 @query("t10_render_lm", ICL + """,
-    h AS (SELECT item_id, string_agg(trim(text) || ' ' || right(text, 10) || chr(10) || chr(10), '' ORDER BY shot) AS head FROM s GROUP BY 1)
-    SELECT item_id, CAST(c AS INTEGER) AS choice, head || trim(text) || CASE WHEN c = 0 THEN '' ELSE ' ' || right(text, 10) END AS prompt
-    FROM i JOIN h USING (item_id), unnest([0, 1]) AS t(c)""")
+    h AS (SELECT item_id, string_agg(trim(text) || ' ' || replace(text, 'e', 'E') || chr(10) || chr(10), '' ORDER BY shot) AS head FROM s GROUP BY 1)
+    SELECT item_id, CAST(c AS INTEGER) AS choice, head || trim(text) || CASE WHEN c = 0 THEN '' ELSE ' ' || replace(text, 'e', 'E') END AS prompt
+    FROM p JOIN h USING (item_id), unnest([0, 1]) AS t(c)""")
 def render_lm(spark, sf):
     items = table(spark, sf, "benchmark").select(
         "item_id", F.concat(F.lit("  "), F.col("text"), F.lit(" \n")).alias("context"),
-        F.right("text", F.lit(10)).alias("continuation"))
+        F.replace("text", F.lit("e"), F.lit("E")).alias("continuation"))
     return r.render_icl(items, _shots(items), "lm")
 
 

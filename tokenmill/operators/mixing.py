@@ -250,19 +250,29 @@ def sample_fewshot(
 ) -> DataFrame:
     """``k`` distinct other items for every item (fewer when there are not enough).
 
-    Items stand on a ring in hash order and take their ``k`` successors, found by one equi-join
-    on the position; no item is compared with all others.
+    Every item draws on its own: of the n - 1 others, ``k`` different numbers by Floyd's rule (draw below
+    n - k, n - k + 1, ...; a number drawn before is replaced by the highest of its step), from hashes of the
+    seed, its key and the step. So no two items' draws depend on each other, nothing is sorted by a random
+    order, and one equi-join on the position fetches the items drawn. ``key`` must be unique.
     """
     n = items.count() if size is None else size
     k = min(k, n - 1)
-    ring = shuffle(items, key, seed, "__pos")
-    shots = ring.select(
-        *[F.col(c).alias(f"item_{c}") for c in key],
-        F.explode(F.sequence(F.lit(1), F.lit(max(1, k)))).alias("shot"), "__pos",
-    ).withColumn("__pos", F.pmod(F.col("__pos") + F.col("shot"), F.lit(n)))
+    placed = dense_index(items, list(key), "__pos")
+    least = n - 1 - max(k, 1)
+
+    def draw(taken, step):
+        top = F.lit(least) + step.cast("bigint")
+        number = hash_pick(seed, top + 1, *key, step)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, number), top).otherwise(number)))
+
+    numbers = F.aggregate(F.sequence(F.lit(0), F.lit(max(k, 1) - 1)), F.array().cast("array<bigint>"), draw)
+    shots = placed.select(*[F.col(c).alias(f"item_{c}") for c in key], "__pos", F.posexplode(numbers).alias("shot", "__n")).select(
+        *[f"item_{c}" for c in key], (F.col("shot") + 1).alias("shot"),
+        (F.col("__n") + F.when(F.col("__n") >= F.col("__pos"), 1).otherwise(0)).alias("__pos"),
+    )
     if k < 1:
         shots = shots.limit(0)
-    return shots.join(ring, "__pos").drop("__pos")
+    return shots.join(placed, "__pos").drop("__pos")
 
 
 def pick_word(seed, size: int, *cols):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.functions.text import strip
+from tokenmill.sources.files import numbered_lines
 
 
 def read_eval_bundle(spark: SparkSession, folder: str, tasks: list[dict]) -> tuple[DataFrame, DataFrame]:
@@ -25,8 +26,8 @@ def read_eval_bundle(spark: SparkSession, folder: str, tasks: list[dict]) -> tup
         F.col("Eval Task").alias("task"), F.col("Random baseline").try_cast("double").alias("baseline")
     )
     files = [f"{folder}/eval_data/{t['dataset_uri']}" for t in tasks]
-    rows = spark.read.text(files, wholetext=True).select(
-        F.col("_metadata.file_path").alias("__p"), F.posexplode(F.split("value", r"\r?\n")).alias("__n", "__l")
+    rows = numbered_lines(spark, files).select(
+        F.col("__f").alias("__p"), F.col("line_no").alias("__n"), F.col("line").alias("__l")
     ).filter(strip("__l") != "")
     found = F.regexp_extract("__p", r"/eval_data/(.+)$", 1)
     # A task's data may also be a folder of files.

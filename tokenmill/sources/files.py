@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenmill.functions.text import strict_json
+from tokenmill.plans.joins import broadcast_up_to
+from tokenmill.plans.session import cut_lineage
+from tokenmill.sources.corpus import GLOB
 
 # Data file endings, and the names a split goes by.
 EXTENSIONS = (".parquet", ".json", ".jsonl", ".csv", ".tsv")
@@ -90,16 +95,86 @@ def _json_line(line):
     return F.coalesce(strict_json(line), bad)
 
 
-def read_json_any(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON file as ``(row_no, row VARIANT)``.
+#: Bytes of a file's start that decide how it is read.
+SNIFF = 1 << 20
 
-    The root may be a list, an object that holds a list under data, records or items, or a
-    single object; a file that is no JSON document is read line by line. Parsing happens in the
-    tasks, one file per row; a payload of that kind is one download.
+
+def _start_of(spark: SparkSession, path: str, n: int) -> bytes:
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
+def is_json_lines(start: bytes, whole: bool) -> bool:
+    """Whether a file that begins so holds one JSON value on each line.
+
+    A document has nothing behind its value, so a first line that is a value and is not alone tells lines. With
+    a first line longer than the start nothing can be told, and the file counts as a document. ``whole``
+    says that there is no more of the file.
+    """
+    lines = start.decode("utf-8", "replace").splitlines()
+    if not whole:
+        lines = lines[:-1]
+    filled = [x for x in lines if x.strip()]
+    if not filled or (len(filled) == 1 and whole):
+        return False
+    try:
+        json.loads(filled[0].removeprefix("\ufeff"))
+    except ValueError:
+        return False
+    return True
+
+
+def numbered_lines(spark: SparkSession, paths: Sequence[str], blank: bool = True) -> DataFrame:
+    """Lines of text files with their number in the file: ``(__f, line_no, line)``; a large file is read by many tasks.
+
+    Numbers count from 0, with ``blank=False`` only lines that are not blank. The lines of a file's block lie together in a
+    task, so a first pass counts them by block and only the blocks' few sums are put in order; no line is shuffled.
     """
-    whole = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("__f"), F.col("value").alias("__t"), strict_json("value").alias("v")
+    rows = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.col("value").alias("line")
+    )
+    if not blank:
+        rows = rows.filter(F.trim("line") != "")
+    rows = rows.withColumn("__i", F.monotonically_increasing_id())
+    blocks = rows.groupBy("__f", "__b").agg(F.min("__i").alias("__lo"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__f").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("__f", "__b", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__lo")).alias("__add"))
+    return rows.join(broadcast_up_to(cut_lineage(starts, "blocks"), BLOCKS), ["__f", "__b"]).select(
+        "__f", (F.col("__i") + F.col("__add")).alias("line_no"), "line"
     )
+
+
+#: File blocks whose places go to every task.
+BLOCKS = 500_000
+
+
+def read_json_any(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Rows of JSON files as ``(row_no, row VARIANT)``.
+
+    The root may be a list, an object that holds a list under data, records or items, or a
+    single object; a file that is no JSON document is read line by line. Each file's first bytes tell lines from
+    a document. Lines are read in blocks by many tasks; a document is one row of one task.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    files = [unquote(f) for f in spark.read.text(paths).inputFiles()]
+    kinds = {f: is_json_lines(start, len(start) < SNIFF) for f in files for start in [_start_of(spark, f, SNIFF)]}
+    literal = lambda kind: [GLOB.sub(r"\\\1", f) for f in files if kinds[f] == kind]
+    by_line, documents, parts = literal(True), literal(False), []
+    if documents:
+        parts.append(_documents(spark, documents))
+    if by_line:
+        lines = numbered_lines(spark, by_line, blank=False)
+        parts.append(lines.select(F.col("line_no").cast("int").alias("row_no"), _json_line(F.col("line")).alias("row")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _documents(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    whole = spark.read.text(list(files), wholetext=True).select(F.col("value").alias("__t"), strict_json("value").alias("v"))
     list_at = lambda v, key: F.try_variant_get(v, f"$.{key}", "array<variant>")
     inner = F.coalesce(
         F.col("v").try_cast("array<variant>"), *[list_at(F.col("v"), k) for k in ("data", "records", "items")],
@@ -107,4 +182,4 @@ def read_json_any(spark: SparkSession, path: str) -> DataFrame:
     )
     lines = F.filter(F.split("__t", r"\r?\n"), lambda x: F.trim(x) != "")
     rows = F.coalesce(inner, F.transform(lines, _json_line))
-    return whole.select("__f", F.posexplode(rows).alias("row_no", "row")).select("row_no", "row")
+    return whole.select(F.posexplode(rows).alias("row_no", "row"))
