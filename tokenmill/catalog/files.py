@@ -37,12 +37,11 @@ def jsonl_round_trip(spark, sf):
 
 @query("s6_jsonl_quarantine", VALID + """
     SELECT reason, count(*) AS n FROM (SELECT CASE WHEN n < 2 THEN 'too_few_messages' WHEN NOT ok THEN 'roles_do_not_alternate' ELSE 'none' END AS reason FROM v
-        UNION ALL SELECT 'no_json_list' FROM documents WHERE doc_id % 10 = 0) GROUP BY 1""")
+        UNION ALL SELECT 'no_json_list' FROM documents WHERE regexp_matches(text, '[^\\s]')) GROUP BY 1""")
 def jsonl_quarantine(spark, sf):
     path = scratch_path(spark, "mixed")
     lines = _nested(spark, sf).select(F.to_json("messages").alias("value"))
-    bad = table(spark, sf, "documents").filter("doc_id % 10 = 0").select(
-        F.regexp_replace(F.left("text", F.lit(30)), r"[\r\n\[]", " ").alias("value"))
+    bad = table(spark, sf, "documents").select(F.regexp_replace("text", r"[\r\n\[]", " ").alias("value"))
     blank = lines.select(F.lit("  ").alias("value"))
     lines.unionByName(bad.filter(~t.blank("value"))).unionByName(blank).write.text(path)
     good, quarantine = cv.read_conversations_jsonl(spark, path, "quarantine")
@@ -51,13 +50,13 @@ def jsonl_quarantine(spark, sf):
 
 
 @query("s7_mixed_files", """
-    SELECT event_id, event_type, round(value, 2) AS value FROM events WHERE event_id % 3 = 0""")
+    SELECT event_id, event_type, round(value, 2) AS value, CASE WHEN event_id % 3 = 0 THEN 'validation' ELSE 'train' END AS split FROM events""")
 def mixed_files(spark, sf):
     """Comma-separated validation files next to parquet training files; test falls back to them."""
     root = scratch_path(spark, "dataset")
     e = table(spark, sf, "events").select("event_id", "event_type", "value")
     e.filter("event_id % 3 = 0").write.csv(f"{root}/main/validation", header=True)
-    e.filter("event_id % 3 = 1").write.parquet(f"{root}/main/train")
+    e.filter("event_id % 3 <> 0").write.parquet(f"{root}/main/train")
     from tokenmill.sources.corpus import list_files
 
     paths = [p.split(root + "/", 1)[1] for p in list_files(spark, root, "") if p.endswith((".csv", ".parquet"))]
@@ -66,9 +65,12 @@ def mixed_files(spark, sf):
         return files.read_dataset_files(
             spark, paths, split, name, root, "event_id bigint, event_type string, value double")
 
-    df, _, used = files.load_with_fallback(load, ["main"], "test")
-    assert used == "validation"
-    return df
+    out = None
+    for split in ("test", "train"):
+        df, _, used = files.load_with_fallback(load, ["main"], split)
+        part = df.withColumn("split", F.lit(used))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("s9_json_any", """
@@ -94,12 +96,12 @@ def json_any(spark, sf):
 
 @query("s12_eval_bundle", """
     SELECT 'task' || d.lang AS task, count(*) AS n, any_value(CASE WHEN d.lang IN ('en', 'fr') THEN 25.5::DOUBLE END) AS baseline,
-           CAST(min(d.doc_id) AS BIGINT) AS low FROM documents d GROUP BY d.lang""")
+           CAST(min(d.doc_id) AS BIGINT) AS low, CAST(sum(length(d.text)) AS BIGINT) AS n_chars FROM documents d GROUP BY d.lang""")
 def eval_bundle(spark, sf):
     root = scratch_path(spark, "bundle")
     d = table(spark, sf, "documents")
     langs = [r[0] for r in d.select("lang").distinct().collect()]
-    line = F.to_json(F.struct(F.col("doc_id").alias("id"), F.left("text", F.lit(20)).alias("query")))
+    line = F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("text").alias("query")))
     # Files are bounded: each holds at most two thousand documents.
     part = F.expr("doc_id div 2000").alias("part")
     d.select("lang", part, line.alias("value")).repartition("lang", "part").select("lang", "value").write.partitionBy(
@@ -109,7 +111,8 @@ def eval_bundle(spark, sf):
     tasks = [{"label": f"task{x}", "icl_task_type": "multiple_choice", "dataset_uri": f"lang={x}", "num_fewshot": [3]} for x in langs]
     items, meta = evals.read_eval_bundle(spark, root, [{**k, "dataset_uri": k["dataset_uri"]} for k in tasks])
     return items.groupBy("task").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.try_variant_get("item", "$.id", "bigint")).alias("low")
+        F.count(F.lit(1)).alias("n"), F.min(F.try_variant_get("item", "$.id", "bigint")).alias("low"),
+        F.sum(F.length(F.try_variant_get("item", "$.query", "string"))).alias("n_chars")
     ).join(meta.select("task", "baseline"), "task")
 
 

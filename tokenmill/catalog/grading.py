@@ -94,10 +94,13 @@ def letter_match(spark, sf):
         "doc_id", g.letter_match("gold", "response").alias("lenient"), g.choice_match("gold", "response").alias("choice"))
 
 
-@query("g3_letter_exact", LETTERS + " SELECT doc_id, response = gold AS is_correct FROM a WHERE doc_id % 7 = 6")
+@query("g3_letter_exact", LETTERS + """
+    SELECT doc_id, CASE WHEN doc_id % 7 = 6 THEN response ELSE ['A', 'B', 'C', 'D'][length(response) % 4 + 1] END = gold AS is_correct FROM a""")
 def letter_exact(spark, sf):
     abc = F.array(*[F.lit(x) for x in "ABCD"])
-    rows = _letters(spark, sf).filter("doc_id % 7 = 6").withColumn("letters", abc)
+    # any other text than a letter is an error here, so it becomes one by its length
+    letter = F.when(F.col("doc_id") % 7 == 6, F.col("response")).otherwise(F.get(abc, F.length("response") % 4))
+    rows = _letters(spark, sf).withColumn("response", letter).withColumn("letters", abc)
     return rows.select("doc_id", g.letter_exact("gold", "response", "letters").alias("is_correct"))
 
 

@@ -59,13 +59,14 @@ MIX_SQL = f"""
     u AS (SELECT 0 AS task_no, 'en' AS task, 0 AS copy_no, * FROM b WHERE lang = 'en'
           UNION ALL SELECT 1, 'fr', unnest(range(3)), * FROM b WHERE lang = 'fr'
           UNION ALL SELECT 2, 'es', 0, * FROM b WHERE lang = 'es'
-          UNION ALL SELECT 3, 'es', 0, * FROM b WHERE lang = 'es')"""
+          UNION ALL SELECT 3, 'es', 0, * FROM b WHERE lang = 'es'
+          UNION ALL SELECT 4, 'de', 0, * FROM b WHERE lang = 'de')"""
 
 
 def _tasks(spark, sf):
     return [
         m.Task("en", _task(spark, sf, "en")), m.Task("fr", _task(spark, sf, "fr"), repeats=3),
-        m.Task("es", _task(spark, sf, "es")), m.Task("es", _task(spark, sf, "es"))]
+        m.Task("es", _task(spark, sf, "es")), m.Task("es", _task(spark, sf, "es")), m.Task("de", _task(spark, sf, "de"))]
 
 
 @query("u1_mixture", MIX_SQL + f"""

@@ -31,9 +31,9 @@ RENDER = """
 
 
 @query("t3_render_conversations", RENDER + """
-    SELECT conv_id, array_to_string(ids[1:600], ' ') AS ids, array_to_string(mask[1:600], ' ') AS mask FROM c""")
+    SELECT conv_id, array_to_string(ids, ' ') AS ids, array_to_string(mask, ' ') AS mask FROM c""")
 def render_conversations(spark, sf):
-    out = r.render_conversations(_answered(spark, sf), tk.byte_vocab(spark), 600)
+    out = r.render_conversations(_answered(spark, sf), tk.byte_vocab(spark), 1_000_000)
     return out.select("conv_id", _text("ids"), _text("mask"))
 
 
@@ -77,7 +77,7 @@ def render_bpe(spark, sf):
 
 
 @query("t8_collate", RENDER + """,
-    x AS (SELECT conv_id, ids[1:300] AS ids, mask[1:300] AS mask, row_number() OVER (ORDER BY conv_id) - 1 AS idx FROM c),
+    x AS (SELECT conv_id, ids, mask, row_number() OVER (ORDER BY conv_id) - 1 AS idx FROM c),
     y AS (SELECT *, idx // 8 AS batch_no, max(len(ids)) OVER (PARTITION BY idx // 8) - 1 AS w FROM x)
     SELECT idx, batch_no,
         array_to_string(list_concat(ids[1:len(ids) - 1], list_transform(range(w - len(ids) + 1), lambda z: 260)), ' ') AS inputs,
@@ -86,7 +86,7 @@ def render_bpe(spark, sf):
 def collate(spark, sf):
     from tokenmill.plans.scan import dense_index
 
-    out = r.render_conversations(_answered(spark, sf), tk.byte_vocab(spark), 300)
+    out = r.render_conversations(_answered(spark, sf), tk.byte_vocab(spark), 1_000_000)
     return r.collate(dense_index(out, ["conv_id"]), 8, 260).select("idx", "batch_no", _text("inputs"), _text("targets"))
 
 
@@ -168,9 +168,9 @@ def spans_schema(spark, sf):
 
 
 @query("n9_spans_lm", """
-    SELECT item_id, CAST(1 AS INTEGER) AS choice, CAST(strlen(left(text, 40)) + 1 AS INTEGER) AS start, CAST(strlen(text) + 1 AS INTEGER) AS "end" FROM benchmark""")
+    SELECT item_id, CAST(1 AS INTEGER) AS choice, CAST(strlen(text) + 1 AS INTEGER) AS start, CAST(2 * strlen(text) + 1 AS INTEGER) AS "end" FROM benchmark""")
 def spans_lm(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.array(F.left("text", F.lit(40)), "text")).alias("choice", "text"))
+    b = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.array("text", F.concat("text", "text"))).alias("choice", "text"))
     return r.spans(tk.tokenize(b, tk.byte_vocab(spark), ["item_id", "choice"], prepend=256), "lm").select(
         "item_id", "choice", "start", "end")
 

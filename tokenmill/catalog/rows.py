@@ -192,7 +192,7 @@ def adapt_openorca(spark, sf):
 
 
 @query("p9_share_style", """
-    WITH q AS (SELECT * FROM conversations WHERE turn % 3 <> 1),
+    WITH q AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 1 AND role <> 'system' THEN 'user' ELSE role END AS role FROM conversations),
     g AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS f FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     r AS (SELECT *, sum(f) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM g),
     m AS (SELECT conv_id, run, min(role) AS role, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM r GROUP BY ALL),
@@ -200,8 +200,9 @@ def adapt_openorca(spark, sf):
     v AS (SELECT conv_id FROM n GROUP BY conv_id HAVING bool_and(run - 1 < sys OR role = CASE WHEN (run - 1 - sys) % 2 = 0 THEN 'user' ELSE 'assistant' END))
     SELECT conv_id, string_agg(role || ':' || md5(text), ' ' ORDER BY run) AS shown FROM n JOIN v USING (conv_id) GROUP BY 1""")
 def adapt_share_style(spark, sf):
-    name = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
-    c = table(spark, sf, "conversations").filter("turn % 3 <> 1").groupBy("conv_id").agg(
+    same = (F.col("turn") % 3 == 1) & (F.col("role") != "system")
+    name = F.when(same | (F.col("role") == "user"), "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("turn", name.alias("role"), "text"))),
                     lambda x: F.struct(x["role"].alias("from"), x["text"].alias("value"))).alias("conversations"))
     conv = ad.to_conversations(c, "open_thoughts", ["conv_id"])

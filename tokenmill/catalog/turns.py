@@ -70,7 +70,7 @@ def map_roles(spark, sf):
 
 
 @query("p4_merge_same_role", """
-    WITH kept AS (SELECT * FROM conversations WHERE turn % 3 <> 1),
+    WITH kept AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 1 AND role <> 'system' THEN 'user' ELSE role END AS role FROM conversations),
     marked AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS fresh
                FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     runs AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM marked)
@@ -78,7 +78,8 @@ def map_roles(spark, sf):
            string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
     FROM runs GROUP BY conv_id, run""")
 def merge_same_role(spark, sf):
-    return t.merge_same_role(_long(spark, sf).filter("turn % 3 <> 1"))
+    role = F.when((F.col("turn") % 3 == 1) & (F.col("role") != "system"), "user").otherwise(F.col("role"))
+    return t.merge_same_role(_long(spark, sf).withColumn("role", role))
 
 
 VALID_SQL = """
@@ -204,7 +205,7 @@ def pair_messages(spark, sf):
     WITH r AS (
         SELECT conv_id, turn, text,
                CASE WHEN (conv_id + turn) % 3 = 0 THEN NULL
-                    ELSE '<think>' || role || chr(10) || '</think>  ' || left(text, 40) END AS sol,
+                    ELSE '<think>' || role || chr(10) || '</think>  ' || text END AS sol,
                CASE WHEN (conv_id + turn) % 4 < 2 THEN NULL ELSE 'attempt ' || turn END AS fb
         FROM conversations)
     SELECT conv_id, turn, """ + sql_strip("""
@@ -219,7 +220,7 @@ def build_reprompts(spark, sf):
     at = F.col("conv_id") + F.col("turn")
     r = _long(spark, sf).select(
         "conv_id", "turn", F.col("text").alias("prompt_text"),
-        F.when(at % 3 != 0, F.concat(F.lit("<think>"), "role", F.lit("\n</think>  "), F.left("text", F.lit(40))))
+        F.when(at % 3 != 0, F.concat(F.lit("<think>"), "role", F.lit("\n</think>  "), "text"))
         .alias("solution_text"),
         F.when(at % 4 >= 2, F.concat(F.lit("attempt "), "turn")).alias("feedback_text"))
     return t.build_reprompts(r, drop_thinking=True).select("conv_id", "turn", "reprompt")
