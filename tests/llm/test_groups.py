@@ -221,3 +221,16 @@ def test_stages_on_odd_rows(spark, odd, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, sheet, str(tmp_path))
             assert out.count() <= (100 if sheet is table else 0)
+
+
+def test_survivors_of_repeated_and_missing_ids(spark):
+    """Different texts of one id stay; of copies one stays, with an id if any has one; the smallest id survives."""
+    a, b, c = (prose(seed, 60) for seed in (21, 22, 23))
+    rows = [(7, a), (7, b), (3, a + " tail"), (None, c), (None, c), (None, b), (5, ""), (5, None), (None, ""), (9, a), (9, a)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert kept[0].asDict().keys() == {"doc_id", "text", "place"}
+    left = sorted(rows[r.place] for r in kept if r.text and r.doc_id is not None)
+    assert left == [(3, a + " tail"), (7, b)]
+    assert [r.text for r in kept if r.text and r.doc_id is None] == [c]
+    assert sum(not r.text for r in kept) == 3
