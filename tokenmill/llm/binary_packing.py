@@ -20,9 +20,14 @@ from pyspark.sql import functions as F
 from tokenmill.llm.batches import TABLE_ROWS, DistinctTable, lists_in_a_row, process_cache, take, text_groups
 
 PIECES = "doc_id {id}, piece_no long, start long, length long, bucket int, doc_tokens long, ids binary"
-MARK = "<|endoftext|>"
+#: A word of its own to the tokenizer, with one id; texts hardly hold it.
+MARK = "\x01"
 #: White space to ``str.split`` but not to Unicode, nor to the tokenizer, which gives it ids.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Words that are one piece to the tokenizer, so that their last token alone ends a word.
+PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+#: Bytes of UTF-8 text as the characters that a byte-level vocabulary is written in; those of plain words are enough.
+BYTE_LETTERS = {b: 0x122 + b - 0x80 for b in range(0x80, 0xA1)} | {0xAD: 0x143}
 #: Unicode White_Space.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -47,32 +52,71 @@ def lowered(text: str, special: list[str]) -> str:
 def word_encoder(spec: str):
     """Encode white-space separated words with a tokenizer that drops white space.
 
-    New words are joined with a special token between them, which the tokenizer always splits
-    off, so that one call encodes many words; where a word holds such a token, words go one by one.
+    Many new words are encoded by one call. Plain words, of lower-case letters only, are what the tokenizer's own rules leave as
+    they are but for their bytes' letters, so they go to its model at once, joined with a blank; tokens that end a word tell them apart.
+    Others are joined with a mark between them that is a word with one id. Where a word holds the mark or a special
+    token, words go one by one.
     """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
 
     tokenizer = Tokenizer.from_str(spec)
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = WhitespaceSplit()
     added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-    between = tokenizer.token_to_id(MARK) if MARK in added else None
 
     def alone(word: str) -> list[int]:
         return tokenizer.encode(word, add_special_tokens=False).ids
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    between = alone(MARK)
+    suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    if suffix:
+        ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def together(words: list[str], by: str, tokenizer: Tokenizer) -> np.ndarray:
+        lots = [by.join(words[i : i + 256]) + by for i in range(0, len(words), 256)]
+        return lists_in_a_row([x.ids for x in tokenizer.encode_batch_fast(lots, add_special_tokens=False)])[0]
+
+    def plainly(words: list[str]) -> np.ndarray:
+        lettered = "\n".join(words).encode().decode("latin-1").translate(BYTE_LETTERS)
+        return together(lettered.split("\n"), " ", bare)
+
+    # a tokenizer with other rules for plain words gets none of them this way
+    probes = [a + b for a in map(chr, range(0x61, 0x100)) if PLAIN.fullmatch(a) for b in ("", "e", "ß", "ing", "tion")]
+    if suffix and plainly(probes).tolist() != [i for w in probes for i in alone(w)]:
+        suffix = None
+
+    def marked(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "\n".join(words)
-        if between is None or any(a in joined for a in added):
+        if len(between) != 1 or MARK in joined or any(a in joined for a in added):
             return lists_in_a_row([alone(w) for w in words])
-        lots = [f" {MARK} ".join(words[i : i + 256]) + f" {MARK}" for i in range(0, len(words), 256)]
-        out = tokenizer.encode_batch_fast(lots, add_special_tokens=False)
-        ids, _ = lists_in_a_row([x.ids for x in out])
-        marks = np.flatnonzero(ids == between)
+        ids = together(words, f" {MARK} ", tokenizer)
+        marks = np.flatnonzero(ids == between[0])
         if len(marks) != len(words):
-            raise ValueError("the tokenizer does not keep its special token apart")
-        return ids[ids != between], np.diff(marks, prepend=-1) - 1
+            raise ValueError("the tokenizer does not keep the mark apart")
+        return ids[ids != between[0]], np.diff(marks, prepend=-1) - 1
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [PLAIN.fullmatch(w) is not None for w in words] if suffix else [False] * len(words)
+        easy = [w for w, p in zip(words, plain) if p]
+        ids = plainly(easy) if easy else np.empty(0, np.int64)
+        last = np.flatnonzero(ends[ids])
+        if len(last) != len(easy):
+            return marked(words)
+        hard = [w for w, p in zip(words, plain) if not p]
+        more, n_more = marked(hard) if hard else (np.empty(0, np.int64), np.empty(0, np.int64))
+        # both kinds back in the order of the words
+        n = np.zeros(len(words), np.int64)
+        at = np.array(plain, bool)
+        n[at], n[~at] = np.diff(last, prepend=-1), n_more
+        out = np.empty(int(n.sum()), np.int64)
+        owner = np.repeat(at, n)
+        out[owner], out[~owner] = ids, more
+        return out, n
 
     return encode
 
