@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -36,6 +37,71 @@ def test_state_survives_a_restart(spark, tmp_path):
         assert got[column].tolist() == want[column].tolist()
 
 
+def test_steps_in_any_order_over_triggers(spark, tmp_path):
+    """Shuffled arrival over four restarts, with repeated rows, equals the batch answer; a step waits for those before it."""
+    feed, out = str(tmp_path / "feed"), {n: str(tmp_path / n) for n in ("ema", "stop", "c1", "c2")}
+    whole = _log(spark, 0, 60)
+    rows = whole.collect()
+    np.random.default_rng(4).shuffle(rows)
+    parts = [rows[i::4] for i in range(4)]
+    parts[2] += parts[0][:9]
+    for part in parts:
+        spark.createDataFrame([tuple(r) for r in part], whole.schema).coalesce(1).write.mode("append").parquet(feed)
+        source = spark.readStream.schema(whole.schema).parquet(feed)
+        jobs.run_available(jobs.stream_ema(source, 0.9), out["ema"], out["c1"])
+        jobs.run_available(jobs.stream_early_stop(source.withColumnRenamed("loss", "value"), 4, 0.2), out["stop"], out["c2"])
+    key = ["run", "step"]
+    got, want = spark.read.parquet(out["ema"]).orderBy(*key).toPandas(), tr.ema(whole, 0.9).orderBy(*key).toPandas()
+    assert len(got) == 120 and np.allclose(got.debiased, want.debiased) and np.allclose(got.smooth, want.smooth)
+    got = spark.read.parquet(out["stop"]).orderBy(*key).toPandas()
+    want = tr.early_stop(whole.withColumnRenamed("loss", "value"), 4, 0.2).orderBy(*key).toPandas()
+    for column in ("improved", "best", "bad_evals", "should_stop"):
+        assert got[column].tolist() == want[column].tolist()
+
+
+class FakeState:
+    """Value, map and timers of one key, with the most map entries that were held."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.most = None, {}, [], 0
+
+    def getValueState(self, *_):
+        return type("V", (), {"exists": lambda s: self.value is not None, "get": lambda s: self.value, "update": lambda s, v: setattr(self, "value", v)})()
+
+    def getMapState(self, *_):
+        def put(_, k, v):
+            self.map[k] = v
+            self.most = max(self.most, len(self.map))
+
+        return type("M", (), {
+            "exists": lambda s: bool(self.map), "containsKey": lambda s, k: k in self.map, "getValue": lambda s, k: self.map[k],
+            "updateValue": put, "removeKey": lambda s, k: self.map.pop(k), "keys": lambda s: iter(list(self.map)), "clear": lambda s: self.map.clear()})()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_state_is_bounded_by_what_is_out_of_order():
+    """A long run in order keeps nothing waiting, one displaced step only what came before it; a timer passes over a lost step."""
+    now = type("T", (), {"getCurrentProcessingTimeInMs": lambda s: 1000})()
+
+    def fold(batches, wait=None):
+        state = FakeState()
+        job = jobs.InOrder("loss", "", (0,), lambda c, v: ((c[0] + 1,), (c[0],)), ["run", "step", "loss", "n"], 0, wait)
+        job.init(state)
+        out = [f for f in job.handleInputRows(("a",), iter([pd.DataFrame({"step": b, "loss": [0.5] * len(b)}) for b in batches]), now)]
+        return state, job, out
+
+    state, _, out = fold([range(i, i + 5000) for i in range(0, 50_000, 5000)])
+    assert state.most == 0 and sum(map(len, out)) == 50_000 and max(map(len, out)) <= jobs.OUT_ROWS
+    state, _, out = fold([range(0, 10), range(20, 30), range(10, 20)])
+    assert state.most == 10 and not state.map and [s for f in out for s in f.step] == list(range(30))
+    state, job, out = fold([range(0, 5), range(7, 9)], wait=50)
+    assert state.timers == [1050] and [s for f in out for s in f.step] == list(range(5))
+    (late,) = job.handleExpiredTimer(("a",), now, None)
+    assert late.step.tolist() == [7, 8] and state.value[0] == 9 and not state.map
+
+
 def test_corpus_stream_resumes_without_repeats(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     feed, out, at = (str(tmp_path / n) for n in ("feed", "out", "at"))

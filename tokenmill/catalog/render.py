@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokenmill.catalog.base import query, sql_fewshot, table
+from tokenmill.catalog.tokens import _SQL_PATTERN, _W, _merge_sql
 from tokenmill.operators import mixing as m, render as r, tokens as tk, turns as t
 from tokenmill.plans.session import spread
 
@@ -37,6 +38,14 @@ def render_conversations(spark, sf):
     return out.select("conv_id", _text("ids"), _text("mask"))
 
 
+@query("t3_cut_conversations", RENDER + """
+    SELECT conv_id, CAST(least(len(ids), 600) AS INTEGER) AS n_ids, CAST(greatest(len(ids) - 600, 0) AS INTEGER) AS n_cut, md5(array_to_string(ids[1:600], ' ')) AS digest FROM c""")
+def cut_conversations(spark, sf):
+    """A limit of 600 ids, and how many each conversation loses by it."""
+    out = r.render_conversations(_answered(spark, sf), tk.byte_vocab(spark), 600)
+    return out.select("conv_id", F.size("ids").alias("n_ids"), "n_cut", F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("digest"))
+
+
 @query("t3_render_tool_parts", """
     SELECT conv_id, turn, 8 + 2 * strlen(text) + strlen(CAST(length(text) AS VARCHAR)) + 1 AS n_ids,
            2 * strlen(text) + 3 AS n_trained FROM conversations WHERE role = 'assistant'""")
@@ -67,7 +76,20 @@ def render_prompts(spark, sf):
     return out.select("conv_id", F.size("ids").cast("bigint").alias("n_ids"))
 
 
-@query("t3_render_bpe")
+# Words of all turns count for the merges; the turns as rendered, with the system turn folded in, count nothing but are encoded.
+BPE = RENDER[: RENDER.index("    b AS (")].replace(" m AS (", " t AS (").replace("FROM m WHERE", "FROM t WHERE") + f"""
+    a AS (SELECT NULL AS conv_id, NULL AS turn, text, 1 AS k FROM conversations UNION ALL SELECT conv_id, turn, text, 0 FROM f),
+    m AS (SELECT * REPLACE (regexp_replace(text, '([\\t\\x0b\\x0c\\x20\\x85\\p{{Z}}])([\\t\\x0b\\x0c\\x20\\x85\\p{{Z}}][^{_W}])', '\\1' || chr(1) || '\\2', 'g') AS text) FROM a),
+    w AS (SELECT conv_id, turn, k, unnest(regexp_extract_all(text, '{_SQL_PATTERN}')) AS word FROM m)"""
+
+
+@query("t3_render_bpe", _merge_sql(16, BPE, "sum(k)") + """,
+    l AS (SELECT conv_id, turn, sum(length(t)) AS n FROM w JOIN w16 USING (word) WHERE k = 0 GROUP BY ALL),
+    s AS (SELECT f.conv_id, role, coalesce(n, 0) AS n, 1 + coalesce(sum(coalesce(n, 0) + 2) OVER (PARTITION BY f.conv_id ORDER BY f.turn
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM f LEFT JOIN l USING (conv_id, turn))
+    SELECT conv_id, CAST(least(2048, 1 + sum(n + 2)) AS INTEGER) AS n_ids,
+           CAST(sum(CASE WHEN role = 'assistant' THEN greatest(0, least(2048, first + n + 2) - (first + 1)) ELSE 0 END) AS BIGINT) AS n_trained
+    FROM s GROUP BY 1""")
 def render_bpe(spark, sf):
     words = tk.count_pretokens(table(spark, sf, "conversations"))
     vocab = tk.vocab_table(tk.train_bpe(words, 256 + 16 + 9))

@@ -39,16 +39,16 @@ def pretokens_by_language(spark, sf):
         F.sum(F.col("n") * F.length("word")).alias("n_chars"))
 
 
-def _merge_sql(n: int = 24) -> str:
-    """Tables of ``n`` merges, each learned from the words after the one before.
+def _merge_sql(n: int = 24, words: str = WORDS, times: str = "count(*)") -> str:
+    """Tables of ``n`` merges, each learned from the words after the one before; ``words`` ends with the table w of words.
 
     A token is one character; p0, p1, ... hold the merged pairs, the last v spells every token
     and the last w has each word as tokens. Ties go to the smaller left, then right bytes.
     """
     at = 19968
-    sql = WORDS + f""",
+    sql = words + f""",
     w0 AS MATERIALIZED (SELECT word, n, array_to_string(list_transform(regexp_extract_all(hex(encode(word)), '..'),
-        lambda x: chr({at} + CAST(('0x' || x) AS INTEGER))), '') AS t FROM (SELECT word, count(*) AS n FROM w GROUP BY word)),
+        lambda x: chr({at} + CAST(('0x' || x) AS INTEGER))), '') AS t FROM (SELECT word, {times} AS n FROM w GROUP BY word)),
     v0 AS (SELECT chr({at} + CAST(i AS INTEGER)) AS c, printf('%02X', i) AS spelled FROM range(256) r(i))"""
     for k in range(n):
         new = at + 256 + k

@@ -87,11 +87,11 @@ def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, by: Sequence[str] =
     frequent.
     """
     vocab = broadcast_up_to(token_bytes.filter("n_bytes > 0").select("token_id", "n_bytes"), MAX_VOCAB)
-    used = losses.filter("token_id >= 0").join(vocab, "token_id")
-    sums = used.groupBy(*by).agg(F.sum("loss").alias("nats"), F.sum("n_bytes").alias("n_bytes"))
-    if by:
-        groups = losses.select(*by).distinct()
-        sums = groups.join(sums, list(by), "left")
+    # groups without a counted token stay, so tokens are looked up by an outer join and counted where they have bytes
+    counted = (F.col("token_id") >= 0) & F.col("n_bytes").isNotNull()
+    sums = losses.join(vocab, "token_id", "left").groupBy(*by).agg(
+        F.sum(F.when(counted, F.col("loss"))).alias("nats"), F.sum(F.when(counted, F.col("n_bytes"))).alias("n_bytes")
+    )
     n = F.coalesce("n_bytes", F.lit(0))
     return sums.select(
         *by, n.cast("bigint").alias("n_bytes"),
@@ -253,7 +253,7 @@ def score_choices(losses: DataFrame, spans: DataFrame) -> DataFrame:
     ``losses(item_id, choice, pos, loss)`` where position p predicts token p + 1;
     ``spans(item_id, choice, start, end, gold)``.
     """
-    inside = losses.join(spans, ["item_id", "choice"]).filter(
+    inside = skew_join(losses, spans, ["item_id", "choice"]).filter(
         (F.col("pos") >= F.col("start") - 1) & (F.col("pos") < F.col("end") - 1)
     )
     means = inside.groupBy("item_id", "choice").agg(F.avg("loss").alias("m"), F.max("gold").alias("gold"))
@@ -268,7 +268,7 @@ def score_continuation(predictions: DataFrame, spans: DataFrame) -> DataFrame:
     ``predictions(item_id, pos, predicted, actual)``: the prediction made at ``pos`` and the
     token that follows; ``spans(item_id, start, end)``.
     """
-    return predictions.join(spans, "item_id").filter(
+    return skew_join(predictions, spans, ["item_id"]).filter(
         (F.col("pos") >= F.col("start") - 1) & (F.col("pos") < F.col("end") - 1)
     ).groupBy("item_id").agg(F.bool_and(F.col("predicted") == F.col("actual")).alias("is_correct"))
 

@@ -57,7 +57,7 @@ def _segments(sp: dict[str, int]) -> Column:
 def render_conversations(
     turns: DataFrame, vocab: DataFrame, max_tokens: int = 2048, on_invalid: str = "error"
 ) -> DataFrame:
-    """``(conv_id, ids, mask)`` of each conversation.
+    """``(conv_id, ids, mask, n_cut)`` of each conversation; n_cut ids beyond ``max_tokens`` are left out.
 
     ``turns(conv_id, turn, role, text[, parts])``. A system turn is folded into the next user
     turn. Roles must then alternate from the user; otherwise the job fails, or the conversation
@@ -106,6 +106,7 @@ def render_conversations(
     return per.select(
         F.col("conv_id").cast(key_type).alias("conv_id"),
         F.slice(ids, 1, max_tokens).alias("ids"), F.slice(mask, 1, max_tokens).alias("mask"),
+        F.greatest(F.size(ids) - max_tokens, F.lit(0)).alias("n_cut"),
     )
 
 

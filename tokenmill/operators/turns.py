@@ -344,7 +344,7 @@ def assemble_programs(responses: DataFrame, tasks: DataFrame, kind: str) -> Data
     test_setup_code, test_list, challenge_test_list), the code, the setup and the assertions;
     program is null without any assertion.
     """
-    both = responses.join(tasks, "item_id")
+    both = skew_join(responses, tasks, ["item_id"])
     code = code_of("text")
     if kind == "check":
         program = F.concat(

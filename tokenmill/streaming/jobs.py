@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from tokenmill.operators.tokens import tokenize
 from tokenmill.operators.turns import LIMITS
@@ -27,12 +28,23 @@ def stream_corpus(
     return reader.parquet(path)
 
 
+#: Keyed state of the jobs below lives in this store.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process all that is there into parquet files, then stop."""
-    query = (
-        df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode(mode).trigger(availableNow=True).start()
-    )
+    conf = df.sparkSession.conf
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, STATE_STORE)
+    try:
+        query = (
+            df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode(mode).trigger(availableNow=True).start()
+        )
+    finally:
+        conf.set(name, before)
     query.awaitTermination()
 
 
@@ -41,53 +53,124 @@ def stream_tokens(docs: DataFrame, vocab: DataFrame, key: list[str], bos: int |
     return tokenize(docs, vocab, key, prepend=bos)
 
 
-def stream_ema(step_log: DataFrame, beta: float = 0.9) -> DataFrame:
-    """Debiased moving average per run of ``step_log(run, step, loss)``.
+#: Rows that a job hands on at once.
+OUT_ROWS = 2048
+
+
+class InOrder(StatefulProcessor):
+    """Fold the steps of a run in their order, whatever order they arrive in.
 
-    The state is the average and the number of steps. Rows of a run are taken in step order
-    within a trigger, and triggers are taken to arrive in step order. A trigger's rows of one
-    run are held at once: bound them with the source's ``maxFilesPerTrigger``.
+    The state of a run is the next step, what the fold carries, and the steps that arrived before their turn. A
+    step is folded as soon as all before it have been; one that was folded already is left out as
+    a repetition. Rows of a trigger are taken a batch at a time and never put together. Where steps do not
+    come within ``wait_ms`` of processing time, a timer lets the run go on with the steps it has.
     """
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s, n = state.get if state.exists else (0.0, 0)
-        rows = pd.concat(list(batches)).sort_values("step")
-        smooth, debiased = [], []
-        for x in rows["loss"]:
-            s, n = beta * s + (1 - beta) * x, n + 1
-            smooth.append(s)
-            debiased.append(s / (1 - beta**n))
-        state.update((s, n))
-        yield pd.DataFrame({
-            "run": key[0], "step": rows["step"].to_numpy(), "loss": rows["loss"].to_numpy(),
-            "smooth": smooth, "debiased": debiased,
-        })
-
-    return step_log.select("run", "step", "loss").groupBy("run").applyInPandasWithState(
-        update, "run string, step bigint, loss double, smooth double, debiased double", "s double, n bigint",
-        "append", "NoTimeout",
+    def __init__(self, value: str, state: str, start: tuple, advance: Callable, columns: list[str], first_step: int, wait_ms: int | None):
+        self.value, self.state, self.start, self.advance = value, state, start, advance
+        self.columns, self.first_step, self.wait_ms = columns, first_step, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.carried = handle.getValueState("carried", f"next bigint, {self.state}")
+        self.early = handle.getMapState("early", "step bigint", "value double")
+
+    def _load(self) -> tuple[int, tuple]:
+        if not self.carried.exists():
+            return self.first_step, self.start
+        nxt, *carried = self.carried.get()
+        return nxt, tuple(carried)
+
+    def _frame(self, run: str, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(run, *r) for r in rows], columns=self.columns)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        nxt, carried = self._load()
+        waiting, out = False, []
+        for batch in rows:
+            ordered = batch.sort_values("step")
+            for step, value in zip(ordered["step"].tolist(), ordered[self.value].tolist()):
+                if step == nxt:
+                    carried, row = self.advance(carried, value)
+                    out.append((step, value, *row))
+                    nxt += 1
+                elif step > nxt:
+                    self.early.updateValue((step,), (value,))
+                    waiting = True
+                if len(out) >= OUT_ROWS:
+                    yield self._frame(key[0], out)
+                    out = []
+            # steps that were waiting for one of this batch
+            while self.early.exists() and self.early.containsKey((nxt,)):
+                value = self.early.getValue((nxt,))[0]
+                self.early.removeKey((nxt,))
+                carried, row = self.advance(carried, value)
+                out.append((nxt, value, *row))
+                nxt += 1
+                if len(out) >= OUT_ROWS:
+                    yield self._frame(key[0], out)
+                    out = []
+        self.carried.update((nxt, *carried))
+        if waiting and self.wait_ms is not None and self.early.exists():
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+        if out:
+            yield self._frame(key[0], out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        nxt, carried = self._load()
+        out = []
+        for step in sorted(k[0] for k in self.early.keys()) if self.early.exists() else []:
+            if step >= nxt:
+                value = self.early.getValue((step,))[0]
+                carried, row = self.advance(carried, value)
+                out.append((step, value, *row))
+                nxt = step + 1
+        self.early.clear()
+        self.carried.update((nxt, *carried))
+        yield self._frame(key[0], out)
+
+
+def _fold_in_order(
+    df: DataFrame, value: str, state: str, start: tuple, advance: Callable, fields: str, first_step: int, wait_ms: int | None
+) -> DataFrame:
+    schema = f"run string, step bigint, {value} double, {fields}"
+    columns = StructType.fromDDL(schema).names
+    return df.select("run", "step", value).groupBy("run").transformWithStateInPandas(
+        InOrder(value, state, start, advance, columns, first_step, wait_ms), schema, "append", "processingTime" if wait_ms is not None else "none"
     )
 
 
-def stream_early_stop(metrics: DataFrame, patience: int, min_delta: float = 0.0) -> DataFrame:
-    """Early-stopping signal per run of ``metrics(run, step, value)``; the state is the best
-    value and the evaluations since."""
+def stream_ema(step_log: DataFrame, beta: float = 0.9, first_step: int = 0, wait_ms: int | None = None) -> DataFrame:
+    """Debiased moving average per run of ``step_log(run, step, loss)``, whose steps count from ``first_step`` on.
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, bad = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values("step")
-        out = []
-        for step, value in zip(rows["step"], rows["value"]):
-            improved = best is None or value < best - min_delta
-            best, bad = (value, 0) if improved else (best, bad + 1)
-            out.append((key[0], step, value, improved, best, bad, bad >= patience))
-        state.update((best, bad))
-        yield pd.DataFrame(out, columns=["run", "step", "value", "improved", "best", "bad_evals", "should_stop"])
-
-    return metrics.select("run", "step", "value").groupBy("run").applyInPandasWithState(
-        update,
-        "run string, step bigint, value double, improved boolean, best double, bad_evals bigint, should_stop boolean",
-        "best double, bad bigint", "append", "NoTimeout",
+    Steps may arrive in any order, also over triggers; see ``InOrder``. The state is the average and the number of steps.
+    """
+
+    def advance(carried, loss):
+        s, n = carried
+        s, n = beta * s + (1 - beta) * loss, n + 1
+        return (s, n), (s, s / (1 - beta**n))
+
+    return _fold_in_order(step_log, "loss", "s double, n bigint", (0.0, 0), advance, "smooth double, debiased double", first_step, wait_ms)
+
+
+def stream_early_stop(
+    metrics: DataFrame, patience: int, min_delta: float = 0.0, first_step: int = 0, wait_ms: int | None = None
+) -> DataFrame:
+    """Early-stopping signal per run of ``metrics(run, step, value)``, steps in any order as in ``stream_ema``.
+
+    The state is the best value and the evaluations since.
+    """
+
+    def advance(carried, value):
+        best, bad = carried
+        improved = best is None or value < best - min_delta
+        best, bad = (value, 0) if improved else (best, bad + 1)
+        return (best, bad), (improved, best, bad, bad >= patience)
+
+    return _fold_in_order(
+        metrics, "value", "best double, bad bigint", (None, 0), advance,
+        "improved boolean, best double, bad_evals bigint, should_stop boolean", first_step, wait_ms,
     )
 
 
