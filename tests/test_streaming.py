@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
+from tokenmill.catalog import streams
 from tokenmill.operators import training as tr
 from tokenmill.operators.tokens import byte_vocab
 from tokenmill.sources import row_groups
@@ -114,6 +115,20 @@ def test_corpus_stream_resumes_without_repeats(spark, tmp_path):
     assert got.join(docs, "doc_id").filter(F.size("ids") != F.octet_length("text") + 1).isEmpty()
 
 
+def test_corpus_stream_of_a_file_and_of_a_folder(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one, many = str(tmp_path / "one.parquet"), str(tmp_path / "many" / "documents.parquet")
+    pq.write_table(docs.toArrow(), one)
+    docs.repartition(3).write.parquet(many)
+    for i, path in enumerate((one, many, many + "/")):
+        out = str(tmp_path / f"out{i}")
+        jobs.run_available(jobs.stream_corpus(spark, path, docs.schema), out, str(tmp_path / f"at{i}"))
+        assert spark.read.parquet(out).exceptAll(docs).isEmpty() and spark.read.parquet(out).count() == docs.count()
+    tables = tmp_path / "many"
+    got = streams.stream_corpus(spark, str(tables))
+    assert got.count() == docs.count()
+
+
 def test_a_rank_stops_inside_files_and_goes_on(spark, tmp_path):
     """Every stop is a restart on the checkpoint; no row group is repeated or left out, over files and epochs."""
     files, ids = [], iter(range(10_000))

@@ -32,7 +32,7 @@ def _run(spark, stream):
 
 @query("st1_stream_corpus", "SELECT doc_id, strlen(text) + 1 AS n_tokens FROM documents")
 def stream_corpus(spark, sf):
-    docs = jobs.stream_corpus(spark, sf, table(spark, sf, "documents").schema, glob="documents.parquet")
+    docs = jobs.stream_corpus(spark, f"{sf}/documents.parquet", table(spark, sf, "documents").schema)
     tokens = jobs.stream_tokens(docs, byte_vocab(spark), ["doc_id"], bos=256)
     return _run(spark, tokens.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens")))
 

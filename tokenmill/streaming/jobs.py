@@ -12,12 +12,13 @@ from pyspark.sql.types import StructType
 
 from tokenmill.operators.tokens import tokenize
 from tokenmill.operators.turns import LIMITS
+from tokenmill.sources.corpus import GLOB
 
 
 def stream_corpus(
     spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16, glob: str | None = None
 ) -> DataFrame:
-    """Unbounded scan of a growing corpus folder.
+    """Unbounded scan of a corpus: a growing folder, or one file.
 
     The position lives in the query's checkpoint: a restarted query goes on with the files it
     has not finished and repeats none.
@@ -25,7 +26,10 @@ def stream_corpus(
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(path)
+    # as a pattern the path may also be a file, which the stream would else take for the root of a partitioned table
+    place = path.rstrip("/")
+    plain = GLOB.search(place) is None and place[-1].isalnum()
+    return reader.parquet(f"{place[:-1]}[{place[-1]}]" if plain else path)
 
 
 #: Keyed state of the jobs below lives in this store.
