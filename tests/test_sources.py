@@ -191,6 +191,17 @@ def test_large_json_lines_are_read_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_small_json_files_are_not_opened_by_the_driver(spark, tmp_path, monkeypatch):
+    """Lines and documents are told apart in the tasks, with any line end."""
+    for i in range(40):
+        write(tmp_path / "in" / f"d{i}.json", json.dumps({"records": [i, i]}))
+        write(tmp_path / "in" / f"l{i}.txt", f"{i}\r\n\n{i}\n{i}")
+    opened = []
+    monkeypatch.setattr(files, "_start_of", lambda *a: opened.append(a))
+    rows = files.read_json_any(spark, str(tmp_path / "in")).select("row_no", F.col("row").cast("int").alias("v")).collect()
+    assert sorted((r.v, r.row_no) for r in rows) == sorted((i, k) for i in range(40) for k in (0, 1, 0, 1, 2)) and not opened
+
+
 def test_eval_bundle(spark, tmp_path):
     write(tmp_path / "eval_data" / "x" / "t.jsonl", '{"query": "q", "gold": 1}\n\n{"query": "r", "gold": 0}\n')
     write(tmp_path / "eval_meta_data.csv", "Eval Task,Random baseline,More\nT,25,z\n")

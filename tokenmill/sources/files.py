@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Callable, Sequence
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
@@ -95,7 +97,7 @@ def _json_line(line):
     return F.coalesce(strict_json(line), bad)
 
 
-#: Bytes of a file's start that decide how it is read.
+#: Files of so many bytes are looked at by the driver, so many bytes of each; they decide how it is read.
 SNIFF = 1 << 20
 
 
@@ -157,29 +159,33 @@ def read_json_any(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Rows of JSON files as ``(row_no, row VARIANT)``.
 
     The root may be a list, an object that holds a list under data, records or items, or a
-    single object; a file that is no JSON document is read line by line. Each file's first bytes tell lines from
-    a document. Lines are read in blocks by many tasks; a document is one row of one task.
+    single object; a file that is no JSON document is read line by line. A file of less than ``SNIFF`` bytes, or than
+    Spark gives to a task, is one row, which tells lines from a document; of a larger one the driver looks at the first
+    bytes, and lines are read in blocks by many tasks, while a document is one row.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    files = [unquote(f) for f in spark.read.text(paths).inputFiles()]
-    kinds = {f: is_json_lines(start, len(start) < SNIFF) for f in files for start in [_start_of(spark, f, SNIFF)]}
-    literal = lambda kind: [GLOB.sub(r"\\\1", f) for f in files if kinds[f] == kind]
-    by_line, documents, parts = literal(True), literal(False), []
+    number, unit = re.fullmatch(r"(\d+)\s*([kmg]?)i?b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    small = F.col("_metadata.file_size") < min(SNIFF, int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit])
+    large = [unquote(r[0]) for r in spark.read.format("binaryFile").load(paths).filter(~small).select("_metadata.file_path").collect()]
+    kinds = {f: is_json_lines(start, len(start) < SNIFF) for f in large for start in [_start_of(spark, f, SNIFF)]}
+    literal = lambda kind: [GLOB.sub(r"\\\1", f) for f in large if kinds[f] == kind]
+    by_line, documents = literal(True), literal(False)
+    parts = [_documents(spark.read.text(paths, wholetext=True).filter(small))]
     if documents:
-        parts.append(_documents(spark, documents))
+        parts.append(_documents(spark.read.text(documents, wholetext=True)))
     if by_line:
         lines = numbered_lines(spark, by_line, blank=False)
         parts.append(lines.select(F.col("line_no").cast("int").alias("row_no"), _json_line(F.col("line")).alias("row")))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _documents(spark: SparkSession, files: Sequence[str]) -> DataFrame:
-    whole = spark.read.text(list(files), wholetext=True).select(F.col("value").alias("__t"), strict_json("value").alias("v"))
+def _documents(files: DataFrame) -> DataFrame:
+    whole = files.select(F.col("value").alias("__t"), strict_json("value").alias("v"))
     list_at = lambda v, key: F.try_variant_get(v, f"$.{key}", "array<variant>")
     inner = F.coalesce(
         F.col("v").try_cast("array<variant>"), *[list_at(F.col("v"), k) for k in ("data", "records", "items")],
         F.when(F.col("v").isNotNull(), F.array("v")),
     )
-    lines = F.filter(F.split("__t", r"\r?\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split("__t", r"\r\n?|\n"), lambda x: F.trim(x) != "")
     rows = F.coalesce(inner, F.transform(lines, _json_line))
     return whole.select(F.posexplode(rows).alias("row_no", "row"))
