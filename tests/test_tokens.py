@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -178,3 +179,14 @@ def test_long_words(docs, vocab):
             _, i = min(pairs)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         assert tk._encode_word(word, ranks) == [ranks[p] for p in parts]
+
+
+def test_a_batch_is_encoded_in_bounded_slices(spark, monkeypatch):
+    """Rows lie in one slice each, in order; ids do not depend on the slices."""
+    lists = pa.array([["ab", "c"], [], ["d" * 50], None, ["e"], ["f" * 9, "g"]], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), lists], names=["k", "words"])
+    monkeypatch.setattr(tk, "SLICE_BYTES", 8)
+    for whole in (batch, batch.slice(1), batch.slice(2, 0)):
+        parts = list(tk.slices(whole, "words"))
+        assert [r for p in parts for r in p.to_pylist()] == whole.to_pylist()
+    assert [p.num_rows for p in tk.slices(batch, "words")] == [3, 3]
