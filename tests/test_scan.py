@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tokenmill.plans import scan
 from tokenmill.plans.scan import BLOCK, dense_index, greedy_chain, ordered_scan, prefix_sum, with_blocks
 
 
@@ -110,3 +111,17 @@ def test_chain_of_ten_thousand_chunks(spark):
     got = greedy_chain(df, "pos", "level", 100.0, chunk=16, fan=128)
     assert [r.pos for r in got.orderBy("pos").limit(3).collect()] == [0, 34, 68] and got.count() == -(-200_000 // 34)
     assert greedy_chain(df.limit(0), "pos", "level", 1.0).count() == 0
+
+
+def test_many_small_groups_are_scanned_without_blocks(spark, monkeypatch):
+    """Only a group with a large part of the rows is cut into blocks; both ways give the same."""
+    df = spark.range(6000).select((F.col("id") % 700).alias("g"), F.col("id").alias("o"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("v"))
+    outputs = {"n": ("count", F.lit(1), False), "s": ("sum", F.col("v"), True), "lo": ("min", F.col("v"), False), "hi": ("max", F.col("v"), True)}
+    calls, plain = [], scan.with_blocks
+    monkeypatch.setattr(scan, "with_blocks", lambda *a: calls.append(1) or plain(*a))
+    whole = lambda blocks: sorted(tuple(r) for r in scan.ordered_scan(df, ["o"], outputs, ["g"], blocks=blocks).collect())
+    small = whole(None)
+    assert not calls and small == whole(8) and len(calls) == 1
+    hot = df.withColumn("g", F.when(F.col("g") < 100, 0).otherwise(F.col("g")))
+    scan.dense_index(hot, ["o"], by=["g"]).count()
+    assert len(calls) == 2

@@ -4,7 +4,8 @@ A window without a partition pulls all rows into one task, and a window partitio
 key pulls a third of them there. Here the order is cut into blocks of about equal row count,
 each block is totalled by a plain aggregation, the few block totals are chained, and every row
 adds its block's offset to a window that never leaves the block. A block is a fixed function
-of the order key, so recomputed tasks see the same blocks.
+of the order key, so recomputed tasks see the same blocks. Many groups without a large one need
+no blocks: there a window over each group is spread well.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenmill.plans.joins import hot_keys
 from tokenmill.plans.session import cut_lineage
 
 MAX_BLOCKS = 2048
@@ -78,6 +80,16 @@ def hash_blocks(key_col: str, digits: int = 3) -> Column:
 _LOCAL = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
+def _scan_groups(df: DataFrame, order: Sequence[Column], outputs: dict[str, tuple], by: Sequence[str]) -> DataFrame:
+    """Running aggregates of groups that are dealt out whole."""
+    group = Window.partitionBy(*by).orderBy(*order)
+    new = []
+    for name, (kind, expr, inclusive) in outputs.items():
+        value = _LOCAL[kind](expr).over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
+        new.append((F.coalesce(value, F.lit(0)) if kind in ("sum", "count") else value).alias(name))
+    return df.select(*[c for c in df.columns if c not in outputs], *new)
+
+
 def ordered_scan(
     df: DataFrame,
     order: Sequence[Column | str],
@@ -91,9 +103,12 @@ def ordered_scan(
     ``outputs`` maps a new column to ``(kind, expression, inclusive)`` with kind sum, count,
     min or max. ``order`` must be unique within a group; group columns must not be null.
     ``block`` may name an expression that is monotone in the order, such as ``hash_blocks``.
+    Where no group has a large part of the rows, by a sample of them, a group is one window and there are no blocks.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     by = list(by)
+    if by and block is None and blocks is None and not hot_keys(df, by, nulls=True):
+        return _scan_groups(df, order, outputs, by)
     if block is not None:
         cut = df.withColumn(BLOCK, block)
     else:
