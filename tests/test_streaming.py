@@ -129,6 +129,21 @@ def test_corpus_stream_of_a_file_and_of_a_folder(spark, tmp_path):
     assert got.count() == docs.count()
 
 
+def test_a_feed_reads_its_table_once(spark):
+    """The cost of a feed grows with its rows, not with rows times batches."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(step):
+        seen.add(1)
+        return step
+
+    steps = spark.range(400).coalesce(1).select(F.udf(passed, "bigint")("id").alias("step"))
+    path = streams._feed(spark, steps, "step", 50)
+    assert seen.value == 400
+    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_path"), F.col("_metadata.file_modification_time").alias("at")).agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
+    assert [(r.lo, r.hi) for r in files.orderBy("at").collect()] == [(i, i + 49) for i in range(0, 400, 50)]
+
+
 def test_a_rank_stops_inside_files_and_goes_on(spark, tmp_path):
     """Every stop is a restart on the checkpoint; no row group is repeated or left out, over files and epochs."""
     files, ids = [], iter(range(10_000))

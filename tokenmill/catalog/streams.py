@@ -18,9 +18,11 @@ def _feed(spark, df, order=None, per_batch=20_000):
     if order is None:
         df.write.parquet(path)
         return path
-    last = df.agg(F.max(order)).first()[0]
-    for low in range(0, last + 1, per_batch):
-        df.filter(F.col(order).between(low, low + per_batch - 1)).coalesce(1).write.mode("append").parquet(path)
+    # The table is cut into batches once; then each batch reads its own rows alone.
+    cut = scratch_path(spark, "batches")
+    df.withColumn("__batch", F.expr(f"{order} div {per_batch}")).repartition("__batch").write.partitionBy("__batch").parquet(cut)
+    for (batch,) in spark.read.parquet(cut).select("__batch").distinct().orderBy("__batch").collect():
+        spark.read.schema(df.schema).parquet(f"{cut}/__batch={batch}").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
     return path
 
 

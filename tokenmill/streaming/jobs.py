@@ -38,17 +38,20 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process all that is there into parquet files, then stop."""
-    conf = df.sparkSession.conf
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name)
-    conf.set(name, STATE_STORE)
+    spark = df.sparkSession
+    # every trigger opens each partition of the state, so a new query has one for each core
+    own = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         query = (
             df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
             .outputMode(mode).trigger(availableNow=True).start()
         )
     finally:
-        conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     query.awaitTermination()
 
 
