@@ -53,6 +53,18 @@ def test_functions_travel_by_value():
     assert "tokenmill" in cloudpickle.list_registry_pickle_by_value()
 
 
+def test_scans_of_uneven_tasks_are_spread(spark, tmp_path):
+    """One task more than cores takes two rounds."""
+    from tokenmill.plans.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 900, 1, cores + 1)
+    counts = spread(rows, "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(counts) == 2 * cores and sum(r["count"] for r in counts) == 900
+    even = spark.range(0, 900, 1, cores)
+    assert spread(even, "id") is even
+
+
 def test_rows_that_are_alike_are_found_and_spread(spark):
     """A third of all rows on one item, each with a reward of 0 or 1 only."""
     many = spark.range(60000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), (F.col("id") % 2).alias("reward"))

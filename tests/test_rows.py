@@ -197,6 +197,14 @@ def test_unread_truth_is_no_success(spark, truth, want):
     assert tl.build_expected_calls(items).join(df, "id").select(g.call_match("expected", "r").alias("ok")).first().ok is want
 
 
+@pytest.mark.parametrize("name", ["p21_expected_calls", "g8_call_match"])
+def test_calls_of_a_small_file_are_read_by_many_tasks(spark, name):
+    import __spark_entry__ as entry
+
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert df.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
 def test_whole_numbers_compare_exactly(spark):
     c = lambda t: value(spark, tl.canonical(F.parse_json("t")), t=t)
     assert c("12345678901234567") != c("12345678901234568") and c("5") == c("5.0") == c('"5"') == c('" 5.0 "') == c("5e0")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.catalog.base import WS, query, sql_strip, table
 from tokenmill.operators import grading as g, instructions as ins
+from tokenmill.plans.session import spread
 
 # Responses and references made from the event values: several answer formats by event id.
 ANS = """
@@ -200,7 +201,7 @@ def call_match(spark, sf):
         .when(at == 2, c("[", one(F.when(k.cast("int") % 2 == 0, c(k, ".0")).otherwise(c(k, "1"))), ", ", two, "]"))
         .when(at == 3, c("calls: [", two, "]"))
         .otherwise(F.when(k.cast("int") % 3 == 0, c("[", one(k), "]")).otherwise(c("[", one(k), ", ", two, "]"))))
-    e = table(spark, sf, "events").select(
+    e = spread(table(spark, sf, "events").select("event_id", "event_type", "props"), "event_id").select(
         "event_id", F.parse_json(truth).alias("truth"), response.alias("response"))
     turns = tl.expected_turns(F.col("truth"), F.lit(1))
     expected = F.transform(F.get(turns, F.lit(0)), lambda x: F.struct(

@@ -301,10 +301,11 @@ def canonical(v: Column) -> Column:
         return F.concat(F.lit("n:"), F.when(exact, d.try_cast("decimal(38,0)").cast("string")).otherwise(d.cast("string")))
 
     def scalar(text):
-        t = strip(text)
-        return F.when(t.rlike(whole), F.concat(F.lit("n:"), t.try_cast("decimal(38,0)").cast("string"))).otherwise(
-            let(F.when(t.rlike(real), t.try_cast("double")), lambda d: F.when(d.isNotNull(), number(d)).otherwise(
-                F.concat(F.lit("s:"), text))))
+        plain = F.concat(F.lit("s:"), text)
+        read = lambda t: F.when(t.rlike(whole), F.concat(F.lit("n:"), t.try_cast("decimal(38,0)").cast("string"))).otherwise(
+            let(F.when(t.rlike(real), t.try_cast("double")), lambda d: F.when(d.isNotNull(), number(d)).otherwise(plain)))
+        # most texts hold no digit and are told by one look
+        return F.when(text.rlike("[0-9]"), let(strip(text), read)).otherwise(plain)
 
     def shown(x):
         return let(F.schema_of_variant(x), lambda s: (
@@ -338,10 +339,10 @@ def _mark_json(mark: Column) -> Column:
     quoted = F.concat(F.lit('"'), F.replace(plain, F.lit('"'), F.lit('\\"')), F.lit('"'))
     number = F.regexp_replace(F.regexp_replace(F.regexp_replace(mark, r"^\+", ""), r"^(-?)\.", "$10."), r"\.(?=$|[eE])", "")
     return (
-        F.when(mark.rlike("^['\"]."), quoted)
+        F.when(mark.isin(",", ":", "[", "]", "{", "}"), mark).when(mark == "(", "[").when(mark == ")", "]")
+        .when(mark.rlike("^['\"]."), quoted)
         .when(mark.endswith("="), F.concat(F.lit('"\\u0001'), F.regexp_replace(mark, r"\s*=$", ""), F.lit('",')))
         .when(mark == "True", "true").when(mark == "False", "false").when(mark == "None", "null")
-        .when(mark == "(", "[").when(mark == ")", "]")
         .when(mark.rlike(r"^[-+]?\.?\d"), number).otherwise(mark)
     )
 
@@ -353,29 +354,27 @@ def parse_call_text(text: Column) -> Column:
     values and dictionaries. Null when the text has another form.
     """
     marks = F.transform(F.regexp_extract_all(extract(text, _CALL, 2), F.lit(_MARK), F.lit(0)), _mark_json)
-    joined = F.array_join(marks, "")
-    body = F.regexp_replace(joined, r",$", "")
-    items = let(F.concat(F.lit("["), body, F.lit("]")), lambda j: F.when(body.rlike(r'",$'), F.lit(None)).otherwise(strict_json(j)))
+    body = F.regexp_replace(F.array_join(marks, ""), r",$", "")
+    items = let(body, lambda b: F.when(~b.rlike(r'",$'), strict_json(F.concat(F.lit("["), b, F.lit("]")))))
 
     def walk(values):
-        is_key = lambda v: (kind_of(v) == "string") & v.cast("string").startswith(_KEY)
+        # values of other kinds than texts never begin so
+        is_key = lambda v: F.coalesce(v.cast("string").startswith(_KEY), F.lit(False))
         start = F.struct(
             F.lit(None).cast("string").alias("key"), F.array().cast("array<struct<key:string,value:string>>").alias("named"),
             F.array().cast("array<string>").alias("rest"), F.lit(True).alias("ok"),
         )
 
         def step(at, v):
-            shown = F.to_json(v)
+            shown, opened = F.to_json(v), at["key"].isNotNull()
             named = F.concat(at["named"], F.array(F.struct(at["key"].alias("key"), shown.alias("value"))))
-            key = is_key(v)
-            opened = at["key"].isNotNull()
-            return F.struct(
+            return let(is_key(v), lambda key: F.struct(
                 F.when(key, F.substring(v.cast("string"), 2, 1 << 30)).alias("key"),
                 F.when(~key & opened, named).otherwise(at["named"]).alias("named"),
                 F.when(~key & ~opened, F.concat(at["rest"], F.array(shown))).otherwise(at["rest"]).alias("rest"),
                 # a key behind a key, or a value without key behind named ones, is no call
                 (at["ok"] & ~(key & opened) & ~(~key & ~opened & (F.size(at["named"]) > 0))).alias("ok"),
-            )
+            ))
 
         def shown(end):
             pairs = F.transform(end["named"], lambda e: F.concat(F.lit('"'), e["key"], F.lit('":['), e["value"], F.lit("]")))
