@@ -82,6 +82,14 @@ def test_ranks_take_real_row_groups(spark, uneven):
     assert "BroadcastExchange" in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
 
 
+def test_many_row_groups_share_partitions(spark, tmp_path):
+    path, n = str(tmp_path / "many.parquet"), 2 * row_groups.TASKS + 7
+    pq.write_table(pa.table({"id": range(n)}), path, row_group_size=1)
+    df = row_groups.read_rank(spark, [path], "id bigint", epochs=2)
+    assert df.rdd.getNumPartitions() == row_groups.TASKS
+    assert [(r.epoch, r.row_group, r.id) for r in df.collect()] == [(e, i, i) for e in (1, 2) for i in range(n)]
+
+
 @pytest.mark.parametrize("world", [1, 2, 3])
 def test_a_rank_reads_one_partition_for_each_row_group(spark, uneven, world):
     for rank in range(world):

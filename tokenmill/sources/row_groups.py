@@ -1,7 +1,7 @@
 """Parquet row groups as input partitions: the share of a rank, and a resumable stream over epochs.
 
 The plan comes from the files' footers. A rank reads the row groups r, r + world, ... of every
-file, in the order of the files; each is one partition, and nothing is shuffled. Files are read by
+file, in the order of the files; each is one partition, up to ``TASKS`` of them, and nothing is shuffled. Files are read by
 Arrow, so their paths must belong to a file system that Arrow knows.
 """
 
@@ -11,6 +11,7 @@ import json
 import warnings
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -21,6 +22,8 @@ from pyspark.sql.types import StructType
 
 #: Footers read at once, and rows that a task hands on at once.
 FOOTERS, ROWS = 16, 1024
+#: Partitions of a read, or of a stream's batch; where there are more row groups, neighbours share one.
+TASKS = 256
 PLACE = "epoch int, file_no int, row_group int, row_no bigint"
 
 
@@ -46,20 +49,31 @@ def count_row_groups(files: Sequence[str], on_corrupt: str = "fail") -> list[int
         return list(pool.map(one, files))
 
 
-class RowGroup(InputPartition):
-    def __init__(self, epoch: int, file_no: int, path: str, group: int):
-        self.epoch, self.file_no, self.path, self.group = epoch, file_no, path, group
+class RowGroups(InputPartition):
+    """Neighbouring row groups of the reading order, as (epoch, file_no, path, row group)."""
 
+    def __init__(self, groups: list[tuple[int, int, str, int]]):
+        self.groups = groups
 
-def read_row_group(part: RowGroup, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    with _open(part.path) as file:
-        at = 0
-        for batch in file.iter_batches(ROWS, row_groups=[part.group], columns=columns):
-            n = batch.num_rows
-            place = [pa.array([v] * n, pa.int32()) for v in (part.epoch, part.file_no, part.group)]
-            own = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*own, *place, pa.array(range(at, at + n), pa.int64())], names=[*columns, "epoch", "file_no", "row_group", "row_no"])
-            at += n
+
+def bundled(groups: list[tuple[int, int, str, int]]) -> list[RowGroups]:
+    """A partition for each row group, or ``TASKS`` partitions of about as many neighbours each where there are more."""
+    n = min(len(groups), TASKS)
+    return [RowGroups(groups[len(groups) * i // n : len(groups) * (i + 1) // n]) for i in range(n)]
+
+
+def read_row_groups(part: RowGroups, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows in order; neighbours of one file are read from one opened file."""
+    for (epoch, file_no, path), groups in groupby(part.groups, key=lambda g: g[:3]):
+        with _open(path) as file:
+            for *_, group in groups:
+                at = 0
+                for batch in file.iter_batches(ROWS, row_groups=[group], columns=columns):
+                    n = batch.num_rows
+                    place = [pa.array([v] * n, pa.int32()) for v in (epoch, file_no, group)]
+                    own = [batch.column(c) for c in columns]
+                    yield pa.RecordBatch.from_arrays([*own, *place, pa.array(range(at, at + n), pa.int64())], names=[*columns, "epoch", "file_no", "row_group", "row_no"])
+                    at += n
 
 
 class _Plan:
@@ -85,12 +99,12 @@ class _Reader(DataSourceReader):
     def __init__(self, plan: _Plan, columns: list[str]):
         self.plan, self.columns = plan, columns
 
-    def partitions(self) -> list[RowGroup]:
+    def partitions(self) -> list[RowGroups]:
         groups = self.plan.groups()
-        return [RowGroup(e, f, self.plan.files[f], g) for e in range(1, self.plan.epochs + 1) for f, g in groups]
+        return bundled([(e, f, self.plan.files[f], g) for e in range(1, self.plan.epochs + 1) for f, g in groups])
 
-    def read(self, partition: RowGroup) -> Iterator[pa.RecordBatch]:
-        return iter(()) if partition is None else read_row_group(partition, self.columns)
+    def read(self, partition: RowGroups) -> Iterator[pa.RecordBatch]:
+        return iter(()) if partition is None else read_row_groups(partition, self.columns)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -106,15 +120,15 @@ class _StreamReader(DataSourceStreamReader):
         end = {"epoch": self.plan.epochs + 1, "file": 0, "group": 0}
         return end if self.plan.until is None else min(end, self.plan.until, key=_place)
 
-    def partitions(self, start: dict, end: dict) -> list[RowGroup]:
+    def partitions(self, start: dict, end: dict) -> list[RowGroups]:
         groups = self.plan.groups()
-        return [
-            RowGroup(e, f, self.plan.files[f], g) for e in range(start["epoch"], end["epoch"] + 1) for f, g in groups
+        return bundled([
+            (e, f, self.plan.files[f], g) for e in range(start["epoch"], end["epoch"] + 1) for f, g in groups
             if _place(start) <= (e, f, g) < _place(end)
-        ]
+        ])
 
-    def read(self, partition: RowGroup) -> Iterator[pa.RecordBatch]:
-        return iter(()) if partition is None else read_row_group(partition, self.columns)
+    def read(self, partition: RowGroups) -> Iterator[pa.RecordBatch]:
+        return iter(()) if partition is None else read_row_groups(partition, self.columns)
 
 
 def _place(offset: dict) -> tuple[int, int, int]:
@@ -151,7 +165,7 @@ def read_rank(
     spark: SparkSession, files: Sequence[str], columns: str = "text string", rank: int = 0, world: int = 1, epochs: int = 1,
     on_corrupt: str = "fail",
 ) -> DataFrame:
-    """The row groups that a rank of ``world`` reads, ``epochs`` times over, one partition for each.
+    """The row groups that a rank of ``world`` reads, ``epochs`` times over, one partition for each or for neighbours (``TASKS``).
 
     ``files`` are in reading order (``corpus.reading_order``). Adds epoch (from 1), file_no, row_group and row_no.
     """
