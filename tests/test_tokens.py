@@ -190,3 +190,15 @@ def test_a_batch_is_encoded_in_bounded_slices(spark, monkeypatch):
         parts = list(tk.slices(whole, "words"))
         assert [r for p in parts for r in p.to_pylist()] == whole.to_pylist()
     assert [p.num_rows for p in tk.slices(batch, "words")] == [3, 3]
+
+
+@pytest.mark.parametrize("first", [None, 256])
+def test_byte_ids_of_slices(spark, first):
+    """Null, empty and wide texts, and texts around the size of a slice; no pattern runs over their bytes."""
+    texts = ["", None, "aé\u4e2d\U0001f600", "x" * (tk.SLICE_BYTES + 3), None, "\x00\x7f", "y" * 5]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").coalesce(1)
+    out = tk.byte_ids(df, ["k"], first=first)
+    lead = [] if first is None else [first]
+    assert {r.k: r.ids for r in out.collect()} == {k: None if x is None else lead + list(x.encode()) for k, x in enumerate(texts)}
+    plan = entry.queries()["t5_pack_flat"](spark, SF)._jdf.queryExecution().toString()
+    assert "regexp" not in plan and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenmill.catalog.base import query, sql_shuffle_key, table
 from tokenmill.operators import packing as pk
+from tokenmill.operators.tokens import byte_ids
 from tokenmill.plans.scan import dense_index, prefix_sum
-from tokenmill.plans.session import scratch_path
+from tokenmill.plans.session import scratch_path, spread
 from tokenmill.sources import corpus as c
 from tokenmill.sources import row_groups as rg
 from tokenmill.streaming import jobs
@@ -198,9 +203,18 @@ def flat_pieces(spark, sf):
 
 def _byte_tokens(spark, sf):
     """Ids 0-255 for bytes, 256 for the start of a document."""
-    hexes = F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("(..)"), F.lit(1))
-    ids = F.transform(hexes, lambda h: F.conv(h, 16, 10).cast("int"))
-    return _docs(spark, sf).select("doc_id", F.concat(F.array(F.lit(256)), ids).alias("ids"))
+    return byte_ids(spread(_docs(spark, sf).select("doc_id", "text"), "doc_id"), ["doc_id"], first=256)
+
+
+@F.pandas_udf(T.StringType())
+def _shown_digest(rows: pd.Series) -> pd.Series:
+    """md5 of the bytes' hexadecimal digits, with a mark for each document's start."""
+
+    def one(ids):
+        parts = np.split(ids, np.flatnonzero(ids == 256))
+        return hashlib.md5("<".join(p[p < 256].astype(np.uint8).tobytes().hex().upper() for p in parts).encode()).hexdigest()
+
+    return rows.map(one)
 
 
 @query("t5_pack_flat", FLAT_SQL + """,
@@ -212,8 +226,7 @@ def _byte_tokens(spark, sf):
     FROM z GROUP BY w""")
 def pack_flat(spark, sf):
     rows = pk.pack_flat(_byte_tokens(spark, sf), 2048, ["doc_id"])
-    shown = F.array_join(F.transform("ids", lambda i: F.when(i == 256, "<").otherwise(F.lpad(F.hex(i), 2, "0"))), "")
-    return rows.select("row_id", F.md5(shown).alias("digest"), "n_docs")
+    return rows.select("row_id", _shown_digest("ids").alias("digest"), "n_docs")
 
 
 @query("t9_shift_targets", """
