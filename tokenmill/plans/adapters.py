@@ -3,7 +3,8 @@
 An adapter is a function from a source table to the columns of a conversation. Rows that
 cannot be converted get null ``messages``; ``to_conversations`` drops and counts them or hands
 them to ``apply_valid_policy``. Column names are matched by ordered aliases, and an alias that
-a table lacks costs nothing.
+a table lacks costs nothing. Rules that count an empty text as missing take it for a text like
+any other with ``keep_empty``, where they have it; then only null is missing.
 """
 
 from __future__ import annotations
@@ -69,6 +70,12 @@ def raw(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`").cast("string") if name in df.columns else F.lit(None).cast("string")
 
 
+def first_text(df: DataFrame, *aliases: str, keep_empty: bool = False) -> Column:
+    """``first_of``, or with ``keep_empty`` an empty text where no alias is filled."""
+    empty = [raw(df, a) for a in aliases if a in df.columns] if keep_empty else []
+    return F.coalesce(first_of(df, *aliases), *empty)
+
+
 def with_question(context: Column, question: Column) -> Column:
     """Question below its context, when there is one."""
     return F.when(blank(context), question).otherwise(
@@ -284,18 +291,19 @@ def question_response(df: DataFrame) -> Row:
     return Row(ms.pair(text(df, "question"), text(df, "response")))
 
 
-def open_math_instruct(df: DataFrame) -> Row:
+def open_math_instruct(df: DataFrame, keep_empty: bool = False) -> Row:
     solution, expected = strip(text(df, "generated_solution")), strip(text(df, "expected_answer"))
     missing = (expected != "") & ~F.contains(solution, expected)
-    answer = F.when(~missing, solution).when(solution == "", expected).otherwise(
+    unsolved = raw(df, "generated_solution").isNull() if keep_empty else solution == ""
+    answer = F.when(~missing, solution).when(unsolved, expected).otherwise(
         F.concat(solution, F.lit("\n\nFinal answer: "), expected))
     return Row(ms.pair(F.col("problem"), answer))
 
 
-def numina_math(df: DataFrame) -> Row:
+def numina_math(df: DataFrame, keep_empty: bool = False) -> Row:
     right = F.coalesce(F.col("correct").cast("boolean"), F.lit(False))
-    response = text(df, "response")
-    answer = F.when(right & (response != ""), response).otherwise(text(df, "ground_truth"))
+    response = first_text(df, "response", keep_empty=keep_empty)
+    answer = F.when(right & response.isNotNull(), response).otherwise(text(df, "ground_truth"))
     return Row(ms.pair(text(df, "prompt"), answer), answer=text(df, "ground_truth"), meta={"correct": right.cast("string")})
 
 
@@ -304,9 +312,9 @@ def natural_reasoning(df: DataFrame) -> Row:
     return Row(ms.pair(text(df, "question"), F.coalesce(present(text(df, "reference_answer")), first, F.lit(""))))
 
 
-def skunkworks(df: DataFrame) -> Row:
-    steps, output = strip(text(df, "reasoning")), strip(text(df, "output"))
-    answer = F.concat_ws("\n\n", F.nullif(steps, F.lit("")), F.nullif(output, F.lit("")))
+def skunkworks(df: DataFrame, keep_empty: bool = False) -> Row:
+    filled = lambda c: c if keep_empty else present(c)
+    answer = F.concat_ws("\n\n", filled(strip(raw(df, "reasoning"))), filled(strip(raw(df, "output"))))
     return Row(ms.pair(F.col("instruction"), answer))
 
 
@@ -517,11 +525,11 @@ def logiqa(df: DataFrame) -> Row:
         with_question(F.coalesce(context, t_context), F.coalesce(question, t_question)), options, answer, labels)
 
 
-def instruction(df: DataFrame) -> Row:
-    ask = first_of(df, "instruction", "prompt", "question", "query")
+def instruction(df: DataFrame, keep_empty: bool = False) -> Row:
+    ask = first_text(df, "instruction", "prompt", "question", "query", keep_empty=keep_empty)
     context = first_of(df, "context", "input")
     user = F.when(blank(context), ask).otherwise(F.concat(ask, F.lit("\n\nContext:\n"), context))
-    return Row(ms.pair(user, first_of(df, "output", "response", "answer", "completion")))
+    return Row(ms.pair(user, first_text(df, "output", "response", "answer", "completion", keep_empty=keep_empty)))
 
 
 def prompt_completion(df: DataFrame) -> Row:
