@@ -33,7 +33,7 @@ def differs(spark, name, folder):
     return difference(entry.queries()[name](spark, folder), con, entry.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["n7_rolling_windows", "p29_instruction_templates"])
+@pytest.mark.parametrize("name", ["n7_rolling_windows", "p29_instruction_templates", "p9_openorca"])
 def test_empty_texts(spark, odd, name):
     assert differs(spark, name, odd) is None
 
@@ -48,6 +48,8 @@ TEMPLATES = [
     (ad.instruction, "instruction string, response string", ("i", ""), None, ""),
     (ad.instruction, "instruction string, output string, response string", ("i", "", "r"), "r", "r"),
     (ad.instruction, "instruction string, response string", ("i", None), None, None),
+    (ad.open_orca, "question string, response string", ("q", ""), None, ""),
+    (ad.open_orca, "question string, response string", ("q", None), None, None),
     (ad.skunkworks, "instruction string, reasoning string, output string", ("i", " why ", ""), "why", "why\n\n"),
     (ad.skunkworks, "instruction string, reasoning string, output string", ("i", "why", None), "why", "why"),
     (ad.open_math_instruct, "problem string, generated_solution string, expected_answer string", ("p", "", "7"), "7", "\n\nFinal answer: 7"),

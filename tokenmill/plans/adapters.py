@@ -577,10 +577,10 @@ def mbpp_like(df: DataFrame) -> Row:
                        first_of(df, "code", "completion", "output", "response", "answer")))
 
 
-def open_orca(df: DataFrame) -> Row:
+def open_orca(df: DataFrame, keep_empty: bool = False) -> Row:
     return Row(ms.pair(
-        first_of(df, "question", "prompt", "instruction", "query"),
-        first_of(df, "response", "output", "answer", "completion"), system=first_of(df, "system_prompt", "system")))
+        first_text(df, "question", "prompt", "instruction", "query", keep_empty=keep_empty),
+        first_text(df, "response", "output", "answer", "completion", keep_empty=keep_empty), system=first_of(df, "system_prompt", "system")))
 
 
 def json_mermaid(df: DataFrame) -> Row:
