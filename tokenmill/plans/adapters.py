@@ -480,7 +480,7 @@ def race(df: DataFrame) -> Row:
 SOCIAL_OPTIONS = ("answerA", "answerB", "answerC", "answer_a", "answer_b", "answer_c", "optionA", "optionB", "optionC")
 
 
-def social_iqa(df: DataFrame) -> Row:
+def social_iqa(df: DataFrame, keep_empty: bool = False) -> Row:
     """Numbered labels count from 1 here, and 0 still means the first option."""
     own = F.filter(F.array(*[present(raw(df, k)) for k in SOCIAL_OPTIONS]), lambda o: o.isNotNull())
     listed, _ = ch.extract_options(df)
@@ -488,7 +488,8 @@ def social_iqa(df: DataFrame) -> Row:
     answer = strip(first_of(df, "label", "answer", "correct", "answerKey"))
     number = F.when(answer.rlike(r"^-?\d+$"), answer.try_cast("int"))
     base0 = F.when(number.between(1, F.size(options)), number - 1).otherwise(number)
-    question = with_question(first_of(df, "context", "story", "passage"), first_of(df, "question", "query", "prompt"))
+    asked = first_text(df, "question", "query", "prompt", keep_empty=keep_empty)
+    question = with_question(first_of(df, "context", "story", "passage"), asked)
     row = multiple_choice(question, options, F.coalesce(base0.cast("string"), answer))
     row.messages = need(F.size(options) >= 2, row.messages)
     return row
