@@ -33,7 +33,8 @@ def differs(spark, name, folder):
     return difference(entry.queries()[name](spark, folder), con, entry.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["n7_rolling_windows", "p29_instruction_templates", "p9_openorca", "p9_social_iqa"])
+@pytest.mark.parametrize("name", [
+    "n7_rolling_windows", "p29_instruction_templates", "p9_openorca", "p9_social_iqa", "p9_winogrande"])
 def test_empty_texts(spark, odd, name):
     assert differs(spark, name, odd) is None
 
@@ -52,6 +53,8 @@ TEMPLATES = [
     (ad.open_orca, "question string, response string", ("q", None), None, None),
     (ad.social_iqa, "question string, answerA string, answerB string, label string", ("", "x", "y", "2"), None, "B"),
     (ad.social_iqa, "question string, answerA string, answerB string, label string", (None, "x", "y", "2"), None, None),
+    (ad.winogrande, "sentence string, option1 string, option2 string, answer string", ("", "x", "y", "2"), None, "B"),
+    (ad.winogrande, "sentence string, option1 string, option2 string, answer string", ("", "x", "y", ""), None, None),
     (ad.skunkworks, "instruction string, reasoning string, output string", ("i", " why ", ""), "why", "why\n\n"),
     (ad.skunkworks, "instruction string, reasoning string, output string", ("i", "why", None), "why", "why"),
     (ad.open_math_instruct, "problem string, generated_solution string, expected_answer string", ("p", "", "7"), "7", "\n\nFinal answer: 7"),

@@ -444,14 +444,15 @@ def piqa(df: DataFrame) -> Row:
         first_of(df, "sol1", "option1", "choice1"), first_of(df, "sol2", "option2", "choice2")], label)
 
 
-def winogrande(df: DataFrame) -> Row:
+def winogrande(df: DataFrame, keep_empty: bool = False) -> Row:
     """Numbered answers count from 1 here; other answers are letters."""
     answer = strip(first_of(df, "answer", "label"))
     options = F.array(first_of(df, "option1", "choice1"), first_of(df, "option2", "choice2"))
     letters = ch.letters_for(options)
     number = F.when(answer.rlike(r"^\d+$"), answer.try_cast("int"))
     letter = F.when(number.isNotNull(), ch.at(letters, number - 1)).otherwise(lone_letter(answer))
-    row = known_letter(first_of(df, "sentence", "question", "prompt"), letters, options, letter)
+    sentence = first_text(df, "sentence", "question", "prompt", keep_empty=keep_empty)
+    row = known_letter(sentence, letters, options, letter)
     row.messages = need(F.forall(options, lambda v: v.isNotNull()), row.messages)
     return row
 
